@@ -7,7 +7,13 @@ from importlib import import_module
 import corpus_pipeline
 
 #: Query name: module of this package that defines it.
-MODULES = {"op3_byte_bpe": "bpe", "op5_pii": "pii"}
+MODULES = {
+    "op1_chat": "chat",
+    "op2_token_file": "tokenfile",
+    "op3_byte_bpe": "bpe",
+    "op5_pii": "pii",
+    "op9_quality": "quality",
+}
 
 
 def queries() -> dict:
