@@ -12,6 +12,7 @@ MODULES = {
     "op2_token_file": "tokenfile",
     "op3_byte_bpe": "bpe",
     "op5_pii": "pii",
+    "op8_jaccard_join": "jaccard",
     "op9_quality": "quality",
 }
 
