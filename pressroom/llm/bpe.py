@@ -35,7 +35,7 @@ CACHE_WORDS = 400_000
 #: Pairs of neighbouring parts whose rank a worker remembers.
 CACHE_PAIRS = 1_000_000
 #: Average keys in a bucket of the perfect hash.
-BUCKET_KEYS = 4
+BUCKET_KEYS = 2
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85]")
 
 
@@ -45,7 +45,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash by displacement: buckets, largest first, each try steps until their keys fall on free slots."""
+    """Minimal perfect hash by displacement.
+
+    Buckets, largest first, each try steps until their keys fall on free slots; a bucket of one key
+    takes any slot left and keeps it, negative, in place of its step.
+    """
 
     def __init__(self, keys: list[bytes]):
         size = max(1, len(keys))
@@ -56,8 +60,14 @@ class PerfectHash:
             digest = xxhash.xxh3_64_intdigest(key)
             grouped[digest % self.buckets].append((digest >> 32, digest & 0xFFFFFFFF | 1, place))
         slots = self.slots
+        free: list[int] = []
         for bucket in sorted(range(self.buckets), key=lambda b: -len(grouped[b])):
             members = grouped[bucket]
+            if len(members) == 1:
+                free = free or [slot for slot in range(size) if slots[slot] < 0]
+                slot = free.pop()
+                slots[slot], self.steps[bucket] = members[0][2], -1 - slot
+                continue
             step = 0
             while members:
                 step += 1
@@ -72,7 +82,7 @@ class PerfectHash:
         """The key's place in the list the hash was built from, or -1."""
         digest = xxhash.xxh3_64_intdigest(key)
         step = self.steps[digest % self.buckets]
-        place = self.slots[((digest >> 32) + step * (digest & 0xFFFFFFFF | 1)) % self.size]
+        place = self.slots[-1 - step if step < 0 else ((digest >> 32) + step * (digest & 0xFFFFFFFF | 1)) % self.size]
         return place if place >= 0 and self.keys[place] == key else -1
 
 
