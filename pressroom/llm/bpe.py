@@ -44,6 +44,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _slot(high: int, low: int, step: int, size: int) -> int:
+    """Mixed before the remainder: a plain progression would only visit a few slots where low and size share factors."""
+    return (((high + step * low) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 24) % size
+
+
 class PerfectHash:
     """Minimal perfect hash by displacement.
 
@@ -57,8 +62,8 @@ class PerfectHash:
         self.steps, self.slots = [0] * self.buckets, [-1] * size
         grouped: list[list[tuple[int, int, int]]] = [[] for _ in range(self.buckets)]
         for place, key in enumerate(keys):
-            digest = xxhash.xxh3_64_intdigest(key)
-            grouped[digest % self.buckets].append((digest >> 32, digest & 0xFFFFFFFF | 1, place))
+            bucket, high, low = self._hashes(key)
+            grouped[bucket].append((high, low, place))
         slots = self.slots
         free: list[int] = []
         for bucket in sorted(range(self.buckets), key=lambda b: -len(grouped[b])):
@@ -71,18 +76,23 @@ class PerfectHash:
             step = 0
             while members:
                 step += 1
-                tried = {(high + step * low) % size for high, low, _ in members}
+                tried = {_slot(high, low, step, size) for high, low, _ in members}
                 if len(tried) == len(members) and all(slots[s] < 0 for s in tried):
                     break
             for high, low, place in members:
-                slots[(high + step * low) % size] = place
+                slots[_slot(high, low, step, size)] = place
             self.steps[bucket] = step
 
+    def _hashes(self, key: bytes) -> tuple[int, int, int]:
+        """Bucket, first slot and step width, from separate bits: were they related, keys of a bucket might never part."""
+        digest = xxhash.xxh3_128_intdigest(key)
+        return (digest >> 64) % self.buckets, digest & 0xFFFFFFFF, digest >> 32 & 0xFFFFFFFF | 1
+
     def find(self, key: bytes) -> int:
         """The key's place in the list the hash was built from, or -1."""
-        digest = xxhash.xxh3_64_intdigest(key)
-        step = self.steps[digest % self.buckets]
-        place = self.slots[-1 - step if step < 0 else ((digest >> 32) + step * (digest & 0xFFFFFFFF | 1)) % self.size]
+        bucket, high, low = self._hashes(key)
+        step = self.steps[bucket]
+        place = self.slots[-1 - step if step < 0 else _slot(high, low, step, self.size)]
         return place if place >= 0 and self.keys[place] == key else -1
 
 
