@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pressroom.llm import bpe, pii
+from pressroom.llm import bpe, decontaminate, jaccard, pii, quality
 from pressroom.llm.common import read, stored
 
 
+def good(spark, docs, sf_dir):
+    """Without the documents that the quality rules reject."""
+    return quality.clean(docs)
+
+
+def unlike(spark, docs, sf_dir):
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def uncontaminated(spark, docs, sf_dir):
+    """Without the documents that hold benchmark questions."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def private(spark, docs, sf_dir):
+    """Personal data redacted."""
     return pii.redact(docs)
 
 
 def tokens(spark, docs, sf_dir):
+    """doc_id and ids of each text."""
     return bpe.encode(docs)
 
 
-STAGES = [("pii", private), ("byte_bpe", tokens)]
+STAGES = [
+    ("quality rules", good),
+    ("n-gram Jaccard join", unlike),
+    ("benchmark decontamination", uncontaminated),
+    ("PII", private),
+    ("byte-level BPE", tokens),
+]
 
-#: The stages' string work is beyond SQL; the tests hold run() against a brute-force version.
+#: The stages' string work is beyond SQL; the tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -12,8 +12,10 @@ MODULES = {
     "op2_token_file": "tokenfile",
     "op3_byte_bpe": "bpe",
     "op5_pii": "pii",
+    "op7_language_id": "langid",
     "op8_jaccard_join": "jaccard",
     "op9_quality": "quality",
+    "op10_decontamination": "decontaminate",
 }
 
 
