@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressroom.functions.text import hamming, preprocess_title, simhash64, title_tokens
 from pressroom.functions.urls import url_hash
 
 
@@ -15,3 +16,25 @@ def exact_url(articles: DataFrame) -> DataFrame:
     return hashed.withColumn("first_id", first).select(
         "id", "url_hash", F.when(F.col("first_id") < F.col("id"), F.col("first_id")).alias("duplicate_of")
     )
+
+
+def near_titles(articles: DataFrame, distance: int = 3, days: int = 7) -> DataFrame:
+    """L2: id, duplicate_of, distance: the nearest earlier title of the same language within the look-back; ties go to the lowest id.
+
+    Two hashes at most 3 bits apart agree on one of four bands of 16 bits; equal hashes meet in the first.
+    A title that very many articles share makes one hot band; AQE splits it.
+    """
+    title = preprocess_title(F.col("title"))
+    hashed = articles.where(F.length(title) > 0).select(
+        "id", "crawled_at", F.coalesce("language", F.lit("en")).alias("language"), simhash64(title_tokens(title, F.col("language"))).alias("hash")
+    )
+    back = F.col("e.crawled_at") > F.col("l.crawled_at") - F.expr(f"INTERVAL {days} DAYS")
+    earlier = F.struct(F.col("e.crawled_at"), F.col("e.id")) < F.struct(F.col("l.crawled_at"), F.col("l.id"))
+    bands = F.posexplode(F.array(*(F.shiftright("hash", 16 * k).bitwiseAND(0xFFFF) for k in range(4)))).alias("band", "bits")
+    banded = hashed.select("*", bands)
+    same = (F.col("e.language") == F.col("l.language")) & (F.col("e.band") == F.col("l.band")) & (F.col("e.bits") == F.col("l.bits"))
+    pairs = banded.alias("l").join(banded.alias("e"), same & earlier & back)
+    apart = hamming(F.col("l.hash"), F.col("e.hash"))
+    pairs = pairs.select(F.col("l.id").alias("id"), F.col("e.id").alias("other"), apart.alias("distance")).where(F.col("distance") <= distance)
+    best = F.min(F.struct("distance", "other"))
+    return pairs.groupBy("id").agg(best.alias("b")).select("id", F.col("b.other").alias("duplicate_of"), F.col("b.distance").alias("distance"))

@@ -12,3 +12,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", "html")
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crawled = F.timestamp_add("MINUTE", (F.col("doc_id") * 20).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    country = F.when(F.col("lang") == "en", F.element_at(F.array(F.lit("US"), F.lit("GB"), F.lit("AU")), (F.col("doc_id") % 3 + 1).cast("int")))
+    for lang, name in (("fr", "FR"), ("de", "DE"), ("es", "ES")):
+        country = country.when(F.col("lang") == lang, name)
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.col("text").alias("content"),
+        F.col("lang").alias("language"),
+        country.alias("country"),
+        F.regexp_extract("source", "[0-9]+", 0).try_cast("long").alias("source_id"),
+        crawled.alias("crawled_at"),
+        F.timestamp_add("HOUR", (-(F.col("doc_id") % 7)).cast("int"), crawled).alias("published_at"),
+    )
+
+
+ARTICLES_SQL = """articles AS (
+  SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS content, lang AS language,
+    CASE lang WHEN 'en' THEN ['US', 'GB', 'AU'][doc_id % 3 + 1] WHEN 'fr' THEN 'FR' WHEN 'de' THEN 'DE' WHEN 'es' THEN 'ES' END AS country,
+    TRY_CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS source_id,
+    TIMESTAMP '2024-01-01' + to_minutes(doc_id * 20) AS crawled_at,
+    TIMESTAMP '2024-01-01' + to_minutes(doc_id * 20) - to_hours(doc_id % 7) AS published_at
+  FROM documents)"""
+
+
+def crawl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    found = F.coalesce(F.regexp_extract("props", "[0-9]+", 0).try_cast("int"), F.lit(0))
+    failed = F.col("event_type") == "error"
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("source_id"),
+        F.col("ts").cast("timestamp").alias("started_at"),
+        F.when(failed, "error").otherwise("success").alias("status"),
+        found.alias("articles_found"),
+        F.when(failed, 0).otherwise(F.col("event_id") % (found + 1)).cast("int").alias("articles_new"),
+        F.floor(F.col("value") * 10).cast("int").alias("response_time_ms"),
+    )
+
+
+LOGS_SQL = """crawl_logs AS (
+  SELECT event_id AS id, user_id AS source_id, ts AS started_at,
+    CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, found AS articles_found,
+    CAST(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % (found + 1) END AS INT) AS articles_new,
+    CAST(floor(value * 10) AS INT) AS response_time_ms
+  FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(props, '[0-9]+') AS INT), 0) AS found FROM events))"""
