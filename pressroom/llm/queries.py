@@ -11,6 +11,7 @@ MODULES = {
     "op1_chat": "chat",
     "op2_token_file": "tokenfile",
     "op3_byte_bpe": "bpe",
+    "op4_substring_dedup": "chunks",
     "op5_pii": "pii",
     "op7_language_id": "langid",
     "op8_jaccard_join": "jaccard",
