@@ -31,9 +31,9 @@ from pressroom.llm.common import read, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words that a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Pairs of neighbouring parts whose rank a worker remembers.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 200_000
 #: Average keys in a bucket of the perfect hash.
 BUCKET_KEYS = 2
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85]")
