@@ -13,6 +13,7 @@ MODULES = {
     "op3_byte_bpe": "bpe",
     "op4_substring_dedup": "chunks",
     "op5_pii": "pii",
+    "op6_long_repeats": "repeats",
     "op7_language_id": "langid",
     "op8_jaccard_join": "jaccard",
     "op9_quality": "quality",
