@@ -3,7 +3,8 @@
 Sets are the distinct hashes of n-word shingles. Equal sets are one representative from the start. A
 count vector, how many shingles fall into each of GROUPS groups, is a point; the coordinate minima of two points,
 summed, bound the overlap, for boxes of points as for points, so a packed R-tree over the points
-prunes pairs before their sets are compared.
+prunes pairs before their sets are compared. Pairs that it leaves are bounded again by vectors of FINE groups, and only
+the sets of those that remain are shuffled.
 
 Linked sets share one of the least-hashed shingles of each, so the points are indexed by those keys, and by
 bands of set size. A first pass links the members of a key to the least of them, which joins large groups
@@ -22,20 +23,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import read, stored, texts
+from pressroom.llm.common import pieces, read, stored, texts
 
 WORDS, PERCENT = 4, 85
-GROUPS = 16
+GROUPS = 64
+#: Groups of the vectors that bound the pairs left by the R-tree.
+FINE = 1024
 #: Keys of the first pass.
 ANCHORS = 3
 #: Points in a leaf of the R-tree.
 LEAF = 32
+#: Groups of up to so many points are compared without a tree, many groups at once.
+SMALL = 8
 ORACLE_SQL = None
 
-FEATURES = "doc_id long, n_shingles long, digest binary, point binary, anchors array<int>, keys array<int>"
+FEATURES = "doc_id long, n_shingles long, digest binary, point binary, fine binary, anchors array<int>, keys array<int>"
 
 
 class Hashes(dict):
@@ -67,11 +73,22 @@ def shingles(text: str, hashes: Hashes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in a unit, four bytes, and a byte for each group; rounded up, so that minima still bound the overlap."""
+    unit = int(counts.max()) // 255 + 1
+    return np.uint32(unit).tobytes() + (-(-counts // unit)).astype(np.uint8).tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), 4 + GROUPS)
+    return rows[:, 4:].astype(np.int64) * np.ascontiguousarray(rows[:, :4]).view("<u4").astype(np.int64)
+
+
 def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            sizes, digests, points, anchors, keys = [], [], [], [], []
+        hashes, squeeze = Hashes(), zstandard.ZstdCompressor(level=1).compress
+        for batch in pieces(batches):
+            sizes, digests, points, fine, anchors, keys = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, hashes, n)
                 size = len(found)
@@ -79,12 +96,14 @@ def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
                 key = (found[:prefix] >> np.uint64(8)).astype(np.uint32).view(np.int32)
                 sizes.append(size)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                points.append(np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                counts = np.bincount((found & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                points.append(packed(counts.reshape(-1, GROUPS).sum(0)))
+                fine.append(squeeze(counts.astype("<u4").tobytes()))
                 anchors.append(key[:ANCHORS])
                 keys.append(np.unique(key))
             lists = lambda rows: pa.array(rows, pa.list_(pa.int32()))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), lists(anchors), lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "point", "anchors", "keys"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), lists(anchors), lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "point", "fine", "anchors", "keys"])
 
     return texts(docs).mapInArrow(run, FEATURES)
 
@@ -135,44 +154,80 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
                     a, b = rep[mine][a], rep[other][b]
                     yield np.maximum(a, b), np.minimum(a, b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        held_key = None
+    def few(members, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for rows of many small groups: each row with the one d places on, for every d."""
+        rep, comp, n, point, home = members
+        for d in range(1, SMALL):
+            i = np.nonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & (home[:-d] | home[d:]))[0]
+            i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
+            i = i[(100 + percent) * np.minimum(point[i], point[i + d]).sum(1) >= percent * (n[i] + n[i + d])]
+            yield np.maximum(rep[i], rep[i + d]), np.minimum(rep[i], rep[i + d])
 
-        def close():
-            if held and len(held[0][0]) + len(held) > 2:
-                for a, b in near([np.concatenate(c) for c in zip(*held, strict=True)]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the rows of the last group, which may go on in the next batch
+
+        def found(columns: list[np.ndarray]):
+            key, band, *members = columns
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
+            group = np.cumsum(first) - 1
+            starts = np.append(np.nonzero(first)[0], len(key))
+            sizes = np.diff(starts)
+            little = np.isin(group, np.nonzero((sizes > 1) & (sizes <= SMALL))[0])
+            yield from few([c[little] for c in members], group[little])
+            for g in np.nonzero(sizes > SMALL)[0].tolist():
+                yield from near([c[starts[g] : starts[g + 1]] for c in members])
+
+        def close(rows: list[list[np.ndarray]]):
+            pairs = [p for p in found([np.concatenate(c) for c in zip(*rows, strict=True)]) if len(p[0])]
+            if pairs:
+                a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            size = batch.num_rows
-            if not size:
+            if not batch.num_rows:
                 continue
             key, band, home, rep, comp, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            point = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u4").reshape(size, GROUPS).astype(np.int64)
-            cuts = [0, *(np.nonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]))[0] + 1).tolist(), size]
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                if (key[start], band[start]) != held_key:
-                    yield from close()
-                    held, held_key = [], (key[start], band[start])
-                held.append([c[start:stop] for c in (rep, comp, n, point, home)])
-        yield from close()
+            columns = [key, band, rep, comp, n, unpacked(batch.column(6).to_pylist()), home]
+            cut = int(np.nonzero((key != key[-1]) | (band != band[-1]))[0][-1]) + 1 if key[0] != key[-1] or band[0] != band[-1] else 0
+            if cut or held and (held[-1][0][-1], held[-1][1][-1]) != (key[-1], band[-1]):
+                yield from close([*held, [c[:cut] for c in columns]])
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield from close(held)
 
     ordered = grouped.select("key", "band", "home", "rep", "comp", "n", "point")
     return ordered.repartition("key", "band").sortWithinPartitions("key", "band").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the minima of their fine count vectors do not rule out; vectors: rep, fine."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in pieces(batches, 2):
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(expand(a), "<u4"), np.frombuffer(expand(b), "<u4")
+                keep.append((100 + percent) * int(np.minimum(a, b).sum()) >= percent * int(a.sum() + b.sum()))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = vectors.toDF("a", "fine_a"), vectors.toDF("b", "fine_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "fine_a", "fine_b").mapInArrow(compare, "a long, b long")
+
+
+def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: a's set travels to b's, grouped by neither."""
+    pairs = stored(bounded(pairs, vectors, percent))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(text, hashes, n).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -199,7 +254,8 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     anchor = sets.select(F.explode("anchors").alias("key"), "rep")
     heads = anchor.groupBy("key").agg(F.min("rep").alias("head"))
     stars = anchor.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    linked = stored(verified(stored(stars), source, n, percent))
+    vectors = sets.select("rep", "fine")
+    linked = stored(verified(stars, vectors, source, n, percent))
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     early = components(linked)
     with_comp = sets.join(early, sets["rep"] == early["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), F.col("n_shingles").alias("n"), "point", "keys")
@@ -210,7 +266,7 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     shared = keyed.join(mixed_keys, "key", "left_semi").join(with_comp.drop("keys", "comp"), "rep")
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
     grouped = shared.select("key", "rep", "comp", "n", "point", both.alias("e")).select("key", "e.band", "e.home", "rep", "comp", F.col("n").cast("long").alias("n"), "point")
-    late = verified(stored(candidates(grouped, percent)), source, n, percent)
+    late = stored(verified(candidates(grouped, percent), vectors, source, n, percent))
     roots = components(linked.unionByName(late).unionByName(same))
     return (
         all_rows.select("doc_id", "n_shingles")
