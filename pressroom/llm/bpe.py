@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressroom.llm.common import read, texts
+from pressroom.llm.common import pieces, read, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words that a worker remembers; it starts anew beyond them.
 CACHE_WORDS = 100_000
 #: Pairs of neighbouring parts whose rank a worker remembers.
 CACHE_PAIRS = 200_000
+#: Documents decoded at once.
+DECODE_ROWS = 500
 #: Average keys in a bucket of the perfect hash.
 BUCKET_KEYS = 2
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85]")
@@ -213,7 +215,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             packed = [encoder.encode(text) for text in batch.column(1).to_pylist()]
             offsets = np.zeros(len(packed) + 1, "<i4")
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
@@ -233,7 +235,7 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.text_of.__getitem__
-        for batch in batches:
+        for batch in (batch.slice(at, DECODE_ROWS) for batch in batches for at in range(0, batch.num_rows, DECODE_ROWS)):
             column = batch.column(place)
             flat = column.flatten().to_numpy().tolist()
             lengths = np.diff(column.offsets.to_numpy()).tolist()
