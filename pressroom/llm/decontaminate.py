@@ -17,6 +17,7 @@ are passed on by clean() and not read otherwise.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ class Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes, self.kinds, self.words = [], [], []
+        self.hashes, self.kinds, self.words = array("Q"), array("b"), []
 
     def __missing__(self, token: str) -> int:
         lower = token.lower()
@@ -62,14 +63,13 @@ class Vocabulary(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(lower))
         self.kinds.append(kind)
         self.words.append(lower)
-        self.fresh = True
         return number
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        if getattr(self, "fresh", True):
-            self.as_arrays = np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8)
-            self.fresh = False
-        return self.as_arrays
+        """Views, not copies; no word can be added while they live."""
+        if not self.words:
+            return np.empty(0, np.uint64), np.empty(0, np.int8)
+        return np.frombuffer(self.hashes, np.uint64), np.frombuffer(self.kinds, np.int8)
 
 
 class Template:
@@ -77,9 +77,8 @@ class Template:
 
     def __init__(self, text: str, vocabulary: Vocabulary):
         if len(vocabulary) > 500_000:
-            vocabulary.__dict__.clear()
             vocabulary.clear()
-            vocabulary.hashes, vocabulary.kinds, vocabulary.words = [], [], []
+            vocabulary.hashes, vocabulary.kinds, vocabulary.words = array("Q"), array("b"), []
         found = TOKEN.findall(text)
         numbers = np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found))
         hashes, kinds = vocabulary.arrays()
