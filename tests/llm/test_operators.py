@@ -127,6 +127,22 @@ def test_chunks(docs, texts):
     assert chunks.cuts(b"x" * 1200)[-1] == 1200
 
 
+def test_chunks_passages(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 5000)]
+    say = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
+    passages = [say(50) for _ in range(60)]
+    rows = [(2 * k + n, f"{say(rng.integers(5, 80))}{'.,'[n]}\u00e4{p}{'?!'[n]}{say(rng.integers(5, 80))}") for k, p in enumerate(passages) for n in (0, 1)]
+    docs = spark.createDataFrame([*rows, (500, say(300)), rows[0]], "doc_id long, text string")
+    found = {r.doc_id: [(s["at"], s["end"]) for s in r.spans] for r in chunks.repeats(docs).collect()}
+    wanted = {}
+    for doc, text in rows:
+        if doc % 2:
+            data, passage = text.encode(), f"\u00e4{passages[doc // 2]}".encode()
+            wanted[doc] = [(data.index(passage), data.index(passage) + len(passage))]
+    assert found == wanted
+
+
 def test_pii_spans():
     text = "Mail bob (at) example (dot) org or a.b@c.de, ring +49 30 1234567"
     found = [(kind, text[a:b], plain) for kind, a, b, plain in pii.spans_of(text)]
