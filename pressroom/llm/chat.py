@@ -29,9 +29,9 @@ ORACLE_SQL = None
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as events: equal rows open one message several times."""
+    """Finished turns (conv_id, turn, role, text) as events: equal rows of one turn open one message several times."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    message = F.struct(role.alias("role"), F.sha2(text, 256).alias("digest"))
+    message = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), F.sha2(text, 256).alias("digest"))
     return turns.select("conv_id", F.col("turn").cast("long").alias("seq"), message.alias("message"), F.lit("open").alias("kind"), role.alias("role"), text.alias("text"))
 
 
