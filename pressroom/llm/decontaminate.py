@@ -4,7 +4,7 @@ Numbers, names and units become typed placeholders; windows of WINDOW template t
 benchmark are hash-joined with those of the documents. Windows of one item on one diagonal (same distance between
 both texts) form a match if enough of them agree and the slots are consistent: each value in the
 item's slots stands for one value in the document. Re-parameterised questions thus match, and
-coincidences of placeholders do not.
+coincidences of placeholders do not. Besides, RUN lower-cased tokens in a row, or all of a shorter item, match as they are, whatever their kinds.
 
 Documents send only windows whose hash falls on a set bit of a bitmap of BITS bits, of fixed size, made from the
 benchmark; the join decides, by the template itself. Rows are salted by document.
@@ -92,34 +92,41 @@ class Template:
         keep = kind != _BREAK
         self.form, self.numbers = form[keep], numbers[keep]
         self.marks = np.where(number, 1, np.where(name, 2, np.where(unit, 3, 0)))[keep]
-        self.words = vocabulary.words
+        self.words, self.spelled = vocabulary.words, hashes[numbers][keep] if len(numbers) else form
 
-    def windows(self, size: int) -> np.ndarray:
-        """Hash of each window of `size` tokens; 0 where too few are plain."""
-        count = len(self.form) - size + 1
+    def windows(self, size: int, exact: bool) -> np.ndarray:
+        """Hash of each window of `size` tokens, as they are spelled if exact; else of their canonical forms, and 0 where too few are plain."""
+        form = self.spelled if exact else self.form
+        count = len(form) - size + 1
         if count <= 0:
             return np.empty(0, np.uint64)
-        out = np.full(count, size, np.uint64)
+        out = np.full(count, size + 256 * exact, np.uint64)
         for k in range(size):
-            out = (out ^ self.form[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ form[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
+        if exact:
+            return np.maximum(out, np.uint64(1))
         plain = np.concatenate([[0], np.cumsum(self.marks == 0)])
         return np.where(plain[size:] - plain[:-size] >= min(LEAST_PLAIN, size), out, np.uint64(0))
 
-    def template(self, at: int, size: int) -> str:
+    def template(self, at: int, size: int, exact: bool) -> str:
+        if exact:
+            return " ".join(self.words[n] for n in self.numbers[at : at + size])
         return " ".join(("", NUMBER, NAME, UNIT)[m] or self.words[n] for m, n in zip(self.marks[at : at + size], self.numbers[at : at + size], strict=True))
 
-    def slots(self, at: int, size: int) -> list[str]:
+    def slots(self, at: int, size: int, exact: bool) -> list[str]:
+        if exact:
+            return []
         return [self.words[n] for m, n in zip(self.marks[at : at + size], self.numbers[at : at + size], strict=True) if m]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_at, n_tokens, size, hash, template, item_slots of every window of the benchmark."""
+    """item_id, item_at, needed, size, exact, hash, template, item_slots of every window of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-        names = ["item_id", "item_at", "n_tokens", "size", "hash", "template", "item_slots"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        names = ["item_id", "item_at", "needed", "size", "exact", "hash", "template", "item_slots"]
         for batch in batches:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -127,37 +134,37 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 n = len(made.form)
                 if n < LEAST_TOKENS:
                     continue
-                size = min(WINDOW, n)
-                for at, digest in enumerate(made.windows(size).astype(np.int64).tolist()):
-                    if digest:
-                        out.append((item, at, n, size, digest, made.template(at, size), made.slots(at, size)))
+                for exact, size in ((False, min(WINDOW, n)), (True, min(RUN, n))):
+                    sent = [(at, digest) for at, digest in enumerate(made.windows(size, exact).astype(np.int64).tolist()) if digest]
+                    needed = min(RUN - size + 1, len(sent))
+                    out += [(item, at, needed, size, exact, digest, made.template(at, size, exact), made.slots(at, size, exact)) for at, digest in sent]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
     rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
-    return rows.mapInArrow(run, "item_id long, item_at long, n_tokens long, size long, hash long, template string, item_slots array<string>")
+    return rows.mapInArrow(run, "item_id long, item_at long, needed long, size long, exact boolean, hash long, template string, item_slots array<string>")
 
 
-def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """doc_id, doc_at, hash, template, doc_slots of the windows whose hash falls on a set bit."""
+def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, bool]]) -> DataFrame:
+    """doc_id, doc_at, exact, hash, template, doc_slots of the windows whose hash falls on a set bit."""
 
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         marked = np.unpackbits(shared.value).astype(bool)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 made = Template(text, vocabulary)
-                for size in sizes:
-                    found = made.windows(size)
+                for size, exact in sizes:
+                    found = made.windows(size, exact)
                     for at in np.nonzero(marked[(found & np.uint64(BITS - 1)).astype(np.int64)] & (found != 0))[0].tolist():
-                        out.append((doc, at, int(found[at].astype(np.int64)), made.template(at, size), made.slots(at, size)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "doc_at", "hash", "template", "doc_slots"])
+                        out.append((doc, at, exact, int(found[at].astype(np.int64)), made.template(at, size, exact), made.slots(at, size, exact)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "doc_at", "exact", "hash", "template", "doc_slots"])
 
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, doc_at long, hash long, template string, doc_slots array<string>")
+    return rows.mapInArrow(run, "doc_id long, doc_at long, exact boolean, hash long, template string, doc_slots array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -166,23 +173,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     buckets = items.select(F.expr(f"hash & {BITS - 1}").alias("b")).distinct().toPandas()["b"].to_numpy()  # at most BITS numbers
     marked = np.zeros(BITS, bool)
     marked[buckets] = True
-    sizes = sorted(items.select("size").distinct().toPandas()["size"].tolist())  # at most WINDOW numbers
+    sizes = sorted((r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect())  # at most WINDOW + RUN pairs
     found = document_windows(docs, np.packbits(marked), sizes).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = found.join(salted, ["hash", "template", "salt"])
+    pairs = found.join(salted, ["hash", "template", "exact", "salt"])
     slots = F.arrays_zip("item_slots", "doc_slots")
     on_diagonal = pairs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
-        F.countDistinct("item_at").alias("n"),
-        F.first("n_tokens").alias("n_tokens"),
-        F.first("size").alias("size"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("n"),
+        F.countDistinct(F.when(F.col("exact"), F.col("item_at"))).alias("n_exact"),
+        F.max(F.when(~F.col("exact"), F.col("needed"))).alias("needed"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
     )
     values = F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))
     consistent = F.size("slots") == F.size(values)
-    needed = F.least(F.lit(RUN), F.col("n_tokens")) - F.col("size") + 1
-    right = on_diagonal.where(consistent & (F.col("n") >= needed))
-    differs = F.exists("slots", lambda s: s["item_slots"] != s["doc_slots"])
-    return right.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.min(differs).alias("reparameterised"))
+    alike = F.coalesce(consistent & (F.col("n") >= F.col("needed")), F.lit(False))
+    right = on_diagonal.withColumn("alike", alike).where("alike OR n_exact > 0")
+    differs = F.col("alike") & F.exists("slots", lambda s: s["item_slots"] != s["doc_slots"])
+    count = F.greatest("n_exact", F.when(F.col("alike"), F.col("n")))
+    return right.groupBy("doc_id", "item_id").agg(F.max(count).alias("n_windows"), F.min(differs).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

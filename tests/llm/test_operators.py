@@ -173,6 +173,21 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_decontamination_verbatim(spark):
+    items = {
+        1: "Add 12 and 15 and 20 then 3",  # a window with two plain tokens
+        2: "12 13 14 15 16 17 18 19 20 21 22 23 24 25 26",  # none at all
+        3: "Anna sells red shells",  # too short by definition
+        4: "Anna sells red shells here",  # a name or not, by what stands before
+        5: "Old Tom told Maria that\nJohn and Paul saw Ringo near George on Sunday",
+    }
+    texts = {k: f"It is said that {text} was asked" for k, text in items.items()}
+    texts |= {10 + k: f"It is said that {text.lower()} was asked" for k, text in items.items()} | {25: f"so {items[5]} it".replace("\n", " ")}
+    docs = spark.createDataFrame([*texts.items(), (30, "Add 12 and 15"), (31, "12 13 14 15 16 17 18 99 20 21 22 23 24 25 26")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, spark.createDataFrame([*items.items()], "item_id long, text string")).collect()}
+    assert found == {(k + add, k) for k in (1, 2, 4, 5) for add in (0, 10)} | {(25, 5)}
+
+
 def test_language(spark):
     found = langid.op7_language_id(spark, DATA).join(read(spark, DATA, "documents"), "doc_id").where("held_out AND lang IS NOT NULL")
     assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
