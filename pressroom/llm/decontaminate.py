@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders; windows of WINDOW template tokens of the
 benchmark are hash-joined with those of the documents. Windows of one item on one diagonal (same distance between
-both texts) form a match if enough of them agree and the slots are consistent: each value in the
-item's slots stands for one value in the document. Re-parameterised questions thus match, and
+both texts) form a match if enough of them have consistent slots: each value in the item's slots
+stands for one value in the document, be it in windows of equal slots, in neighbouring ones, or in those with each value's most frequent partner. Re-parameterised questions thus match, and
 coincidences of placeholders do not. Besides, RUN lower-cased tokens in a row, or all of a shorter item, match as they are, whatever their kinds.
 
 Documents send only windows whose hash falls on a set bit of a bitmap of BITS bits, of fixed size, made from the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,6 +168,38 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, b
     return rows.mapInArrow(run, "doc_id long, doc_at long, exact boolean, hash long, template string, doc_slots array<string>")
 
 
+def agreeing(windows: list[tuple[list[str], list[str]]], needed: int) -> tuple[int, bool]:
+    """Most windows that agree on one mapping, and whether their slots differ; 0 where fewer than needed do."""
+    pairs = [set(zip(ours, theirs, strict=True)) for ours, theirs in windows]
+    partners = Counter(pair for p in pairs for pair in p)
+    usual = {}
+    for (ours, theirs), _ in sorted(partners.items(), key=lambda x: (x[1], x[0])):
+        usual[ours] = theirs
+    sets = [[p for p in pairs if all(a == b for a, b in p)], [p for p in pairs if all(usual[a] == b for a, b in p)]]
+    # The longest stretch in which no value has two partners.
+    held, first, best = Counter(), 0, (0, 0)
+    theirs_of = {}
+    for k, p in enumerate(pairs):
+        for pair in p:
+            held[pair] += 1
+            theirs_of.setdefault(pair[0], set()).add(pair[1])
+        while any(len(theirs_of[a]) > 1 for a, _ in p) and first < k:
+            for pair in pairs[first]:
+                held[pair] -= 1
+                if not held[pair]:
+                    theirs_of[pair[0]].discard(pair[1])
+            first += 1
+        if len({a for a, _ in p}) < len(p):  # at odds with itself, so in no stretch
+            held, theirs_of, first = Counter(), {}, k + 1
+        elif k + 1 - first > best[1] - best[0]:
+            best = (first, k + 1)
+    sets.append(pairs[best[0] : best[1]])
+    most = max(sets, key=len)
+    if len(most) < needed:
+        return 0, False
+    return len(most), any(a != b for p in most for a, b in p)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (most on one diagonal), reparameterised (slots differ): one row for each pair that matches."""
     items = item_windows(benchmark)
@@ -177,20 +210,26 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = document_windows(docs, np.packbits(marked), sizes).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = found.join(salted, ["hash", "template", "exact", "salt"])
-    slots = F.arrays_zip("item_slots", "doc_slots")
+    window = F.struct("item_at", "item_slots", "doc_slots")
     on_diagonal = pairs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
-        F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("n"),
         F.countDistinct(F.when(F.col("exact"), F.col("item_at"))).alias("n_exact"),
         F.max(F.when(~F.col("exact"), F.col("needed"))).alias("needed"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
+        F.array_sort(F.collect_set(F.when(~F.col("exact"), window))).alias("windows"),
     )
-    values = F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))
-    consistent = F.size("slots") == F.size(values)
-    alike = F.coalesce(consistent & (F.col("n") >= F.col("needed")), F.lit(False))
-    right = on_diagonal.withColumn("alike", alike).where("alike OR n_exact > 0")
-    differs = F.col("alike") & F.exists("slots", lambda s: s["item_slots"] != s["doc_slots"])
-    count = F.greatest("n_exact", F.when(F.col("alike"), F.col("n")))
-    return right.groupBy("doc_id", "item_id").agg(F.max(count).alias("n_windows"), F.min(differs).alias("reparameterised"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "item_id", "n", "differs"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        for batch in batches:
+            out = []
+            for doc, item, n_exact, needed, windows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                n, differs = agreeing([(w["item_slots"], w["doc_slots"]) for w in windows], needed or 1)
+                if n or n_exact:
+                    out.append((doc, item, max(n, n_exact), differs))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+
+    right = on_diagonal.select("doc_id", "item_id", "n_exact", "needed", "windows").mapInArrow(judge, "doc_id long, item_id long, n long, differs boolean")
+    return right.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.min("differs").alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

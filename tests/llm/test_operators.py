@@ -188,6 +188,23 @@ def test_decontamination_verbatim(spark):
     assert found == {(k + add, k) for k in (1, 2, 4, 5) for add in (0, 10)} | {(25, 5)}
 
 
+def test_decontamination_one_repeat_edited(spark):
+    words = "while the old teacher in town gave Anna some apples and then told her class how many sweet pears".split()
+    question = " ".join([*words, "Anna got when", *words[6:], "got"])
+    second = question.rindex("Anna")
+    edited = question[:second] + "Maria" + question[second + 4 :]
+    changed = edited.replace("Anna", "Berta")
+    docs = spark.createDataFrame([(1, question), (2, edited), (3, changed), (4, "told Anna and Maria")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, spark.createDataFrame([(7, question)], "item_id long, text string")).collect()}
+    assert found == {(1, 7), (2, 7), (3, 7)}
+    window = lambda a, b: (a.split(), b.split())
+    assert decontaminate.agreeing([window("a b", "c d"), window("a", "e"), window("b", "d")], 3) == (0, False)
+    assert decontaminate.agreeing([window("a b", "c d"), window("a", "e"), window("b", "d")], 2) == (2, True)
+    assert decontaminate.agreeing([window("a a", "c d")], 1) == (0, False)
+    assert decontaminate.agreeing([window("a a", "c d"), window("b", "f")], 2) == (0, False)
+    assert decontaminate.agreeing([], 1) == (0, False)
+
+
 def test_language(spark):
     found = langid.op7_language_id(spark, DATA).join(read(spark, DATA, "documents"), "doc_id").where("held_out AND lang IS NOT NULL")
     assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
