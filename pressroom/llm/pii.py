@@ -71,6 +71,9 @@ SPOKEN_ADDRESS = re.compile(
     rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{_dot}\s+)[A-Za-z0-9_%+-]+)*(\s+(?:at|arroba)\s+|@)[A-Za-z0-9-]+(?:(?:\s+{_dot}\s+|\.)(?!{_dot}\b)[A-Za-z0-9-]+)+(?!\w)",
     re.IGNORECASE,
 )
+#: The middle of every SPOKEN_ADDRESS, which is faster to look for.
+SPOKEN_HINT = re.compile(rf"(?:\s(?:at|arroba)\s+|@)[A-Za-z0-9-]+(?:\s+{_dot}\s+|\.)(?!{_dot}\b)[A-Za-z0-9-]", re.IGNORECASE)
+AT_WORDS = ("at", "arroba")
 DOT_WORDS = ("dot", "point", "punto", "punkt")
 SPELLED_NEXT = {*SPELLED, *DOT_WORDS}
 SPOKEN_AT = re.compile(r"\s+(?:at|arroba)\s+", re.IGNORECASE)
@@ -163,7 +166,7 @@ def spelled_digits(tape: Tape) -> None:
 def at_and_dot(tape: Tape, spoken: bool) -> None:
     tape.rewrite([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(tape.text)])
-    if spoken:
+    if spoken and SPOKEN_HINT.search(tape.text):
         edits = []
         for address in SPOKEN_ADDRESS.finditer(tape.text):
             edits += [(m.start(), m.end(), "@") for m in SPOKEN_AT.finditer(tape.text, *address.span())]
@@ -196,7 +199,7 @@ def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, i
         a in SPELLED and b in SPELLED_NEXT for a, b in zip(words, words[1:], strict=False)
     ):
         spelled_digits(tape)
-    spoken = not set(DOT_WORDS).isdisjoint(words)
+    spoken = not {*AT_WORDS, *DOT_WORDS}.isdisjoint(words)
     if spoken or any(c in lower for c in "[({<") and BRACKET_HINT.search(lower):
         at_and_dot(tape, spoken)
     if tape.text == text:

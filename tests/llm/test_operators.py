@@ -161,6 +161,14 @@ def test_pii_spans():
     assert pii.redacted("") == ""
 
 
+@pytest.mark.parametrize("more", ["", " That is the point of it."])
+@pytest.mark.parametrize("address", ["jane at example.com", "jane.doe ARROBA mail.example.org", "jane at example [dot] com", "jane at example dot com", "jane@example dot com"])
+def test_pii_spoken_at(address, more):
+    text = f"Write to {address} now.{more}"
+    assert [(kind, text[a:b], plain) for kind, a, b, plain in pii.spans_of(text)] == [("email", address, False)]
+    assert pii.spans_of(f"We met at noon and left at 5.{more}") == []
+
+
 def test_decontamination(spark):
     question = "A farmer has 12 cows and buys 30 more cows from Anna each month so how many cows are there after 5 years in total"
     changed = question.replace("12", "99").replace("Anna", "Maria")
