@@ -22,7 +22,7 @@ def docs(spark):
     given = read(spark, DATA, "documents").limit(120).collect()
     rows = [(r.doc_id, r.text, r.lang) for r in given]
     long_one = rows[3][1]
-    odd = [None, "", " \n\t ", "one", "two words", "a\x1cb  c\x85\n\n d", long_one, long_one + " and more", "aaaa" * 200, "x " * 400, "<|im_end|> \\<| |>"]
+    odd = [None, "", " \n\t ", "one", "two words", "a\x1cb  c\x85\n\n d", long_one, long_one + " and more", "aaaa" * 200, "x " * 400, "<|im_end|> \\<| |>", "a<|endoftext|>b c", " a\u00a0b", "a\n\nb\u00a0c", "tab\there it's 12345 \u4e2d\u6587\u3000x"]
     rows += [(10_000 + k, text, "en" if k % 2 else None) for k, text in enumerate(odd)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"key": F.lit(1), "row": F.lit("r"), "n": F.lit(2), "value": F.lit("v")}).cache()
 
@@ -41,7 +41,7 @@ def test_byte_bpe(docs, texts):
 
 def test_token_file(spark, docs, texts, tmp_path):
     tokenizer, at = Tokenizer.from_file(public_tokenizers.path(tokenfile.TOKENIZER)), 0
-    tokenfile.write(tokenfile.encode(docs), f"file://{tmp_path}/t")
+    tokenfile.write(docs, f"file://{tmp_path}/t")
     found = sorted(tokenfile.read_documents(spark, f"file://{tmp_path}/t").collect())
     assert len(found) == len(texts)
     for r in found:
@@ -50,6 +50,17 @@ def test_token_file(spark, docs, texts, tmp_path):
         at += len(ids)
 
 
+def test_token_file_spans_blocks(spark, docs, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK", 100)
+    folder = f"file://{tmp_path}/t"
+    tokenfile.write(docs.where("doc_id < 40"), folder)
+    assert spark.read.parquet(f"{folder}/blocks").where("size(planes) <> 32 OR count > 100").count() == 0
+    encoded = {r.doc_id: bytes(r.ids) for r in tokenfile.encode(docs).collect()}
+    found = tokenfile.read_documents(spark, folder).collect()
+    assert {r.doc_id: r.ids_crc32 for r in found} == {k: zlib.crc32(v) for k, v in encoded.items() if k < 40}
+    assert tokenfile.joined_crc(zlib.crc32(b"ab"), zlib.crc32(b"cde"), 3) == zlib.crc32(b"abcde")
+
+
 def test_planes():
     ids = np.random.default_rng(1).integers(0, 1 << 32, 1001, np.uint32)
     assert (tokenfile.from_planes(tokenfile.to_planes(ids), len(ids)) == ids).all()
@@ -216,3 +227,34 @@ def test_decontamination_one_repeat_edited(spark):
 def test_language(spark):
     found = langid.op7_language_id(spark, DATA).join(read(spark, DATA, "documents"), "doc_id").where("held_out AND lang IS NOT NULL")
     assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
+
+
+def test_language_scores(spark, docs, texts):
+    """Every row against the definition, word by word, n-gram by n-gram."""
+    import regex
+
+    model = langid.learn(docs.where("doc_id < 80"))
+    assert set(model.langs) <= {"en", "fr", "de", "es"} and len(model.units[0]) > 500
+    logs = {(k, unit): model.logs[row] for k, units in enumerate(model.units) for unit, row in units.items()}
+    for r in langid.identify(docs, model).collect():
+        words = regex.findall(r"\p{L}+", texts[r.doc_id].lower())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = np.zeros(len(model.langs))
+        for word in words:
+            marked = f" {word} "
+            found = [(0, word)] if (0, word) in logs else [next((k, marked[i : i + k]) for k in (5, 4, 3, 2, 1, 0) if (k, marked[i : i + k]) in logs or not k) for i in range(len(marked))]
+            found = [logs[u] for u in found if u in logs]
+            total += np.mean(found, 0) if found else 0
+        odds = np.exp((total - total.max()) / len(words))
+        assert abs(r.score - odds.max() / odds.sum()) < 1e-5
+        assert abs(odds[model.langs.index(r.lang_pred)] - 1) < 1e-5
+
+
+def test_language_sample_is_bounded(spark, docs):
+    rows = docs.where("doc_id < 80").union(docs.where("doc_id < 80"))
+    assert langid.sample(rows, 6).select("lang").distinct().count() == 4
+    assert langid.sample(rows, 6).count() <= 12
+    nothing = langid.identify(docs, langid.learn(docs.where("lang = 'xx'")))
+    assert {r.lang_pred for r in nothing.collect()} == {"und"}
