@@ -3,8 +3,7 @@
 Two tiers: a minimal perfect hash over the vocabulary resolves a pre-token that is
 itself an entry; any other pre-token is merged, lowest rank first and leftmost among
 equals, with a heap of candidate pairs over a doubly linked list of its bytes, in
-O(n log n) for n bytes. Every worker remembers the words it has met, up to
-CACHE_WORDS, so that the tiers run once for each distinct word.
+O(n log n) for n bytes. Every worker remembers the words it has met, so that the tiers run once for each.
 
 Defined results: a null or empty text has no ids and decodes to no bytes. Ids outside
 the vocabulary raise when decoded. Repeated rows are encoded one by one; columns other
@@ -14,9 +13,9 @@ than doc_id and text are not read.
 from __future__ import annotations
 
 import base64
-import heapq
-import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +29,12 @@ from pyspark.sql import types as T
 from pressroom.llm.common import pieces, read, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Distinct words that a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 100_000
-#: Pairs of neighbouring parts whose rank a worker remembers.
-CACHE_PAIRS = 200_000
+#: Distinct words that a worker remembers in each of two generations.
+CACHE_WORDS = 150_000
 #: Documents decoded at once.
 DECODE_ROWS = 500
 #: Average keys in a bucket of the perfect hash.
 BUCKET_KEYS = 2
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,52 +94,106 @@ class PerfectHash:
         return place if place >= 0 and self.keys[place] == key else -1
 
 
+class Words:
+    """Ids, as packed unsigned 32-bit numbers, of texts by their words, each distinct word encoded once while it is remembered.
+
+    No pre-token crosses a single white space between two other characters, so the words of a text with no other white space are
+    encoded apart; other texts are encoded whole. Two generations are kept: a word met again
+    moves to the younger one, and when that is full, the elder one, which holds words not met since, is dropped.
+    """
+
+    def __init__(self, encode_many, most: int):
+        self.encode_many, self.most = encode_many, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        split = [spaced(text) for text in texts]
+        met = set()
+        for words in split:
+            if words:
+                met.update(words[1:])
+        young, old = self.young, self.old
+        new = []
+        for word in met.difference(young):
+            known = old.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                young[word] = known
+        if new:
+            young.update(zip(new, self.encode_many([word if word[:1] == "\n" else " " + word for word in new]), strict=True))
+        # First words and whole texts stand for themselves.
+        alone = self.encode_many([words[0] if words else text for words, text in zip(split, texts, strict=True)])
+        get = young.__getitem__
+        return [head + b"".join(map(get, words[1:])) if words else head for words, head in zip(split, alone, strict=True)]
+
+
+def spaced(text: str) -> list[str] | None:
+    """The words of a text whose only white space is single blanks and line feeds between others, a feed staying before its word; else None."""
+    words = text.split()
+    gaps = len(words) - 1
+    if gaps < 0 or len(text) - len("".join(words)) != gaps:
+        return None
+    feeds = text.count("\n")
+    if text.count(" ") + feeds != gaps:
+        return None
+    return text.replace("\n", " \n").split(" ") if feeds else words
+
+
 class Encoder:
-    """Ids of pre-tokens and texts; built on the driver, broadcast (its size is the vocabulary's), and filled by each worker."""
+    """Ids of pre-tokens; built on the driver and broadcast: its size is the vocabulary's. Workers keep their words in it from task to task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.tokens = list(ranks)
         self.ids = [ranks[token] for token in self.tokens]
         self.vocabulary = PerfectHash(self.tokens)
         self.bytes = [self.rank(bytes([b])) for b in range(256)]
-        self.pattern = pattern
+        self.pattern = regex.compile(pattern)
+        self.words = Words(self.many, CACHE_WORDS)
         self.text_of = dict(zip(self.ids, self.tokens, strict=True))
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[int, int] = {}
+        # Rank of every token by the ids of any two parts that make it up: parts without an entry do not merge.
+        self.pairs = {
+            ranks[token[:k]] << 32 | ranks[token[k:]]: rank
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        }
 
     def __getstate__(self):
-        return self.__dict__ | {"words": {}, "pairs": {}}
+        return {name: value for name, value in self.__dict__.items() if name != "words"}
 
-    def split(self, text: str) -> list[str]:
-        return regex.findall(self.pattern, text)
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.words = Words(self.many, CACHE_WORDS)
 
     def rank(self, token: bytes) -> int:
         place = self.vocabulary.find(token)
         return self.ids[place] if place >= 0 else -1
 
-    def joined(self, pair: int) -> int:
-        """Rank of two neighbouring parts as one, or -1; remembered by the parts' ids."""
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        found = self.pairs[pair] = self.rank(self.text_of[pair >> 32] + self.text_of[pair & 0xFFFFFFFF])
-        return found
-
     def merge(self, token: bytes) -> list[int]:
         """Merge the bytes of a pre-token, always the pair of the lowest rank, the leftmost first."""
-        parts = [self.bytes[b] for b in token]  # at a part's first byte its id; -1 once it is merged away
+        table = self.bytes
+        parts = [table[b] for b in token]  # at a part's first byte its id; -1 once it is merged away
         size = len(parts)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        known, heap = self.pairs.get, []
-        for start in range(size - 1):
-            pair = parts[start] << 32 | parts[start + 1]
+        known = self.pairs.get
+        heap = []
+        left = parts[0]
+        for start in range(1, size):
+            right = parts[start]
+            pair = left << 32 | right
             rank = known(pair)
-            if rank is None:
-                rank = self.joined(pair)
-            if rank >= 0:
-                heap.append((rank, start, pair))
-        heapq.heapify(heap)
+            if rank is not None:
+                heap.append((rank, start - 1, pair))
+            left = right
+        if not heap:
+            return parts
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heapify(heap)
         while heap:
-            rank, start, pair = heapq.heappop(heap)
+            rank, start, pair = heappop(heap)
             middle = after[start]
             if middle >= size or parts[start] << 32 | parts[middle] != pair:
                 continue  # one of the two parts has changed since
@@ -153,50 +203,30 @@ class Encoder:
                 before[stop] = start
                 pair = rank << 32 | parts[stop]
                 new = known(pair)
-                if new is None:
-                    new = self.joined(pair)
-                if new >= 0:
-                    heapq.heappush(heap, (new, start, pair))
+                if new is not None:
+                    heappush(heap, (new, start, pair))
             if start:
                 left = before[start]
                 pair = parts[left] << 32 | rank
                 new = known(pair)
-                if new is None:
-                    new = self.joined(pair)
-                if new >= 0:
-                    heapq.heappush(heap, (new, left, pair))
+                if new is not None:
+                    heappush(heap, (new, left, pair))
         return [part for part in parts if part >= 0]
 
-    def pretoken(self, token: str) -> list[int]:
-        raw = token.encode("utf-8")
-        found = self.rank(raw)
-        return [found] if found >= 0 else self.merge(raw)
-
-    def word(self, word: str) -> bytes:
-        """Ids, as unsigned 32-bit numbers, of a stretch of text; remembered."""
-        ids = [i for token in self.split(word) for i in self.pretoken(token)]
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        packed = self.words[word] = np.array(ids, "<u4").tobytes()
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as unsigned little-endian 32-bit numbers.
-
-        No pre-token crosses a single white space between two other characters, so such texts are looked up
-        word by word; others are split by the pattern first.
-        """
-        parts = self.split(text) if _RUNS.search(text) else words_of(text)
-        known = self.words.get
-        return b"".join([known(part) or self.word(part) for part in parts])
-
+    def text(self, text: str) -> list[int]:
+        """Ids of a stretch of text, pre-token by pre-token: first tier, then second."""
+        out = []
+        for token in self.pattern.findall(text):
+            raw = token.encode("utf-8")
+            found = self.rank(raw)
+            if found >= 0:
+                out.append(found)
+            else:
+                out += self.merge(raw)
+        return out
 
-def words_of(text: str) -> list[str]:
-    """The text cut before each white-space character: every part but the first begins with one."""
-    if not text:
-        return []
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [first, *(part if part[:1] == "\n" else " " + part for part in rest)]
+    def many(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.text(text)).tobytes() for text in texts]
 
 
 _built: dict[str, Encoder] = {}
@@ -216,7 +246,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
         for batch in pieces(batches):
-            packed = [encoder.encode(text) for text in batch.column(1).to_pylist()]
+            packed = encoder.words.encode(batch.column(1).to_pylist())
             offsets = np.zeros(len(packed) + 1, "<i4")
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
             flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))

@@ -2,11 +2,12 @@
 
 A file set is two tables in one folder. `blocks`: shard, block, count and planes, the BLOCK ids of a block
 cut into their 32 bit planes (plane k holds bit k of every id, eight to a byte), each
-plane compressed alone. `index`: shard, doc_id, position in the shard, n_tokens. Shards are
-ranges of doc_id in ascending order; the blocks of a shard follow one another.
+plane compressed alone, and the documents with ids in the block: doc_ids, positions in the shard, lengths. `index`, the
+chunk index: shard, block, first document, count and bytes of the planes. Shards are ranges of doc_id in ascending
+order; the blocks of a shard follow one another. Texts are shuffled once, ids never.
 
-Defined results: a null or empty text has only the end id. Repeated doc_ids are kept, in the order of their ids. An empty
-table gives empty files. Columns other than doc_id and text are not read.
+Defined results: a null or empty text has only the end id. Repeated doc_ids are kept, in the order of a hash of their texts. An empty
+table gives empty files. A very long text runs on through as many blocks as it needs. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,48 +24,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pressroom.llm.bpe import _RUNS, words_of
-from pressroom.llm.common import read, shared_dir, stored, texts
+from pressroom.llm.bpe import Words
+from pressroom.llm.common import pieces, read, shared_dir, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK = 65_536
-#: Distinct words that a worker remembers; it starts anew beyond them.
-CACHE_WORDS = 300_000
+#: Distinct words that a worker remembers in each of two generations.
+CACHE_WORDS = 150_000
+#: Words that the tokenizer is given in one string.
+TOGETHER = 1000
 ORACLE_SQL = None
 
-_loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+_loaded: dict[str, Words] = {}
 
 
-def encoder(name: str):
-    """A function from a list of texts to their ids as little-endian unsigned 32-bit numbers.
-
-    Pre-tokens never cross a single white space between two other characters, so the tokenizer sees each distinct word once;
-    texts with other white space go to it whole.
-    """
+def encoder(name: str) -> Words:
+    """The worker's memory of words and their ids, kept from task to task."""
     if name not in _loaded:
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        tokenizer.encode_special_tokens = True
-        _loaded[name] = tokenizer, {}
-    tokenizer, known = _loaded[name]
-    packed = lambda e: np.array(e.ids, "<u4").tobytes()
-
-    def encode(values: list[str]) -> list[bytes]:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        out = []
-        for text in values:
-            if _RUNS.search(text):
-                out.append(packed(tokenizer.encode(text, add_special_tokens=False)))
-                continue
-            words = words_of(text)
-            new = [w for w in set(words) if w not in known]
-            if new:
-                known.update(zip(new, map(packed, tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-            out.append(b"".join([known[w] for w in words]))
-        return out
-
-    return encode
+        vocabulary = tokenizer.get_vocab(True)
+        # Byte-level tokens are spelled with one character for each byte.
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            sizes[number] = len(token)
+        ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+        def many(texts: list[str]) -> list[bytes]:
+            """Words that begin with white space are encoded in one string and told apart by the bytes their ids stand for."""
+            out: list[bytes] = []
+            for at in range(0, len(texts), TOGETHER):
+                some = texts[at : at + TOGETHER]
+                if all(text[:1] in (" ", "\n") for text in some):
+                    ids = ids_of("".join(some))
+                    ends = np.cumsum([len(text.encode("utf-8")) for text in some])
+                    reached = np.cumsum(sizes[ids])
+                    stops = np.searchsorted(reached, ends)
+                    if len(ids) and stops[-1] == len(ids) - 1 and (reached[stops] == ends).all():
+                        packed, start = ids.tobytes(), 0
+                        for stop in (4 * stops + 4).tolist():
+                            out.append(packed[start:stop])
+                            start = stop
+                        continue
+                out += [ids_of(text).tobytes() for text in some]
+            return out
+
+        _loaded[name] = Words(many, CACHE_WORDS)
+    return _loaded[name]
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -72,9 +78,9 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = encoder(tokenizer)
-        for batch in batches:
-            ids = [found + end for found in encoded(batch.column(1).to_pylist())]
+        words = encoder(tokenizer)
+        for batch in pieces(batches):
+            ids = [found + end for found in words.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
@@ -94,11 +100,9 @@ def from_planes(planes: list[bytes], count: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
-def write(encoded: DataFrame, folder: str) -> None:
-    """Write the two tables of a file set; only ids, not texts, are shuffled."""
-    spark = encoded.sparkSession
-    kept = stored(encoded)
-    ranged = kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
+    """Encode the texts of docs and write the two tables of a file set."""
+    ranged = texts(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -108,17 +112,19 @@ def write(encoded: DataFrame, folder: str) -> None:
         entries: list[tuple[int, int, int]] = []
 
         def flush(count: int):
-            nonlocal held, size, block
+            nonlocal held, size, block, entries
             data = b"".join(held)
             head, rest = data[: 4 * count], data[4 * count :]
             held, size = [rest], len(rest) // 4
             columns = [[shard], [block], [count], [to_planes(np.frombuffer(head, "<u4"))], *([[e[k] for e in entries]] for k in range(3))]
-            entries.clear()
+            entries = entries[-1:] if rest else []  # the last document goes on in the next block
             block += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        words, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in pieces(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 entries.append((doc, at, len(ids) // 4))
                 held.append(ids)
                 size += len(ids) // 4
@@ -129,50 +135,75 @@ def write(encoded: DataFrame, folder: str) -> None:
             yield flush(size)
 
     schema = "shard int, block long, count int, planes array<binary>, doc_ids array<long>, positions array<long>, lengths array<long>"
-    both = stored(ranged.mapInArrow(run, schema))
-    both.select("shard", "block", "count", "planes").write.parquet(f"{folder}/blocks")
-    index = both.select("shard", F.explode(F.arrays_zip("doc_ids", "positions", "lengths")).alias("e"))
-    index.select("shard", F.col("e.doc_ids").alias("doc_id"), F.col("e.positions").alias("position"), F.col("e.lengths").alias("n_tokens")).write.parquet(f"{folder}/index")
-    spark.catalog.refreshByPath(folder)
+    ranged.mapInArrow(run, schema).write.parquet(f"{folder}/blocks")
+    blocks = docs.sparkSession.read.parquet(f"{folder}/blocks")
+    sizes = F.transform("planes", lambda p: F.octet_length(p))
+    blocks.select("shard", "block", F.get("doc_ids", 0).alias("first_doc"), "count", sizes.alias("plane_bytes")).write.parquet(f"{folder}/index")
+
+
+def joined_crc(first: int, second: int, size: int) -> int:
+    """crc32 of two stretches in a row from their own, the second of `size` bytes: `size` zero bytes are run through the first."""
+    square = [0xEDB88320, *(1 << k for k in range(31))]  # what one zero bit does to each bit of a crc
+
+    def times(matrix: list[int], vector: int) -> int:
+        out = 0
+        for row in matrix:
+            if vector & 1:
+                out ^= row
+            vector >>= 1
+            if not vector:
+                break
+        return out
+
+    bits = 8 * size
+    while bits:
+        if bits & 1:
+            first = times(square, first)
+        bits >>= 1
+        square = [times(square, row) for row in square] if bits else square
+    return first ^ second
 
 
 def read_documents(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone; each shard is read as a stream."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone: blocks are read where they lie, only pieces' checksums travel."""
     blocks, index = spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/index")
-    totals = blocks.groupBy("shard").agg(F.sum("count").alias("total"))
+    totals = index.groupBy("shard").agg(F.sum("count").alias("total"))
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row for each shard
     bases = totals.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
-    # A document's row goes before the block in which it begins.
-    begun = index.groupBy("shard", F.floor(F.col("position") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("position", "n_tokens", "doc_id"))).alias("docs"))
-    rows = blocks.join(begun, ["shard", "block"], "left").join(F.broadcast(bases), "shard")
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "block").select("shard", "base", "count", "planes", "docs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_doc = None
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "block", "doc_id", "position", "n_tokens", "size", "crc"]
+        types = [pa.int32(), *[pa.int64()] * 6]
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                ids, at = from_planes(row["planes"], row["count"]), 0
-                waiting = iter(row["docs"] or [])
-                while at < len(ids):
-                    if open_doc is None:
-                        doc = next(waiting)
-                        open_doc = [doc["doc_id"], row["base"] + doc["position"], doc["n_tokens"], 0, doc["n_tokens"]]
-                    taken = min(open_doc[4], len(ids) - at)
-                    open_doc[3] = zlib.crc32(ids[at : at + taken].tobytes(), open_doc[3])
-                    open_doc[4] -= taken
-                    at += taken
-                    if not open_doc[4]:
-                        out.append(open_doc[:4])
-                        open_doc = None
-            columns = [[r[k] for r in out] for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                ids, base = from_planes(row["planes"], row["count"]), row["block"] * BLOCK
+                for doc, position, length in zip(row["doc_ids"], row["positions"], row["lengths"], strict=True):
+                    part = ids[max(0, position - base) : position + length - base]
+                    out.append((row["shard"], row["block"], doc, position, length, part.nbytes, zlib.crc32(part.tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for parts in batch.column(3).to_pylist():
+                crc = parts[0]["crc"]
+                for part in parts[1:]:
+                    crc = joined_crc(crc, part["crc"], part["size"])
+                found.append(crc)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    made = blocks.select("shard", "block", "count", "planes", "doc_ids", "positions", "lengths")
+    made = made.mapInArrow(pieces_of, "shard int, block long, doc_id long, position long, n_tokens long, size long, crc long")
+    parts = F.sort_array(F.collect_list(F.struct("block", "size", "crc"))).alias("parts")  # as many as a text has blocks
+    docs = made.groupBy("shard", "position", "doc_id", "n_tokens").agg(parts).join(F.broadcast(bases), "shard")
+    docs = docs.select("doc_id", (F.col("base") + F.col("position")).alias("start"), "n_tokens", "parts")
+    return docs.mapInArrow(whole, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_file(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over the whole documents table, read back from the files."""
     folder = shared_dir(spark)
-    write(encode(read(spark, sf_dir, "documents")), folder)
+    write(read(spark, sf_dir, "documents"), folder)
     return read_documents(spark, folder)
