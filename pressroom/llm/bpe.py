@@ -30,7 +30,7 @@ from pressroom.llm.common import pieces, read, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words that a worker remembers in each of two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 #: Documents decoded at once.
 DECODE_ROWS = 500
 #: Average keys in a bucket of the perfect hash.
