@@ -3,8 +3,8 @@
 A known word scores its log frequency in each language. An unseen word is scored by its known n-grams: at
 every place the longest one, of LONGEST to one character, that the model holds. A text's scores are the means over its words.
 
-The model is fit on a bounded sample: SAMPLE_ROWS labelled rows, as many of each language as of any other while they last,
-those of least hash of doc_id first. It keeps every word and n-gram of the sample, so its size is bounded by
+The model is fit on a bounded sample: SAMPLE_ROWS labelled rows at most, the same quota for each language, those of least hash
+of doc_id first. It keeps every word and n-gram of the sample, so its size is bounded by
 the sample's, whatever the corpus holds. All rows are predicted, from whole texts.
 
 Defined results: a null text and one without letters are `und`, score 0; so is everything if no row names a language. Ties
@@ -38,12 +38,19 @@ LETTERS = regex.compile(r"\p{L}+")
 
 
 def sample(rows: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """lang, text of at most `most` labelled rows (and rows that share their doc_id); only keys are ranked, not texts."""
+    """lang, text of at most `most` labelled rows (and rows that share their doc_id).
+
+    Every language has the same quota. Rows are thinned by a hash of doc_id to about twice the quota before they are ranked, so
+    that no task ranks all rows of a language, and only keys are ranked, not texts.
+    """
     named = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.crc32(F.concat(F.lit("sample "), F.col("doc_id").cast("string")).cast("binary"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(most)
+    quota = F.greatest(F.lit(1), F.floor(F.lit(most) / F.count("*").over(Window.partitionBy())))  # over `most` rows at most
+    share = sizes.withColumn("quota", quota).select("lang", "quota", (2 * F.col("quota") / F.col("size")).alias("share"))
+    thin = named.select("doc_id", "lang", order.alias("order")).join(F.broadcast(share), "lang").where(F.col("order") < F.col("share") * 2**32)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    keys = named.select("doc_id", "lang", order.alias("order")).withColumn("rank", rank).where(F.col("rank") <= most)
-    chosen = keys.orderBy("rank", "lang", "doc_id").limit(most).select("doc_id").distinct()
+    chosen = thin.withColumn("rank", rank).where("rank <= quota").orderBy("rank", "lang", "doc_id").limit(most).select("doc_id").distinct()
     return named.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # at most `most` ids
 
 
