@@ -33,20 +33,18 @@ def title_tokens(title: Column, language: Column) -> Column:
 @F.pandas_udf(T.LongType())
 def simhash64(tokens: pd.Series) -> pd.Series:
     """63 bits: bit i tells whether most tokens' md5 (low 64 bits) have it set; none: 0."""
-    known: dict[str, np.ndarray] = {}
-
-    def bits(token: str) -> np.ndarray:
-        if token not in known:
-            known[token] = np.unpackbits(np.frombuffer(hashlib.md5(token.encode()).digest()[8:], np.uint8))
-        return known[token]
-
-    def one(row) -> int:
-        if row is None or not len(row):
-            return 0
-        set_bits = np.sum([bits(t) for t in row], axis=0, dtype=np.int64) * 2 > len(row)
-        return int.from_bytes(np.packbits(set_bits).tobytes(), "big") & 0x7FFFFFFFFFFFFFFF
-
-    return tokens.map(one)
+    rows = [() if row is None else row for row in tokens]
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.zeros(len(rows), np.int64)
+    some = sizes > 0
+    if some.any():
+        codes, distinct = pd.factorize(np.array([t for row in rows for t in row], object))
+        digests = b"".join(hashlib.md5(t.encode()).digest()[8:] for t in distinct)
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+        starts = (np.cumsum(sizes) - sizes)[some]
+        most = np.add.reduceat(bits[codes], starts, axis=0, dtype=np.int64) * 2 > sizes[some, None]
+        out[some] = np.packbits(most, axis=1).view(">u8").ravel().astype(np.int64) & 0x7FFFFFFFFFFFFFFF
+    return pd.Series(out, index=tokens.index)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -22,7 +22,13 @@ def normalized(url: str) -> str:
         query = {k: v for k, v in parse_qs(parts.query).items() if k.lower() not in TRACKING}
     except ValueError:
         return url
-    path = parts.path[:-1] if parts.path.endswith("/") and parts.path != "/" else parts.path
+    # Parameters of the path's last segment are no part of it when a closing slash is looked for.
+    segment = parts.path.rfind("/") + 1
+    at = parts.path.find(";", segment)
+    path, rest = (parts.path, "") if at < 0 else (parts.path[:at], parts.path[at:])
+    if path.endswith("/") and path != "/":
+        path = path[:-1]
+    path += rest if len(rest) > 1 else ""
     return urlunsplit((parts.scheme.lower(), parts.netloc.lower().removeprefix("www."), path, urlencode(query, doseq=True), ""))
 
 

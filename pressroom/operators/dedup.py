@@ -1,40 +1,262 @@
-"""Levels of the duplicate cascade."""
+"""The duplicate cascade: exact URL, near title, shared entities, similar vectors, and what follows from them.
+
+Articles come in the order of (crawled_at, id); an article may only be the duplicate of an earlier one.
+"""
 
 from __future__ import annotations
 
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.functions.text import hamming, preprocess_title, simhash64, title_tokens
+from pressroom.functions.text import cosine, hamming, preprocess_title, simhash64, title_tokens
 from pressroom.functions.urls import url_hash
+from pressroom.lineage import cut, drop
 
+HOUR = 3_600_000_000
+#: Vectors compared with each other in one group of rows.
+BLOCK_ROWS = 2000
 
-def exact_url(articles: DataFrame) -> DataFrame:
-    """id, url_hash, duplicate_of: the earliest row of the same normalised URL, null on that row itself."""
-    hashed = articles.select("id", url_hash(F.col("url")).alias("url_hash"))
-    first = F.min("id").over(Window.partitionBy("url_hash"))
-    return hashed.withColumn("first_id", first).select(
-        "id", "url_hash", F.when(F.col("first_id") < F.col("id"), F.col("first_id")).alias("duplicate_of")
-    )
 
+def exact_url(articles: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """L1: id, url_hash, duplicate_of: the earliest row of the same normalised URL, null on that row itself.
 
-def near_titles(articles: DataFrame, distance: int = 3, days: int = 7) -> DataFrame:
-    """L2: id, duplicate_of, distance: the nearest earlier title of the same language within the look-back; ties go to the lowest id.
-
-    Two hashes at most 3 bits apart agree on one of four bands of 16 bits; equal hashes meet in the first.
-    A title that very many articles share makes one hot band; AQE splits it.
+    Rows of `history` (id, url_hash) come before all others. A null URL equals no other.
     """
+    hashed = articles.select("id", "crawled_at", url_hash(F.col("url")).alias("url_hash"))
+    known = hashed.where("url_hash IS NOT NULL").groupBy("url_hash").agg(F.min_by("id", F.struct("crawled_at", "id")).alias("first_id"))
+    out = hashed.join(known, "url_hash", "left")
+    first = F.when(F.col("first_id") != F.col("id"), F.col("first_id"))
+    if history is not None:
+        before = history.groupBy("url_hash").agg(F.min("id").alias("old_id"))
+        out, first = out.join(before, "url_hash", "left"), F.coalesce("old_id", first)
+    return out.select("id", "url_hash", first.alias("duplicate_of"))
+
+
+def with_simhash(articles: DataFrame) -> DataFrame:
+    """id, crawled_at, language, hash of the articles whose title has one."""
     title = preprocess_title(F.col("title"))
     hashed = articles.where(F.length(title) > 0).select(
         "id", "crawled_at", F.coalesce("language", F.lit("en")).alias("language"), simhash64(title_tokens(title, F.col("language"))).alias("hash")
     )
-    back = F.col("e.crawled_at") > F.col("l.crawled_at") - F.expr(f"INTERVAL {days} DAYS")
-    earlier = F.struct(F.col("e.crawled_at"), F.col("e.id")) < F.struct(F.col("l.crawled_at"), F.col("l.id"))
-    bands = F.posexplode(F.array(*(F.shiftright("hash", 16 * k).bitwiseAND(0xFFFF) for k in range(4)))).alias("band", "bits")
-    banded = hashed.select("*", bands)
-    same = (F.col("e.language") == F.col("l.language")) & (F.col("e.band") == F.col("l.band")) & (F.col("e.bits") == F.col("l.bits"))
-    pairs = banded.alias("l").join(banded.alias("e"), same & earlier & back)
-    apart = hamming(F.col("l.hash"), F.col("e.hash"))
-    pairs = pairs.select(F.col("l.id").alias("id"), F.col("e.id").alias("other"), apart.alias("distance")).where(F.col("distance") <= distance)
+    return hashed.where("hash <> 0")
+
+
+def near_hashes(hashes: DataFrame, distance: int) -> DataFrame:
+    """language, hash, other, distance: the different hashes of a language at most `distance` bits (up to 3) apart, other in the same week or the one before.
+
+    They agree on one of four bands of 16 bits; articles of one hash and week are one row here, whatever their number.
+    """
+    bands = F.posexplode(F.array(*(F.shiftrightunsigned("hash", 16 * k).bitwiseAND(0xFFFF) for k in range(4)))).alias("band", "bits")
+    banded = hashes.select("language", "hash", "week", bands)
+    both = banded.select("language", F.col("hash").alias("other"), F.explode(F.array("week", F.col("week") + 1)).alias("week"), "band", "bits").distinct()
+    apart = hamming(F.col("hash"), F.col("other"))
+    pairs = banded.join(both, ["language", "week", "band", "bits"]).where((F.col("hash") != F.col("other")) & (apart <= distance))
+    return pairs.select("language", "hash", "other", apart.alias("distance")).distinct()
+
+
+def earliest_within(probes: DataFrame, rows: DataFrame, key: list[str], hours: int) -> DataFrame:
+    """probes with `other`: the least id of the rows of the same key before the probe, but less than `hours` before; null if none.
+
+    Hours in between are looked up by their least ids, the two hours at the ends by running minima, so a key shared by
+    very many rows is split by the hour and costs no more than sorting them.
+    """
+    time = F.unix_micros("crawled_at")
+    hour = F.floor(F.col("_t") / HOUR).alias("_hour")
+    e = rows.select(*key, time.alias("_t"), F.col("id").alias("_row")).select("*", hour)
+    p = probes.withColumn("_t", time).withColumn("_hour", F.floor(F.col("_t") / HOUR))
+    none = F.lit(None).cast("long")
+
+    def edge(back: int, order) -> DataFrame:
+        """Least id of the rows on the right side of each probe within its hour, `back` hours ago."""
+        asked = p.select(*key, (F.col("_hour") - back).alias("_hour"), (F.col("_t") - back * HOUR).alias("_t"), F.col("id").alias("_id"), none.alias("_row"))
+        both = asked.unionByName(e.select(*key, "_hour", "_t", F.col("_row").alias("_id"), "_row"))
+        seen = Window.partitionBy(*key, "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_least", F.min("_row").over(seen)).where("_row IS NULL AND _least IS NOT NULL")
+        return found.select(*key, F.col("_id").alias("id"), F.col("_least").alias("other"))
+
+    # A probe comes before the row of the same time and id, which is itself; a row of just `hours` before is out.
+    late = edge(0, [F.asc("_t"), F.asc("_id"), F.asc_nulls_first("_row")])
+    soon = edge(hours, [F.desc("_t"), F.asc_nulls_first("_row")])
+    by_hour = e.groupBy(*key, "_hour").agg(F.min("_row").alias("_row"))
+    asked = p.select(*key, "_hour").distinct().withColumn("_row", none)
+    between = Window.partitionBy(*key).orderBy("_hour").rangeBetween(-hours + 1, -1)
+    middle = asked.withColumn("_asked", F.lit(True)).unionByName(by_hour.withColumn("_asked", F.lit(False)))
+    middle = middle.withColumn("other", F.min("_row").over(between)).where("_asked AND other IS NOT NULL")
+    middle = p.join(middle.select(*key, "_hour", "other"), [*key, "_hour"]).select(*key, "id", "other")
+    found = late.unionByName(soon).unionByName(middle).groupBy(*key, "id").agg(F.min("other").alias("other"))
+    return probes.join(found, [*key, "id"], "left")
+
+
+def near_titles(articles: DataFrame, distance: int = 3, days: int = 7) -> DataFrame:
+    """L2: id, duplicate_of, distance: the nearest earlier title of the same language within the look-back; ties go to the lowest id."""
+    hashed = cut(with_simhash(articles))
+    week = F.floor(F.unix_micros("crawled_at") / (HOUR * 24 * days)).alias("week")
+    near = near_hashes(hashed.select("language", "hash", week).distinct(), distance)
+    same = hashed.select("id", "crawled_at", "language", "hash", F.lit(0).alias("distance"))
+    others = hashed.join(near, ["language", "hash"]).select("id", "crawled_at", "language", F.col("other").alias("hash"), "distance")
+    found = earliest_within(same.unionByName(others), hashed, ["language", "hash"], 24 * days).where("other IS NOT NULL")
     best = F.min(F.struct("distance", "other"))
-    return pairs.groupBy("id").agg(best.alias("b")).select("id", F.col("b.other").alias("duplicate_of"), F.col("b.distance").alias("distance"))
+    return found.groupBy("id").agg(best.alias("b")).select("id", F.col("b.other").alias("duplicate_of"), F.col("b.distance").alias("distance"))
+
+
+def _earlier(later: str, earlier: str):
+    at = lambda side: F.struct(F.col(f"{side}.crawled_at"), F.col(f"{side}.id"))
+    return at(earlier) < at(later)
+
+
+def shared_entities(articles: DataFrame, least: int = 2, hours: int = 24) -> DataFrame:
+    """L3 candidates: id, other (earlier, same language, within the look-back), overlap of at least `least` entities.
+
+    articles: id, crawled_at, language, entities array<string>. Two shared entities are a shared pair, so
+    articles meet by pairs of entities and by time, never by one popular name.
+    """
+    known = articles.select("id", "crawled_at", "language", "entities").where(F.size("entities") >= least)
+    pairs = F.flatten(F.transform("entities", lambda a, i: F.transform(F.slice("entities", i + 2, F.size("entities")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    if least == 1:
+        pairs = F.transform("entities", lambda a: F.struct(a.alias("a"), a.alias("b")))
+    bucket = F.floor(F.unix_micros("crawled_at") / (HOUR * hours))
+    keyed = known.select("*", bucket.alias("bucket"), F.explode(pairs).alias("pair"))
+    later, earlier = keyed.alias("l"), keyed.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("e")
+    same = [F.col(f"l.{c}") == F.col(f"e.{c}") for c in ("language", "bucket", "pair")]
+    back = F.col("e.crawled_at") > F.col("l.crawled_at") - F.expr(f"INTERVAL {hours} HOURS")
+    met = later.join(earlier, [*same, back, _earlier("l", "e")])
+    overlap = F.size(F.array_intersect("l.entities", "e.entities"))
+    return met.select(F.col("l.id").alias("id"), F.col("e.id").alias("other"), overlap.alias("overlap")).distinct()
+
+
+def similar_vectors(vectors: DataFrame, threshold: float = 0.85, days: int = 3) -> DataFrame:
+    """L4 candidates, exact: id, other (earlier, within the look-back), cosine above the threshold.
+
+    vectors: id, crawled_at, embedding. Vectors of one look-back are dealt into blocks of BLOCK_ROWS, and a task
+    multiplies two blocks at a time: only pairs above the threshold leave it.
+    """
+    span = HOUR * 24 * days
+    bucket = F.floor(F.unix_micros("crawled_at") / span)
+    rows = vectors.where("embedding IS NOT NULL").select("id", F.unix_micros("crawled_at").alias("t"), F.col("embedding").cast("array<double>").alias("v"), bucket.alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = rows.join(F.broadcast(sizes), "bucket").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+    # As later rows: with every block of the own bucket and of the one before.
+    before = sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("earlier_blocks"))
+    after = sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("later_blocks"))
+    other = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda b, i, c, j: F.struct(b.alias("lb"), i.alias("li"), c.alias("eb"), j.alias("ej"))
+    col = F.col
+    both = own.join(F.broadcast(before), "bucket", "left").join(F.broadcast(after), "bucket", "left").fillna(0, ["earlier_blocks", "later_blocks"])
+    as_later = F.concat(
+        F.transform(other(col("blocks")), lambda j: cell(col("bucket"), col("block"), col("bucket"), j)),
+        F.transform(other(col("earlier_blocks")), lambda j: cell(col("bucket"), col("block"), col("bucket") - 1, j)),
+    )
+    as_earlier = F.concat(
+        F.transform(other(col("blocks")), lambda i: cell(col("bucket"), i, col("bucket"), col("block"))),
+        F.transform(other(col("later_blocks")), lambda i: cell(col("bucket") + 1, i, col("bucket"), col("block"))),
+    )
+    placed = both.select("id", "t", "v", F.explode(as_later).alias("cell"), F.lit(True).alias("later")).unionByName(
+        both.select("id", "t", "v", F.explode(as_earlier).alias("cell"), F.lit(False).alias("later"))
+    )
+
+    def unit(frame: pd.DataFrame) -> np.ndarray:
+        matrix = np.array(frame["v"].tolist())
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+    def close(frame: pd.DataFrame) -> pd.DataFrame:
+        later, earlier = frame[frame["later"]], frame[~frame["later"]]
+        if later.empty or earlier.empty:
+            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        cosine = unit(later) @ unit(earlier).T
+        t, s = later["t"].to_numpy()[:, None], earlier["t"].to_numpy()[None]
+        i, j = later["id"].to_numpy()[:, None], earlier["id"].to_numpy()[None]
+        a, b = np.nonzero((cosine > threshold) & (s > t - span) & ((s < t) | ((s == t) & (j < i))))
+        return pd.DataFrame({"id": later["id"].to_numpy()[a], "other": earlier["id"].to_numpy()[b], "cosine": cosine[a, b]})
+
+    placed = placed.select("id", "t", "v", "later", "cell.*")
+    return placed.groupBy("lb", "li", "eb", "ej").applyInPandas(close, "id long, other long, cosine double")
+
+
+def similar_vectors_lsh(vectors: DataFrame, threshold: float = 0.85, days: int = 3, tables: int = 24, bits: int = 10, seed: int = 1) -> DataFrame:
+    """L4 candidates for collections beyond all pairs of a look-back: as similar_vectors, of vectors that agree on `bits` signs in one of `tables`.
+
+    A pair at cosine 0.85 agrees in one table with probability 1 - (1 - (1 - 0.1766) ** 10) ** 24, about 0.97.
+    """
+
+    @F.pandas_udf("array<int>")
+    def signs(column: pd.Series) -> pd.Series:
+        matrix = np.array(column.tolist(), np.float64)
+        planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], tables * bits))
+        codes = (matrix @ planes > 0).reshape(len(matrix), tables, bits) @ (1 << np.arange(bits))
+        return pd.Series(list(codes.astype(np.int32)))
+
+    span = HOUR * 24 * days
+    rows = vectors.where("embedding IS NOT NULL").select("id", "crawled_at", "embedding", F.floor(F.unix_micros("crawled_at") / span).alias("bucket"))
+    keyed = rows.select("id", "crawled_at", "bucket", F.posexplode(signs("embedding")).alias("table", "code"))
+    later, earlier = keyed.alias("l"), keyed.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("e")
+    same = [F.col(f"l.{c}") == F.col(f"e.{c}") for c in ("bucket", "table", "code")]
+    back = F.col("e.crawled_at") > F.col("l.crawled_at") - F.expr(f"INTERVAL {days} DAYS")
+    met = later.join(earlier, [*same, back, _earlier("l", "e")]).select(F.col("l.id").alias("id"), F.col("e.id").alias("other")).distinct()
+    v = vectors.select("id", "embedding")
+    both = met.join(v.toDF("id", "a"), "id").join(v.toDF("other", "b"), "other").withColumn("cosine", cosine(F.col("a"), F.col("b")))
+    return both.where(F.col("cosine") > threshold).select("id", "other", "cosine")
+
+
+def resolve_cascade(articles: DataFrame, l2: DataFrame, l3: DataFrame, l4: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """id, dedup_level (2, 3, 4 or null), duplicate_of: the first level that hits, where L3 and L4 only point to originals.
+
+    articles: id, crawled_at; l2: id, duplicate_of; l3: id, other, overlap; l4: id, other, cosine. Articles outside l2 are decided in rounds: an
+    original is one without an undecided or original earlier neighbour, a duplicate has an original among them. The earliest
+    undecided article is decided in every round, and in practice few rounds are needed.
+    """
+    titled = l2.select("id").distinct()
+    edges = l3.select("id", "other").unionByName(l4.select("id", "other")).distinct()
+    left = cut(edges.join(titled, "id", "left_anti").join(titled.toDF("other"), "other", "left_anti"))
+    free = articles.select("id").join(titled, "id", "left_anti").join(left.select("id").distinct(), "id", "left_anti")
+    new = decided = cut(free.withColumn("original", F.lit(True)))
+    for _ in range(most_rounds):
+        # What the last round decided settles some edges, and what is left without an open edge.
+        states = left.join(new.toDF("other", "original"), "other", "left")
+        verdict = F.when(F.bool_or("original"), F.lit(False)).when(F.bool_and(F.col("original").isNotNull()), F.lit(True))
+        judged = cut(states.groupBy("id").agg(verdict.alias("original")))
+        new = judged.where("original IS NOT NULL")
+        open_ids = judged.where("original IS NULL").select("id")
+        rest = states.where("original IS NULL").select("id", "other").join(open_ids, "id", "left_semi")
+        rest, old = cut(rest), left
+        decided = decided.unionByName(new)
+        drop(old)
+        left = rest
+        if new.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"undecided articles after {most_rounds} rounds")
+    decided = cut(decided)
+    originals = decided.where("original").select(F.col("id").alias("other"))
+    times = articles.select(F.col("id").alias("other"), F.col("crawled_at").alias("at"))
+    duplicates = decided.where("NOT original").select("id")
+    best3 = l3.join(duplicates, "id", "left_semi").join(originals, "other", "left_semi").join(times, "other")
+    best3 = best3.groupBy("id").agg(F.max_by("other", F.struct("overlap", "at", "other")).alias("d3"))
+    best4 = l4.join(duplicates, "id", "left_semi").join(originals, "other", "left_semi")
+    best4 = best4.groupBy("id").agg(F.max_by("other", F.struct("cosine", (-F.col("other")).alias("o"))).alias("d4"))
+    out = articles.select("id").join(l2.select("id", F.col("duplicate_of").alias("d2")), "id", "left").join(best3, "id", "left").join(best4, "id", "left")
+    level = F.when(F.col("d2").isNotNull(), 2).when(F.col("d3").isNotNull(), 3).when(F.col("d4").isNotNull(), 4)
+    return out.select("id", level.alias("dedup_level"), F.coalesce("d2", "d3", "d4").alias("duplicate_of"))
+
+
+def cascade_pairs(l1: DataFrame, l2: DataFrame, l3: DataFrame, l4: DataFrame) -> DataFrame:
+    """id, other, level: the pairs of all levels (id and the earlier id each), each at its first level."""
+    levels = [df.toDF("id", "other").withColumn("level", F.lit(k)) for k, df in enumerate((l1, l2, l3, l4), 1)]
+    union = levels[0]
+    for df in levels[1:]:
+        union = union.unionByName(df)
+    return union.groupBy("id", "other").agg(F.min("level").alias("level"))
+
+
+def dedup_summary(articles: DataFrame) -> DataFrame:
+    """is_duplicate, dedup_level, count."""
+    return articles.groupBy("is_duplicate", "dedup_level").count()
+
+
+def dedup_rate(articles: DataFrame) -> DataFrame:
+    """total, duplicates, rate in percent, rounded to 2."""
+    out = articles.agg(F.count("*").alias("total"), F.count_if("is_duplicate").alias("duplicates"))
+    return out.withColumn("rate", F.when(F.col("total") > 0, F.round(100.0 * F.col("duplicates") / F.col("total"), 2)).otherwise(0.0))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressroom.lineage import cut
+
 LEAST_MINUTES, MOST_MINUTES = 30, 1440
 DEGRADED_AT, PAUSED_AT = 5, 15
+LOW_AFTER, ARCHIVED_AFTER = 30, 90
+#: Text that a restored source must serve.
+PROBE_CHARS = 500
+#: Shares of a day's articles, and of a weekday's, below which a crawl is not worth it.
+QUIET_HOUR, QUIET_WEEKEND = 0.02, 0.3
+#: Logs of a source that are folded in one row.
+PART = 10_000
 
 
 def discovery_rate(new: Column, found: Column) -> Column:
@@ -24,29 +33,62 @@ def next_interval(minutes: Column, rate: Column) -> Column:
     )
 
 
+def next_crawl_at(base: Column, minutes: Column, errors: Column) -> Column:
+    """base plus the interval, doubled for every error in a row, ten at most."""
+    wait = minutes * F.pow(F.lit(2), F.least(errors, F.lit(10)))
+    return (base + F.make_dt_interval(mins=wait.cast("int"))).cast("timestamp")
+
+
 def _history(logs: DataFrame, *columns: str) -> DataFrame:
-    """One row a source: its logs in order. A source's log is bounded by its crawls, not by the corpus."""
-    return logs.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("started_at", "id", *columns))).alias("log"))
+    """source_id, part, log: stretches of a source's logs in order, PART logs at most a row."""
+    order = Window.partitionBy("source_id").orderBy("started_at", "id")
+    numbered = logs.select("source_id", "started_at", "id", *columns).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART))
+    return numbered.groupBy("source_id", "part").agg(F.array_sort(F.collect_list(F.struct("started_at", "id", *columns))).alias("log"))
+
+
+def _replay(history: DataFrame, start: Column, step) -> DataFrame:
+    """source_id, s: the state after all stretches of a source, each state handed on to the next stretch; logs of up to PART rows take one round."""
+    done = history.where("part = 0").select("source_id", "part", F.aggregate("log", start, step).alias("s"))
+    rest = history.where("part > 0")
+    if rest.isEmpty():
+        return done.select("source_id", "s")
+    rest = cut(rest)
+    while True:
+        done = cut(done)
+        following = done.select("source_id", (F.col("part") + 1).alias("part"), "s").join(rest, ["source_id", "part"])
+        if following.isEmpty():
+            return done.select("source_id", "s")
+        moved = following.select("source_id", F.col("part").alias("_part"), F.aggregate("log", F.col("s"), step).alias("_s"))
+        done = done.join(moved, "source_id", "left").select("source_id", F.coalesce("_part", "part").alias("part"), F.coalesce("_s", "s").alias("s"))
 
 
 def health(logs: DataFrame) -> DataFrame:
-    """source_id, status, consecutive_errors, days_without_new after all logs; one success heals."""
-    start = F.struct(F.lit("active").alias("status"), F.lit(0).alias("errors"), F.lit(0).alias("idle"))
+    """source_id, status, consecutive_errors, days_without_new, degraded_at, paused_at after all logs; one success heals.
+
+    days_without_new counts crawls without new articles, as the rules that read it do.
+    """
+    never = F.lit(None).cast("timestamp")
+    start = F.struct(F.lit("active").alias("status"), F.lit(0).alias("errors"), F.lit(0).alias("idle"), never.alias("degraded_at"), never.alias("paused_at"))
 
     def step(a: Column, x: Column) -> Column:
         good = x["status"] == "success"
         errors = F.when(good, 0).otherwise(a["errors"] + 1)
-        status = (
-            F.when(good, "active")
-            .when((errors >= PAUSED_AT) & a["status"].isin("degraded", "paused"), "paused")
-            .when((errors >= DEGRADED_AT) & (a["status"] == "active"), "degraded")
-            .otherwise(a["status"])
-        )
+        pauses = ~good & (errors >= PAUSED_AT) & (a["status"] == "degraded")
+        degrades = ~good & (errors >= DEGRADED_AT) & (a["status"] == "active")
+        status = F.when(good, "active").when(pauses, "paused").when(degrades, "degraded").otherwise(a["status"])
         idle = F.when(good & (x["articles_new"] > 0), 0).otherwise(a["idle"] + 1)
-        return F.struct(status.alias("status"), errors.alias("errors"), idle.alias("idle"))
+        return F.struct(
+            status.alias("status"),
+            errors.alias("errors"),
+            idle.alias("idle"),
+            F.when(degrades, x["started_at"]).otherwise(a["degraded_at"]).alias("degraded_at"),
+            F.when(pauses, x["started_at"]).otherwise(a["paused_at"]).alias("paused_at"),
+        )
 
-    out = _history(logs, "status", "articles_new").select("source_id", F.aggregate("log", start, step).alias("s"))
-    return out.select("source_id", F.col("s.status").alias("status"), F.col("s.errors").alias("consecutive_errors"), F.col("s.idle").alias("days_without_new"))
+    out = _replay(_history(logs, "status", "articles_new"), start, step)
+    return out.select(
+        "source_id", F.col("s.status").alias("status"), F.col("s.errors").alias("consecutive_errors"), F.col("s.idle").alias("days_without_new"), "s.degraded_at", "s.paused_at"
+    )
 
 
 def frequency(logs: DataFrame, first_interval: int = 240, alpha: float = 0.3) -> DataFrame:
@@ -59,6 +101,67 @@ def frequency(logs: DataFrame, first_interval: int = 240, alpha: float = 0.3) ->
         minutes = next_interval(a["minutes"], discovery_rate(x["articles_new"], x["articles_found"]))
         return F.struct(minutes.alias("minutes"), average.alias("average"), (a["count"] + 1).alias("count"))
 
-    history = _history(logs.where("status = 'success'"), "articles_new", "articles_found")
-    out = history.select("source_id", F.aggregate("log", start, step).alias("s"))
+    out = _replay(_history(logs.where("status = 'success'"), "articles_new", "articles_found"), start, step)
     return out.select("source_id", F.col("s.minutes").alias("interval_minutes"), F.col("s.average").alias("average_new"), F.col("s.count").alias("crawl_count"))
+
+
+def daily_health_rules(sources: DataFrame, now: Column) -> DataFrame:
+    """Sources after the daily rules, with archived_at and changed: low priority from LOW_AFTER idle crawls, archived from ARCHIVED_AFTER."""
+    low = (F.col("status") == "active") & (F.col("days_without_new") >= LOW_AFTER)
+    old = F.col("status").isin("active", "degraded") & (F.col("days_without_new") >= ARCHIVED_AFTER)
+    changed = F.when(old, "archived").when(low, "priority_low")
+    return sources.withColumns(
+        {
+            "priority": F.when(low, "low").otherwise(F.col("priority")),
+            "status": F.when(old, "archived").otherwise(F.col("status")),
+            "archived_at": F.when(old, now).otherwise(F.lit(None).cast("timestamp")),
+            "changed": changed,
+        }
+    )
+
+
+def restore_paused(sources: DataFrame, probes: DataFrame) -> DataFrame:
+    """Paused sources whose probe (source_id, http_status, content_chars) answers with enough text are active again, of medium priority."""
+    alive = (F.col("http_status") == 200) & (F.col("content_chars") > PROBE_CHARS)
+    good = probes.where(alive).select(F.col("source_id").alias("id"), F.lit(True).alias("_alive")).distinct()
+    back = F.coalesce(F.col("_alive"), F.lit(False)) & (F.col("status") == "paused")
+    out = sources.join(good, "id", "left").withColumn("_back", back)
+    changes = {"status": "active", "consecutive_errors": 0, "priority": "medium"}
+    return out.withColumns({c: F.when(F.col("_back"), F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}).select(sources.columns)
+
+
+def should_crawl_now(hours: Column, weekdays: Column, hour: Column, weekday: Column) -> Column:
+    """struct crawl, reason from articles by hour and by weekday (maps of counts, Monday 0)."""
+    count = lambda by, k: F.coalesce(F.try_element_at(by, k), F.lit(0))
+    size = lambda by: F.coalesce(F.size(by), F.lit(0))
+    total = F.aggregate(F.map_values(hours), F.lit(0).cast("long"), lambda a, x: a + x)
+    now = count(hours, hour)
+    week = sum((count(weekdays, F.lit(d)) for d in range(5)), F.lit(0))
+    end = count(weekdays, F.lit(5)) + count(weekdays, F.lit(6))
+    quiet = (weekday >= 5) & (week > 0) & (F.try_divide(end, week * 2 / 5) < QUIET_WEEKEND)
+    cases = [
+        ((size(hours) <= 0) | (size(weekdays) <= 0), True, "no_pattern_data"),
+        (total == 0, True, "no_articles"),
+        (now == 0, False, "low_activity_hour"),
+        (F.try_divide(now, total) < QUIET_HOUR, False, "very_low_activity_hour"),
+        (quiet, False, "low_weekend_activity"),
+    ]
+    out = F
+    for holds, crawl, reason in cases:
+        out = out.when(holds, F.struct(F.lit(crawl).alias("crawl"), F.lit(reason).alias("reason")))
+    return out.otherwise(F.struct(F.lit(True).alias("crawl"), F.lit("normal_activity").alias("reason")))
+
+
+def optimized_interval(base: Column, hours: Column, hour: Column) -> Column:
+    """Half the interval in one of the three busiest hours (the earlier among equals), twice in a very quiet one."""
+    ranked = F.array_sort(F.transform(F.map_entries(hours), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("h"))))
+    busiest = F.transform(F.slice(ranked, 1, 3), lambda s: s["h"])
+    total = F.aggregate(F.map_values(hours), F.lit(0).cast("long"), lambda a, x: a + x)
+    now = F.coalesce(F.try_element_at(hours, hour), F.lit(0))
+    return (
+        F.when(F.coalesce(F.size(hours), F.lit(0)) <= 0, base)
+        .when(F.array_contains(busiest, hour), F.greatest(F.lit(LEAST_MINUTES), (base * 0.5).cast("int")))
+        .when((total > 0) & (F.try_divide(now, total) < QUIET_HOUR), F.least(F.lit(MOST_MINUTES), base * 2))
+        .otherwise(base)
+        .cast("int")
+    )

@@ -1,120 +1,5 @@
-"""The registered queries: each reads the driver's tables through views and applies one job; ORACLE_SQL holds the same in SQL."""
+"""The registered queries and their SQL."""
 
-from __future__ import annotations
+from pressroom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import functions as F
-
-from pressroom import views
-from pressroom.functions import text, urls
-from pressroom.operators import aggregates, dedup, sources
-
-NOW = "2024-01-08 00:00:00"
-CLUSTER_KEY = "id % 100"
-
-
-def _now():
-    return F.lit(NOW).cast("timestamp")
-
-
-def _articles(job):
-    return lambda spark, d: job(views.articles(spark, d))
-
-
-def _logs(job):
-    return lambda spark, d: job(views.crawl_logs(spark, d))
-
-
-def _rates(logs):
-    rate = sources.discovery_rate(F.col("articles_new"), F.col("articles_found"))
-    return logs.select("id", rate.alias("rate"), sources.next_interval(F.lit(90), rate).alias("minutes"))
-
-
-def _clusters(articles):
-    return aggregates.cluster_stats(articles.withColumn("cluster", F.expr(CLUSTER_KEY)), "cluster")
-
-
-def _vectors(spark, d):
-    """Vectors compared with the first of their label."""
-    v = views.table(spark, d, "embeddings")
-    heads = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("head"))
-    return v.join(heads, "label").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("head")), 5).alias("cosine"))
-
-
-def _search(articles):
-    return articles.where((F.col("language") == "en") & F.col("title").ilike("%the%") & (F.col("published_at") >= F.to_timestamp(F.lit("2024-01-03")))).select(
-        "id", "title", "source_id"
-    )
-
-
-def _due(spark, d):
-    """Sources by how long ago they were crawled, the twenty longest waiting first."""
-    last = views.crawl_logs(spark, d).groupBy("source_id").agg(F.max("started_at").alias("last_crawl_at"))
-    return last.orderBy("last_crawl_at", "source_id").limit(20)
-
-
-QUERIES = {
-    "f1_normalize_url": lambda spark, d: views.pages(spark, d).select("id", urls.normalize_url("url").alias("url")),
-    "f3_url_domain": lambda spark, d: views.pages(spark, d).select("id", urls.url_domain(F.col("url")).alias("domain")),
-    "f4_preprocess_title": _articles(lambda a: a.select("id", text.preprocess_title(F.col("title")).alias("title"))),
-    "f5_title_tokens": _articles(lambda a: a.select("id", F.array_join(text.title_tokens(F.col("title"), F.col("language")), "|").alias("tokens"))),
-    "f6_simhash": _articles(lambda a: a.select("id", text.simhash64(text.title_tokens(text.preprocess_title(F.col("title")), F.col("language"))).alias("hash"))),
-    "f8_excerpt": _articles(lambda a: a.select("id", text.excerpt(F.col("content")).alias("excerpt"))),
-    "f11_is_article_url": lambda spark, d: views.pages(spark, d).select("id", text.is_article_url(F.try_parse_url(F.col("url"), F.lit("PATH"))).alias("is_article")),
-    "f18_cosine": _vectors,
-    "d1_exact_url": lambda spark, d: dedup.exact_url(views.pages(spark, d)),
-    "d2_near_title": _articles(dedup.near_titles),
-    "c2_cluster_stats": _articles(_clusters),
-    "g2_top_languages": _articles(lambda a: aggregates.top_values(a, "language")),
-    "g2_top_countries": _articles(lambda a: aggregates.top_values(a, "country")),
-    "g3_source_totals": _articles(lambda a: aggregates.source_totals(a, _now())),
-    "g6_daily_crawl_report": _logs(aggregates.daily_crawl_report),
-    "g7_success_rate": _logs(aggregates.success_rate),
-    "g8_publish_profile": _articles(
-        lambda a: aggregates.publish_profile(a).select(
-            "source_id", "total", "weekend_ratio", *(F.array_join(c, ",").alias(c) for c in ("hours", "weekdays", "top_hours"))
-        )
-    ),
-    "g11_facets": _articles(lambda a: a.select("language", "country").distinct()),
-    "t1_longest_waiting": _due,
-    "t5_recent_logs": _logs(lambda logs: aggregates.recent_logs(logs, 5).select("source_id", "id", "rank")),
-    "t6_t7_next_interval": _logs(_rates),
-    "t9_frequency": _logs(sources.frequency),
-    "t10_health": _logs(sources.health),
-    "w2_search_articles": _articles(_search),
-}
-
-_A, _L = f"WITH {views.ARTICLES_SQL}\n", f"WITH {views.LOGS_SQL}\n"
-_HOURS = ", ".join(f"count(*) FILTER (hour(published_at) = {h})" for h in range(24))
-_DAYS = ", ".join(f"count(*) FILTER (isodow(published_at) = {d + 1})" for d in range(7))
-_CLEAN = r"trim(regexp_replace(translate(regexp_replace(title, '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g'))"
-
-ORACLE_SQL = {
-    "f3_url_domain": r"SELECT page_id AS id, nullif(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', ''), ':\d+$', ''), '') AS domain FROM pages",
-    "f4_preprocess_title": f"{_A}SELECT id, {_CLEAN} AS title FROM articles",
-    "f5_title_tokens": f"{_A}SELECT id, array_to_string(list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> ''), '|') AS tokens FROM articles",
-    "f8_excerpt": _A
-    + r"""SELECT id, CASE WHEN length(content) <= 300 THEN content WHEN length(regexp_extract(left(content, 300), '(?s)^(.*[。！？.!?])', 1)) > 151
-      THEN regexp_extract(left(content, 300), '(?s)^(.*[。！？.!?])', 1) ELSE rtrim(left(content, 300)) || '...' END AS excerpt FROM articles""",
-    "f18_cosine": "SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], h.head::DOUBLE[]), 5) AS cosine FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS head FROM embeddings GROUP BY label) h USING (label)",
-    "c2_cluster_stats": _A
-    + """SELECT id % 100 AS cluster, count(*) AS article_count, count(DISTINCT language) AS language_count, count(DISTINCT country) AS country_count,
-      min(crawled_at) AS first_seen_at, max(crawled_at) AS last_updated_at, min(id) AS representative_id,
-      round(count(*) * 0.4::DOUBLE + count(DISTINCT language) * 0.3::DOUBLE + count(DISTINCT country) * 0.3::DOUBLE, 2) AS importance_score FROM articles GROUP BY 1""",
-    "g2_top_languages": f"{_A}SELECT language, count(*) AS count FROM articles WHERE language IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "g2_top_countries": f"{_A}SELECT country, count(*) AS count FROM articles WHERE country IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "g3_source_totals": f"{_A}SELECT source_id, count(*) AS total, count(*) FILTER (crawled_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS) AS last_24h FROM articles GROUP BY 1",
-    "g6_daily_crawl_report": f"{_L}SELECT CAST(started_at AS DATE) AS day, count(*) AS crawls, CAST(sum(articles_new) AS BIGINT) AS new, round(avg(response_time_ms), 4) AS avg_ms FROM crawl_logs GROUP BY 1",
-    "g7_success_rate": f"""{_L}SELECT source_id, round(avg(CASE WHEN status = 'success' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) AS success_rate
-      FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) AS rank FROM crawl_logs) WHERE rank <= 10 GROUP BY 1""",
-    "g8_publish_profile": f"""{_A}, profile AS (SELECT source_id, count(*) AS total, [{_HOURS}] AS h, [{_DAYS}] AS w FROM articles WHERE published_at IS NOT NULL GROUP BY 1)
-      SELECT source_id, total, CASE WHEN total - w[6] - w[7] > 0 THEN (w[6] + w[7])::DOUBLE / (total - w[6] - w[7]) ELSE 0 END AS weekend_ratio,
-        array_to_string(h, ',') AS hours, array_to_string(w, ',') AS weekdays,
-        array_to_string(list_transform(list_sort(list_transform(range(24), lambda i: {{'n': -h[i + 1], 'i': i}}))[1:3], lambda s: s.i), ',') AS top_hours FROM profile""",
-    "g11_facets": f"{_A}SELECT DISTINCT language, country FROM articles",
-    "t1_longest_waiting": f"{_L}SELECT source_id, max(started_at) AS last_crawl_at FROM crawl_logs GROUP BY 1 ORDER BY 2, 1 LIMIT 20",
-    "t5_recent_logs": f"""{_L}SELECT source_id, id, CAST(rank AS INT) AS rank
-      FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) AS rank FROM crawl_logs) WHERE rank <= 5""",
-    "t6_t7_next_interval": f"""{_L}SELECT id, rate, CAST(CASE WHEN rate > 0.5 THEN 62 WHEN rate > 0.1 THEN 90 WHEN rate > 0 THEN 135 ELSE 180 END AS INT) AS minutes
-      FROM (SELECT id, CASE WHEN articles_found > 0 THEN articles_new::DOUBLE / articles_found ELSE 0 END AS rate FROM crawl_logs)""",
-    "w2_search_articles": f"{_A}SELECT id, title, source_id FROM articles WHERE language = 'en' AND title ILIKE '%the%' AND published_at >= TIMESTAMP '2024-01-03'",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
