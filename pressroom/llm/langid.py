@@ -26,6 +26,8 @@ from pressroom.llm.common import pieces, read
 
 #: Labelled rows that the model is fit on, over all languages; languages beyond that number are not learnt.
 SAMPLE_ROWS = 2000
+#: Rows beyond twice its quota that a language is thinned to, so that none of a few rows is thinned away.
+SPARE = 20
 LONGEST = 5
 #: A language scores words and n-grams that only others know as if seen so often among its own.
 UNSEEN = 0.1
@@ -47,7 +49,7 @@ def sample(rows: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     order = F.crc32(F.concat(F.lit("sample "), F.col("doc_id").cast("string")).cast("binary"))
     sizes = named.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(most)
     quota = F.greatest(F.lit(1), F.floor(F.lit(most) / F.count("*").over(Window.partitionBy())))  # over `most` rows at most
-    share = sizes.withColumn("quota", quota).select("lang", "quota", (2 * F.col("quota") / F.col("size")).alias("share"))
+    share = sizes.withColumn("quota", quota).select("lang", "quota", ((2 * F.col("quota") + SPARE) / F.col("size")).alias("share"))
     thin = named.select("doc_id", "lang", order.alias("order")).join(F.broadcast(share), "lang").where(F.col("order") < F.col("share") * 2**32)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
     chosen = thin.withColumn("rank", rank).where("rank <= quota").orderBy("rank", "lang", "doc_id").limit(most).select("doc_id").distinct()
