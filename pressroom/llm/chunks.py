@@ -14,7 +14,6 @@ are byte offsets. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import read, stored, texts
+from pressroom.llm.common import drop, pieces, read, stored, texts
 
 GRAM, SEED, LEAST_RUN = 32, 64, 160
 #: In so many places lies a cut, so that LEAST_RUN bytes hold a whole seed.
@@ -73,7 +72,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, row (hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [_row(t.encode("utf-8")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], ["doc_id", "text", "row"])
 
@@ -92,7 +91,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     """doc_id, row, at, high, low (digest) of the SEED bytes behind every cut, and of a text's first and last ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8")
@@ -120,7 +119,7 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("f_doc", pa.int64()), ("f_row", pa.int64()), ("f_at", pa.int32()), ("n", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
-        for batch in batches:
+        for batch in pieces(batches, 2):
             out = []
             for doc, row, text, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode("utf-8")
@@ -163,8 +162,8 @@ def extended(data: bytes, edges) -> list[dict]:
     return spans
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, row, spans array<struct<at, end>>: the bytes of each document to remove; documents without any are left out."""
+def seed_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, row, edges: the ends of the runs of repeated seeds of each document, with the bytes around their first occurrences."""
     placed = seeds(docs)
     place = F.struct("doc_id", "row", "at")
     firsts = placed.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -180,22 +179,39 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = found.withColumn("diagonal", F.struct(*near))
     found = found.withColumn("left", ~same(lambda c, w: F.lag(c).over(w))).withColumn("right", ~same(lambda c, w: F.lead(c).over(w)))
     edges = stored(found.where("left OR right").drop("diagonal"))
+    drop(firsts)
     copies = F.ceil(F.col("n") / PER_COPY)
     sources = surroundings(docs, edges.select("f_doc", "f_row", "f_at", "n").distinct())
     sources = sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
     known = edges.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "at"), copies)).join(sources, ["f_doc", "f_row", "f_at", "salt"])
     edge = F.struct("at", "left", "right", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after"))
-    runs = known.groupBy("doc_id", "row").agg(F.collect_list(edge).alias("edges"))
+    runs = stored(known.groupBy("doc_id", "row").agg(F.collect_list(edge).alias("edges")))
+    drop(edges)
+    return runs
+
+
+def shortened(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_bytes, spans array<struct<at, end>> (the bytes to remove), kept binary of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            spans = [extended(text.encode("utf-8"), edges) for text, edges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span)], ["doc_id", "row", "spans"])
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32())]))
+        for batch in pieces(batches, 2):
+            sizes, spans, kept = [], [], []
+            for text, edges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                data = text.encode("utf-8")
+                sizes.append(len(data))
+                spans.append(extended(data, edges) if edges else [])
+                kept.append(kept_bytes(data, spans[-1]))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_bytes", "spans", "kept"])
+
+    both = keyed(docs).join(seed_runs(docs), ["doc_id", "row"], "left").select("doc_id", "row", "text", "edges")
+    return both.mapInArrow(run, "doc_id long, row long, n_bytes long, spans array<struct<at:int,end:int>>, kept binary")
+
 
-    both = keyed(docs).join(runs, ["doc_id", "row"]).select("doc_id", "row", "text", "edges")
-    spans = both.mapInArrow(run, "doc_id long, row long, spans array<struct<at:int,end:int>>")
-    return spans.where(F.size("spans") > 0).dropDuplicates(["doc_id", "row"])
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, row, spans of the documents that lose something."""
+    return shortened(docs).where(F.size("spans") > 0).select("doc_id", "row", "spans").dropDuplicates(["doc_id", "row"])
 
 
 def kept_bytes(data: bytes, spans) -> bytes:
@@ -208,18 +224,6 @@ def kept_bytes(data: bytes, spans) -> bytes:
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document of the whole table: bytes, removed bytes and spans, and the digest of what is left."""
-    docs = read(spark, sf_dir, "documents")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        for batch in batches:
-            out = []
-            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = text.encode("utf-8")
-                left = kept_bytes(data, spans or [])
-                out.append((doc, len(data), len(data) - len(left), len(spans or []), hashlib.sha256(left).hexdigest()))
-            columns = [pa.array([r[k] for r in out], pa.int64() if k < 4 else pa.string()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    both = keyed(docs).join(repeats(docs), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = shortened(read(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return out.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

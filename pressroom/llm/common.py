@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressroom.lineage import cut as stored
+from pressroom.lineage import drop, shared_dir
+
+__all__ = ["drop", "joined", "pieces", "read", "shared_dir", "stored", "texts"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -33,24 +36,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4 <<
             start = stop
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors and the driver see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
+#: A key is hot if it holds one in so many rows; there are no more hot keys than that.
+HOT = 2000
 
-def stored(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = path or shared_dir(df.sparkSession)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def joined(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows inner joined with keyed, which has one row for each key and, in `count`, the number of rows that hold it.
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no later step reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    Hot keys, HOT at most, are broadcast, so that rows that share one stay where they are; only the others are shuffled.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = keyed.where(F.col(count) * HOT >= total).drop(count)
+    rest = keyed.where(F.col(count) * HOT < total).drop(count)
+    known = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    columns = [c for c in rows.columns if c not in on]
+    cold = known.where("_hot IS NULL").select(*on, *columns).join(rest, on)
+    return known.where("_hot").drop("_hot").unionByName(cold)
