@@ -2,17 +2,19 @@
 
 Sets are the distinct hashes of n-word shingles. Equal sets are one representative from the start. A
 count vector, how many shingles fall into each of GROUPS groups, is a point; the coordinate minima of two points,
-summed, bound the overlap, for boxes of points as for points, so a packed R-tree over the points
-prunes pairs before their sets are compared. Pairs that it leaves are bounded again by vectors of FINE groups, and only
-the sets of those that remain are shuffled.
+summed, bound the overlap, for boxes of points as for points, so an R-tree over the points, packed by sorting and tiling, is joined with itself level
+by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, and only
+the sets of those that remain are shuffled and compared.
 
-Linked sets share one of the least-hashed shingles of each, so the points are indexed by those keys, and by
-bands of set size. A first pass links the members of a key to the least of them, which joins large groups
+Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys and each band of set
+sizes, and trees lie in different tasks; the tree of a key that very many sets share is cut into BLOCK points, and pairs of blocks are
+joined. A first pass links the members of a key to the least of them, which joins large groups
 of near copies with few comparisons; the second looks at every pair of different components that a key brings together.
 
 Defined results: null and blank texts have no set and stay alone. Texts with fewer than n words
 have one shingle, all their words. Repeated doc_ids are one document with the sets of its rows,
-linked to whatever any of them is linked to. Extra columns are passed on by one_of_each() and not read otherwise.
+linked to whatever any of them is linked to. Empty tables give no rows. A very long text is one set, held whole by the tasks that
+read it. Extra columns are passed on by one_of_each() and not read otherwise.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import pieces, read, stored, texts
+from pressroom.llm.common import HOT, drop, joined, pieces, read, stored, texts
 
 WORDS, PERCENT = 4, 85
 GROUPS = 64
@@ -35,13 +37,17 @@ GROUPS = 64
 FINE = 1024
 #: Keys of the first pass.
 ANCHORS = 3
-#: Points in a leaf of the R-tree.
-LEAF = 32
-#: Groups of up to so many points are compared without a tree, many groups at once.
+#: Points in a leaf of the R-tree, and boxes below a box.
+FAN = 16
+#: Groups of up to so many points, half a leaf, are compared many groups at once.
 SMALL = 8
+#: Pairs of boxes that are opened together.
+CHUNK = 4096
+#: Points of a hot group in one block.
+BLOCK = 2048
 ORACLE_SQL = None
 
-FEATURES = "doc_id long, n_shingles long, digest binary, point binary, fine binary, anchors array<int>, keys array<int>"
+FEATURES = "doc_id long, n_shingles long, digest binary, point binary, fine binary, anchors array<long>, keys array<long>"
 
 
 class Hashes(dict):
@@ -93,15 +99,15 @@ def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
                 found = shingles(text, hashes, n)
                 size = len(found)
                 prefix = size - (percent * size + 99) // 100 + 1 if size else 0
-                key = (found[:prefix] >> np.uint64(8)).astype(np.uint32).view(np.int32)
+                key = found[:prefix].view(np.int64)
                 sizes.append(size)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 counts = np.bincount((found & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
                 points.append(packed(counts.reshape(-1, GROUPS).sum(0)))
                 fine.append(squeeze(counts.astype("<u4").tobytes()))
                 anchors.append(key[:ANCHORS])
-                keys.append(np.unique(key))
-            lists = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+                keys.append(key)
+            lists = lambda rows: pa.array(rows, pa.list_(pa.int64()))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), lists(anchors), lists(keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "point", "fine", "anchors", "keys"])
 
@@ -113,49 +119,82 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         ends = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = ends.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = stored(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        large = joined(ends, least, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = joined(large, low, ["a"], "n").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
         new = stored(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         same = [f.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for f in (both, new)]
+        drop(both, least, large, low)
         both = new
         if same[0] == same[1]:
             return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs a, b of different components whose points do not rule them out; grouped: key, band, home, rep, comp, n, point.
+class Tree:
+    """An R-tree packed over points: `order` puts them into leaves of FAN, each level above has a box for FAN of the one below.
 
-    A pair is looked at in the higher of its two bands, where home tells those that belong there from visitors of the band below.
+    A box is the coordinate maxima of its points, with the least and the most n; minima are not needed to bound overlaps from above.
     """
 
-    def near(members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rep, comp, n, point, home = members
-        order = np.argsort(n, kind="stable")
-        rep, comp, n, point, home = rep[order], comp[order], n[order], point[order], home[order]
-        cuts = range(0, len(rep), LEAF)
-        high = np.array([point[c : c + LEAF].max(0) for c in cuts])
-        least, most = np.array([n[c] for c in cuts]), np.array([n[min(c + LEAF, len(n)) - 1] for c in cuts])
-        for i, at in enumerate(cuts):
-            bound = np.minimum(high[i], high[i:]).sum(1)
-            # Overlap needed by the smallest of both leaves; the sizes of leaf i are at most those of later leaves.
-            boxes = np.nonzero(((100 + percent) * bound >= percent * (least[i] + least[i:])) & (100 * most[i] >= percent * least[i:]))[0] + i
-            mine = slice(at, at + LEAF)
-            for j in boxes:
-                other = slice(j * LEAF, j * LEAF + LEAF)
-                shared = np.minimum(point[mine, None], point[None, other]).sum(2)
-                total = n[mine, None] + n[None, other]
-                ok = ((100 + percent) * shared >= percent * total) & (comp[mine, None] != comp[None, other]) & (home[mine, None] | home[None, other])
-                ok &= 100 * np.minimum(n[mine, None], n[None, other]) >= percent * np.maximum(n[mine, None], n[None, other])
-                a, b = np.nonzero(ok)
-                if len(a):
-                    a, b = rep[mine][a], rep[other][b]
-                    yield np.maximum(a, b), np.minimum(a, b)
+    def __init__(self, point: np.ndarray, n: np.ndarray):
+        spread = np.argsort(-point.var(0), kind="stable")[:2]
+        slabs = max(1, int(math.sqrt(len(n) / FAN)))
+        # Slabs of n, in each of them tiles of the widest coordinates.
+        slab = np.empty(len(n), np.int64)
+        slab[np.argsort(n, kind="stable")] = np.arange(len(n)) * slabs // len(n)
+        self.order = np.lexsort((point[:, spread[-1]], point[:, spread[0]], slab))
+        high, low, top = point[self.order], n[self.order], n[self.order]
+        self.levels = [(high, low, top)]
+        while len(low) > 1:
+            cuts = np.arange(0, len(low), FAN)
+            high, low, top = np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(top, cuts)
+            self.levels.append((high, low, top))
+
+
+def tree_join(one: Tree, two: Tree, percent: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in both point lists of the pairs that no level rules out; within: both trees are the same, each pair once."""
+
+    def passing(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        (high, least, most), (other, low, top) = one.levels[min(level, len(one.levels) - 1)], two.levels[min(level, len(two.levels) - 1)]
+        bound = np.minimum(high[i], other[j]).sum(1)
+        # Two sets of a box pair overlap by `bound` at most, have these least sizes together, and may be this close in size.
+        return ((100 + percent) * bound >= percent * (least[i] + low[j])) & (100 * most[i] >= percent * low[j]) & (100 * top[j] >= percent * least[i])
+
+    def below(tree: Tree, level: int, k: np.ndarray) -> np.ndarray:
+        """FAN places a level down for every place; beyond the tree's end they are cut off later. A lower tree waits."""
+        return k[:, None] * FAN + np.arange(FAN) if level < len(tree.levels) else k[:, None]
+
+    height = max(len(one.levels), len(two.levels)) - 1
+    stack = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        good = passing(level, i, j)
+        i, j = i[good], j[good]
+        if not level:
+            keep = i < j if within else slice(None)
+            if len(i[keep]):
+                yield one.order[i[keep]], two.order[j[keep]]
+            continue
+        for at in range(0, len(i), CHUNK):
+            a, b = below(one, level, i[at : at + CHUNK]), below(two, level, j[at : at + CHUNK])
+            a, b = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, a.shape[1]).ravel()
+            real = (a < len(one.levels[min(level - 1, len(one.levels) - 1)][1])) & (b < len(two.levels[min(level - 1, len(two.levels) - 1)][1]))
+            if within:
+                real &= a <= b
+            stack.append((level - 1, a[real], b[real]))
+
+
+def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs a, b of different components whose points do not rule them out; grouped: key, band, i, j, first, second, home, rep, comp, n, point.
+
+    A pair is looked at in the higher of its two bands, where home tells those that belong there from visitors of the band below, and in
+    the cell (i, j) of the blocks of both, where first and second tell whether a row stands for block i, block j or both.
+    """
 
     def few(members, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The same for rows of many small groups: each row with the one d places on, for every d."""
+        """The groups of a leaf at most, all at once: each row with the one d places on, for every d."""
         rep, comp, n, point, home = members
         for d in range(1, SMALL):
             i = np.nonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & (home[:-d] | home[d:]))[0]
@@ -163,41 +202,84 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
             i = i[(100 + percent) * np.minimum(point[i], point[i + d]).sum(1) >= percent * (n[i] + n[i + d])]
             yield np.maximum(rep[i], rep[i + d]), np.minimum(rep[i], rep[i + d])
 
+    def near(members, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        within = bool(first[0] and second[0])
+        sides = [[c[s] for c in members] for s in (first, second)]
+        if not len(sides[0][0]) or not len(sides[1][0]):
+            return
+        one = Tree(sides[0][3], sides[0][2])
+        two = one if within else Tree(sides[1][3], sides[1][2])
+        (rep, comp, _, _, home), (other, its_comp, _, _, at_home) = sides
+        for a, b in tree_join(one, two, percent, within):
+            ok = (comp[a] != its_comp[b]) & (home[a] | at_home[b])
+            a, b = rep[a[ok]], other[b[ok]]
+            yield np.maximum(a, b), np.minimum(a, b)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the rows of the last group, which may go on in the next batch
 
         def found(columns: list[np.ndarray]):
-            key, band, *members = columns
-            first = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
-            group = np.cumsum(first) - 1
-            starts = np.append(np.nonzero(first)[0], len(key))
+            *keys, first_side, second_side, rep, comp, n, point, home = columns
+            members = [rep, comp, n, point, home]
+            new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            group = np.cumsum(new) - 1
+            starts = np.append(np.nonzero(new)[0], len(rep))
             sizes = np.diff(starts)
-            little = np.isin(group, np.nonzero((sizes > 1) & (sizes <= SMALL))[0])
+            whole = first_side & second_side
+            little = np.isin(group, np.nonzero((sizes > 1) & (sizes <= SMALL))[0]) & whole
             yield from few([c[little] for c in members], group[little])
-            for g in np.nonzero(sizes > SMALL)[0].tolist():
-                yield from near([c[starts[g] : starts[g + 1]] for c in members])
+            for g in np.nonzero((sizes > 1) & ((sizes > SMALL) | ~whole[starts[:-1]]))[0].tolist():
+                part = slice(starts[g], starts[g + 1])
+                yield from near([c[part] for c in members], first_side[part], second_side[part])
 
         def close(rows: list[list[np.ndarray]]):
-            pairs = [p for p in found([np.concatenate(c) for c in zip(*rows, strict=True)]) if len(p[0])]
+            pairs, size = [], 0
+            for a, b in found([np.concatenate(c) for c in zip(*rows, strict=True)]):
+                if len(a):
+                    pairs.append((a, b))
+                    size += len(a)
+                if size > CHUNK * FAN:
+                    yield made(pairs)
+                    pairs, size = [], 0
             if pairs:
-                a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield made(pairs)
+
+        def made(pairs):
+            a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, band, home, rep, comp, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            columns = [key, band, rep, comp, n, unpacked(batch.column(6).to_pylist()), home]
-            cut = int(np.nonzero((key != key[-1]) | (band != band[-1]))[0][-1]) + 1 if key[0] != key[-1] or band[0] != band[-1] else 0
-            if cut or held and (held[-1][0][-1], held[-1][1][-1]) != (key[-1], band[-1]):
+            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)]
+            columns = [*flat[:6], *flat[7:], unpacked(batch.column(10).to_pylist()), flat[6]]
+            keys = columns[:4]
+            differs = np.any([k != k[-1] for k in keys], axis=0)
+            cut = int(np.nonzero(differs)[0][-1]) + 1 if differs.any() else 0
+            if cut or held and any(held[-1][k][-1] != keys[k][-1] for k in range(4)):
                 yield from close([*held, [c[:cut] for c in columns]])
                 held = []
             held.append([c[cut:] for c in columns])
         if held:
             yield from close(held)
 
-    ordered = grouped.select("key", "band", "home", "rep", "comp", "n", "point")
-    return ordered.repartition("key", "band").sortWithinPartitions("key", "band").mapInArrow(run, "a long, b long").distinct()
+    ordered = grouped.select("key", "band", "i", "j", "first", "second", "home", "rep", "comp", "n", "point")
+    cells = ["key", "band", "i", "j"]
+    return ordered.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct()
+
+
+def celled(grouped: DataFrame) -> DataFrame:
+    """The rows of grouped with i, j, first, second: hot groups, dealt into blocks of BLOCK points, go to the cells of all pairs of their blocks."""
+    sizes = grouped.groupBy("key", "band").agg(F.count("*").alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    large = sizes.where((F.col("size") > BLOCK) & (F.col("size") * HOT >= total))  # HOT rows at most
+    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (i == F.col("_block")).alias("first"), (j == F.col("_block")).alias("second"))
+    mine = F.col("_block")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: cell(F.least(k, mine), F.greatest(k, mine)))
+    dealt = grouped.join(F.broadcast(large), ["key", "band"], "left").withColumn("_blocks", blocks).withColumn("_block", block)
+    return dealt.withColumn("_cell", F.explode(cells)).select(*grouped.columns, "_cell.*")
 
 
 def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +299,7 @@ def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: a's set travels to b's, grouped by neither."""
+    """The pairs (a, b), as a table, whose sets are similar: a's set travels to b's, grouped by neither."""
     pairs = stored(bounded(pairs, vectors, percent))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,40 +321,45 @@ def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, perc
     rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
     known = stored(rows.mapInArrow(sets, "rep long, set binary"))
     left, right = known.toDF("a", "set_a"), known.toDF("b", "set_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
+    drop(pairs, known)
+    return out
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
     all_rows = stored(features(docs, n, percent))
-    first = all_rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = all_rows.where("n_shingles > 0").select("doc_id", "digest").join(first, "digest").select("doc_id", "rep").distinct()
-    members = stored(members)
-    sets = stored(all_rows.join(first, "digest").where("doc_id = rep AND n_shingles > 0").dropDuplicates(["digest"]).drop("doc_id", "digest"))
-    # A set's text is any row of its representative that has that set; doc_ids with several texts are told apart below.
+    full = all_rows.where("n_shingles > 0")
+    first = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    ids = stored(all_rows.select("doc_id", "n_shingles"))
+    members = stored(joined(full.select("doc_id", "digest"), first, ["digest"], "rows").select("doc_id", "rep").where("doc_id <> rep").distinct())
+    # A representative's rows of that set are one; a doc_id with several texts may be the representative of several sets.
+    own = full.select("digest", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "point", "fine", "anchors", "keys").dropDuplicates(["digest", "rep"])
+    sets = stored(own.join(first.drop("rows"), ["digest", "rep"], "left_semi").drop("digest"))
+    drop(all_rows, first)
     source = texts(docs)
-    anchor = sets.select(F.explode("anchors").alias("key"), "rep")
-    heads = anchor.groupBy("key").agg(F.min("rep").alias("head"))
-    stars = anchor.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    anchor = stored(sets.select(F.explode("anchors").alias("key"), "rep"))
+    heads = stored(anchor.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("rows")).where("rows > 1"))
+    stars = joined(anchor, heads, ["key"], "rows").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     vectors = sets.select("rep", "fine")
-    linked = stored(verified(stars, vectors, source, n, percent))
-    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = verified(stars, vectors, source, n, percent)
+    drop(anchor, heads)
     early = components(linked)
-    with_comp = sets.join(early, sets["rep"] == early["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), F.col("n_shingles").alias("n"), "point", "keys")
-    with_comp = stored(with_comp)
-    keyed = with_comp.select(F.explode("keys").alias("key"), "rep", "comp")
-    mixed_keys = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
-    shared = keyed.join(mixed_keys, "key", "left_semi").join(with_comp.drop("keys", "comp"), "rep")
+    points = sets.join(early, sets["rep"] == early["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), F.col("n").cast("long").alias("n"), "point", "keys")
+    keyed = points.select(F.explode("keys").alias("key"), "rep", "comp", "n", "point")
+    # Keys of one component alone bring nothing together.
+    spans = points.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
+    mixed_keys = stored(spans.where("low <> high").select("key", "rows"))
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    grouped = shared.select("key", "rep", "comp", "n", "point", both.alias("e")).select("key", "e.band", "e.home", "rep", "comp", F.col("n").cast("long").alias("n"), "point")
-    late = stored(verified(candidates(grouped, percent), vectors, source, n, percent))
+    shared = stored(joined(keyed, mixed_keys, ["key"], "rows"))
+    grouped = shared.select("key", "rep", "comp", "n", "point", both.alias("e")).select("key", "e.band", "e.home", "rep", "comp", "n", "point")
+    late = verified(candidates(celled(grouped), percent), vectors, source, n, percent)
+    drop(mixed_keys, shared, sets)
+    same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(linked.unionByName(late).unionByName(same))
-    return (
-        all_rows.select("doc_id", "n_shingles")
-        .join(roots, F.col("doc_id") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    )
+    drop(linked, late, members)
+    return ids.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

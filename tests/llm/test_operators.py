@@ -259,3 +259,74 @@ def test_language_sample_is_bounded(spark, docs):
     assert langid.sample(rows, 6).count() <= 12
     nothing = langid.identify(docs, langid.learn(docs.where("lang = 'xx'")))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+@pytest.mark.parametrize(("sizes", "fan"), [((40, 40), 2), ((1, 90), 3), ((90, 7), 16), ((300, 300), 4)])
+def test_tree_join(monkeypatch, sizes, fan):
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    monkeypatch.setattr(jaccard, "CHUNK", 5)
+    rng = np.random.default_rng(sum(sizes))
+    base = rng.integers(0, 9, (6, jaccard.GROUPS))
+    make = lambda k: np.maximum(base[rng.integers(0, 6, k)] + rng.integers(-1, 2, (k, jaccard.GROUPS)) * (rng.random((k, 1)) < 0.5), 0)
+    points = [make(k) for k in sizes]
+    ns = [p.sum(1) for p in points]
+
+    def allowed(p, n, q, m):
+        return 185 * np.minimum(p, q).sum() >= 85 * (n + m) and 100 * min(n, m) >= 85 * max(n, m)
+
+    one, two = (jaccard.Tree(p, n) for p, n in zip(points, ns, strict=True))
+    found = [(i, j) for a, b in jaccard.tree_join(one, two, 85, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    wanted = {(i, j) for i in range(sizes[0]) for j in range(sizes[1]) if allowed(points[0][i], ns[0][i], points[1][j], ns[1][j])}
+    assert set(found) == wanted and len(found) == len(wanted)
+    found = [tuple(sorted(pair)) for a, b in jaccard.tree_join(one, one, 85, True) for pair in zip(a.tolist(), b.tolist(), strict=True)]
+    wanted = {(i, j) for i in range(sizes[0]) for j in range(i + 1, sizes[0]) if allowed(points[0][i], ns[0][i], points[0][j], ns[0][j])}
+    assert set(found) == wanted and len(found) == len(wanted)
+
+
+def components_of(sets, n, percent):
+    root, order = {doc: doc for doc in sets}, sorted(sets)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {doc: find(doc) for doc in sets}
+
+
+def test_jaccard_hot_key_in_blocks(spark, monkeypatch):
+    """Texts around one passage, some of them linked in chains, in blocks of five points."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for group in range(12):
+        words = passage + [f"g{group}w{k}" for k in range(30)]
+        for _ in range(5):
+            words = [w if rng.random() > 0.02 else f"x{rng.integers(1000)}" for w in words]
+            rows.append((len(rows), " ".join(words)))
+    rows += [rows[7], (200, rows[3][1]), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit(1), "key": F.lit(2), "digest": F.lit("d")})
+    sets = {}
+    for doc, text in rows:
+        words = (text or "").split()
+        sets[doc] = {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    wanted = components_of(sets, 4, 85)
+    assert 12 < len(set(wanted.values())) < 50
+    found = jaccard.classes(docs).collect()
+    assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == wanted
+
+
+def test_hot_join(spark, monkeypatch):
+    from pressroom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"c{k % 8}") for k in range(40)], "id int, key string")
+    keyed = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("key <> 'c4'")
+    found = {(r.key, r.id, r.least) for r in common.joined(rows, keyed, ["key"], "n").collect()}
+    assert found == {(r.key, r.id, r.least) for r in rows.join(keyed, "key").collect()}
