@@ -16,6 +16,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -111,24 +112,18 @@ class Words:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         split = [spaced(text) for text in texts]
-        met = set()
-        for words in split:
-            if words:
-                met.update(words[1:])
         young, old = self.young, self.old
-        new = []
-        for word in met.difference(young):
-            known = old.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                young[word] = known
+        met = set(chain.from_iterable(filter(None, split)))
+        met.difference_update(young)
+        again = met.intersection(old)
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = list(met - again)
         if new:
             young.update(zip(new, self.encode_many([word if word[:1] == "\n" else " " + word for word in new]), strict=True))
         # First words and whole texts stand for themselves.
         alone = self.encode_many([words[0] if words else text for words, text in zip(split, texts, strict=True)])
         get = young.__getitem__
-        return [head + b"".join(map(get, words[1:])) if words else head for words, head in zip(split, alone, strict=True)]
+        return [head + b"".join(map(get, islice(words, 1, None))) if words else head for words, head in zip(split, alone, strict=True)]
 
 
 def spaced(text: str) -> list[str] | None:

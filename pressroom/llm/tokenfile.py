@@ -86,23 +86,33 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) ->
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _transposed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number as 8 rows of 8 bits, rows and columns swapped: three rounds of exchanges of bits, then pairs, then fours."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        swapped = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ swapped ^ (swapped << np.uint64(shift))
+    return x
+
+
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """The 32 planes of a block, compressed; ids below 65536 leave the upper half empty, which is not transposed."""
-    width = 2 if len(ids) and int(ids.max()) < 1 << 16 else 4
-    bits = np.unpackbits(np.ascontiguousarray(ids, f"<u{width}").view(np.uint8).reshape(-1, width), axis=1, bitorder="little")
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
+    width, rows = 2 if len(ids) and int(ids.max()) < 1 << 16 else 4, -(-len(ids) // 8)
+    parts = np.zeros((8 * rows, width), np.uint8)
+    parts[: len(ids)] = np.ascontiguousarray(ids, f"<u{width}").view(np.uint8).reshape(-1, width)
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    empty = [squeeze(bytes(packed.shape[1]))] * (32 - len(packed)) if width == 2 else []
-    return [squeeze(plane.tobytes()) for plane in packed] + empty
+    planes = [np.ascontiguousarray(_transposed(np.ascontiguousarray(part).view("<u8")).view(np.uint8).reshape(-1, 8).T) for part in parts.T]
+    return [squeeze(plane.tobytes()) for eight in planes for plane in eight] + [squeeze(bytes(rows))] * (32 - 8 * width)
 
 
 def from_planes(planes: list[bytes], count: int) -> np.ndarray:
     expand = zstandard.ZstdDecompressor().decompress
-    size = -(-count // 8)
+    rows = -(-count // 8)
     width = 2 if len(set(planes[16:])) == 1 and not any(expand(planes[16])) else 4
-    packed = np.frombuffer(b"".join(map(expand, planes[: 8 * width])), np.uint8).reshape(8 * width, size)
-    bits = np.unpackbits(packed, axis=1, count=count, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(f"<u{width}").ravel().astype("<u4")
+    out = np.zeros((8 * rows, 4), np.uint8)
+    for k in range(width):
+        eight = np.frombuffer(b"".join(map(expand, planes[8 * k : 8 * k + 8])), np.uint8).reshape(8, rows)
+        out[:, k] = _transposed(np.ascontiguousarray(eight.T).view("<u8").ravel()).view(np.uint8)
+    return out.view("<u4").ravel()[:count]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
@@ -191,12 +201,15 @@ def read_documents(spark, folder: str) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for parts in batch.column(3).to_pylist():
-                crc = parts[0]["crc"]
-                for part in parts[1:]:
-                    crc = joined_crc(crc, part["crc"], part["size"])
-                found.append(crc)
+            parts = batch.column(3)
+            starts, fields = parts.offsets.to_numpy(), parts.values.flatten()
+            sizes, crcs = fields[1].to_numpy(), fields[2].to_numpy()
+            found = crcs[starts[:-1]].copy()
+            for row in np.nonzero(np.diff(starts) > 1)[0].tolist():
+                crc = int(found[row])
+                for at in range(starts[row] + 1, starts[row + 1]):
+                    crc = joined_crc(crc, int(crcs[at]), int(sizes[at]))
+                found[row] = crc
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     made = blocks.select("shard", "block", "count", "planes", "doc_ids", "positions", "lengths")
