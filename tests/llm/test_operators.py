@@ -330,3 +330,49 @@ def test_hot_join(spark, monkeypatch):
     keyed = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("key <> 'c4'")
     found = {(r.key, r.id, r.least) for r in common.joined(rows, keyed, ["key"], "n").collect()}
     assert found == {(r.key, r.id, r.least) for r in rows.join(keyed, "key").collect()}
+
+
+@pytest.mark.parametrize(("most", "batches"), [(4096, 4), (2, 3)])
+def test_long_repeats_of_all_lengths(spark, monkeypatch, most, batches):
+    """Planted passages around LENGTH, edited copies, periods, repeats within one text, through both ways of comparing."""
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "BATCHES", batches)
+    rng = np.random.default_rng(11)
+    say = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passages = [say(n) for n in (150, 199, 200, 201, 230, 263, 264, 330, 420, 900)]
+    rows = []
+    for k in range(60):
+        parts = [say(int(rng.integers(0, 400)))]
+        for _ in range(int(rng.integers(0, 4))):
+            p = passages[int(rng.integers(len(passages)))]
+            cut = int(rng.integers(0, 30)) if rng.random() < 0.4 else 0
+            p = p[cut:]
+            if rng.random() < 0.3:
+                at = int(rng.integers(len(p)))
+                p = p[:at] + "é" + p[at + 1 :]
+            parts += [p, say(int(rng.integers(0, 60)))]
+        rows.append((k, "".join(parts)))
+    for k, period in enumerate((1, 2, 7, 63, 64, 65, 136, 137, 138, 199, 200, 201, 300)):
+        rows.append((100 + k, (say(period) * 700)[: 650 + period]))
+    rows += [(200, rows[105 - 40][1] if len(rows) > 65 else ""), (201, say(199)), (202, None), rows[5], (5, rows[5][1] + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("c") for c in ("row", "anchor", "first", "batch", "n", "key")})
+    starts = Counter((t or "").encode()[s : s + 200] for _, t in rows for s in range(len((t or "").encode()) - 199))
+    wanted = Counter()
+    for doc, text in rows:
+        data = (text or "").encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - 199):
+            if starts[data[s : s + 200]] > 1:
+                gone[s : s + 200] = True
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
+        wanted[doc, np.frombuffer(data, np.uint8)[~gone].tobytes(), len(data), int(gone.sum()), spans] += 1
+    found = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in repeats.shortened(docs).collect())
+    assert found == wanted
+    assert sum(0 < key[3] < key[2] for key in wanted) > 20
+    assert repeats.shortened(docs.where("doc_id < 0")).count() == 0
+
+
+def test_repeated_strings_with_equal_fingerprints(monkeypatch):
+    monkeypatch.setattr(repeats, "_joined", lambda a, b, level: np.zeros(min(len(a), len(b)), np.uint64))
+    data = np.frombuffer(b"x" * 200 + b"y" * 200 + b"x" * 200, np.uint8)
+    assert repeats.repeated_strings(data, np.array([0, 200, 400])).tolist() == [True, False, True]
