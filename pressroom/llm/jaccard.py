@@ -42,7 +42,9 @@ FAN = 16
 #: Groups of up to so many points, half a leaf, are compared many groups at once.
 SMALL = 8
 #: Pairs of boxes that are opened together.
-CHUNK = 4096
+CHUNK = 256
+#: Pairs of points that leave a task together.
+PAIRS = 100_000
 #: Points of a hot group in one block.
 BLOCK = 2048
 ORACLE_SQL = None
@@ -87,7 +89,7 @@ def packed(counts: np.ndarray) -> bytes:
 
 def unpacked(points: list[bytes]) -> np.ndarray:
     rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), 4 + GROUPS)
-    return rows[:, 4:].astype(np.int64) * np.ascontiguousarray(rows[:, :4]).view("<u4").astype(np.int64)
+    return rows[:, 4:].astype(np.int32) * np.ascontiguousarray(rows[:, :4]).view("<i4")
 
 
 def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -167,23 +169,24 @@ def tree_join(one: Tree, two: Tree, percent: int, within: bool) -> Iterator[tupl
         return k[:, None] * FAN + np.arange(FAN) if level < len(tree.levels) else k[:, None]
 
     height = max(len(one.levels), len(two.levels)) - 1
-    stack = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    root = np.zeros(1, np.int64)
+    stack = [(height, root, root)] if passing(height, root, root)[0] else []
     while stack:
         level, i, j = stack.pop()
-        good = passing(level, i, j)
-        i, j = i[good], j[good]
         if not level:
             keep = i < j if within else slice(None)
             if len(i[keep]):
                 yield one.order[i[keep]], two.order[j[keep]]
             continue
-        for at in range(0, len(i), CHUNK):
-            a, b = below(one, level, i[at : at + CHUNK]), below(two, level, j[at : at + CHUNK])
-            a, b = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, a.shape[1]).ravel()
-            real = (a < len(one.levels[min(level - 1, len(one.levels) - 1)][1])) & (b < len(two.levels[min(level - 1, len(two.levels) - 1)][1]))
-            if within:
-                real &= a <= b
-            stack.append((level - 1, a[real], b[real]))
+        a, b = below(one, level, i), below(two, level, j)
+        a, b = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, a.shape[1]).ravel()
+        real = (a < len(one.levels[min(level - 1, len(one.levels) - 1)][1])) & (b < len(two.levels[min(level - 1, len(two.levels) - 1)][1]))
+        if within:
+            real &= a <= b
+        a, b = a[real], b[real]
+        good = passing(level - 1, a, b)
+        a, b = a[good], b[good]
+        stack += [(level - 1, a[at : at + CHUNK], b[at : at + CHUNK]) for at in range(0, len(a), CHUNK)]
 
 
 def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -238,7 +241,7 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if len(a):
                     pairs.append((a, b))
                     size += len(a)
-                if size > CHUNK * FAN:
+                if size > PAIRS:
                     yield made(pairs)
                     pairs, size = [], 0
             if pairs:
