@@ -181,13 +181,11 @@ def seed_runs(docs: DataFrame) -> DataFrame:
     edges = stored(found.where("left OR right").drop("diagonal"))
     drop(firsts)
     copies = F.ceil(F.col("n") / PER_COPY)
-    sources = surroundings(docs, edges.select("f_doc", "f_row", "f_at", "n").distinct())
+    sources = stored(surroundings(docs, edges.select("f_doc", "f_row", "f_at", "n").distinct()))
     sources = sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
     known = edges.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "at"), copies)).join(sources, ["f_doc", "f_row", "f_at", "salt"])
     edge = F.struct("at", "left", "right", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after"))
-    runs = stored(known.groupBy("doc_id", "row").agg(F.collect_list(edge).alias("edges")))
-    drop(edges)
-    return runs
+    return known.groupBy("doc_id", "row").agg(F.collect_list(edge).alias("edges"))
 
 
 def shortened(docs: DataFrame) -> DataFrame:
