@@ -6,9 +6,8 @@ summed, bound the overlap, for boxes of points as for points, so an R-tree over
 by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, and only
 the sets of those that remain are shuffled and compared.
 
-Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys and each band of set
-sizes, and trees lie in different tasks; the tree of a key that very many sets share is cut into BLOCK points, and pairs of blocks are
-joined. A first pass links the members of a key to the least of them, which joins large groups
+Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys, and trees lie in different
+tasks; the points of a key that very many sets share are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
 of near copies with few comparisons; the second looks at every pair of different components that a key brings together.
 
 Defined results: null and blank texts have no set and stay alone. Texts with fewer than n words
@@ -190,17 +189,16 @@ def tree_join(one: Tree, two: Tree, percent: int, within: bool) -> Iterator[tupl
 
 
 def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs a, b of different components whose points do not rule them out; grouped: key, band, i, j, first, second, home, rep, comp, n, point.
+    """Pairs a, b of different components whose points do not rule them out; grouped: key, i, j, first, second, rep, comp, n, point.
 
-    A pair is looked at in the higher of its two bands, where home tells those that belong there from visitors of the band below, and in
-    the cell (i, j) of the blocks of both, where first and second tell whether a row stands for block i, block j or both.
+    A pair is looked at in the cell (i, j) of the blocks of both, where first and second tell whether a row stands for block i, block j or both.
     """
 
     def few(members, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The groups of a leaf at most, all at once: each row with the one d places on, for every d."""
-        rep, comp, n, point, home = members
+        rep, comp, n, point = members
         for d in range(1, SMALL):
-            i = np.nonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & (home[:-d] | home[d:]))[0]
+            i = np.nonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]))[0]
             i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
             i = i[(100 + percent) * np.minimum(point[i], point[i + d]).sum(1) >= percent * (n[i] + n[i + d])]
             yield np.maximum(rep[i], rep[i + d]), np.minimum(rep[i], rep[i + d])
@@ -212,9 +210,9 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
             return
         one = Tree(sides[0][3], sides[0][2])
         two = one if within else Tree(sides[1][3], sides[1][2])
-        (rep, comp, _, _, home), (other, its_comp, _, _, at_home) = sides
+        (rep, comp, *_), (other, its_comp, *_) = sides
         for a, b in tree_join(one, two, percent, within):
-            ok = (comp[a] != its_comp[b]) & (home[a] | at_home[b])
+            ok = comp[a] != its_comp[b]
             a, b = rep[a[ok]], other[b[ok]]
             yield np.maximum(a, b), np.minimum(a, b)
 
@@ -222,18 +220,17 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
         held: list[list[np.ndarray]] = []  # the rows of the last group, which may go on in the next batch
 
         def found(columns: list[np.ndarray]):
-            *keys, first_side, second_side, rep, comp, n, point, home = columns
-            members = [rep, comp, n, point, home]
+            keys, (first, second), members = columns[:3], columns[3:5], columns[5:]
             new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
             group = np.cumsum(new) - 1
-            starts = np.append(np.nonzero(new)[0], len(rep))
+            starts = np.append(np.nonzero(new)[0], len(group))
             sizes = np.diff(starts)
-            whole = first_side & second_side
+            whole = first & second
             little = np.isin(group, np.nonzero((sizes > 1) & (sizes <= SMALL))[0]) & whole
             yield from few([c[little] for c in members], group[little])
             for g in np.nonzero((sizes > 1) & ((sizes > SMALL) | ~whole[starts[:-1]]))[0].tolist():
                 part = slice(starts[g], starts[g + 1])
-                yield from near([c[part] for c in members], first_side[part], second_side[part])
+                yield from near([c[part] for c in members], first[part], second[part])
 
         def close(rows: list[list[np.ndarray]]):
             pairs, size = [], 0
@@ -254,34 +251,35 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)]
-            columns = [*flat[:6], *flat[7:], unpacked(batch.column(10).to_pylist()), flat[6]]
-            keys = columns[:4]
+            columns = [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)), unpacked(batch.column(8).to_pylist())]
+            keys = columns[:3]
             differs = np.any([k != k[-1] for k in keys], axis=0)
             cut = int(np.nonzero(differs)[0][-1]) + 1 if differs.any() else 0
-            if cut or held and any(held[-1][k][-1] != keys[k][-1] for k in range(4)):
+            if cut or held and any(held[-1][k][-1] != keys[k][-1] for k in range(3)):
                 yield from close([*held, [c[:cut] for c in columns]])
                 held = []
             held.append([c[cut:] for c in columns])
         if held:
             yield from close(held)
 
-    ordered = grouped.select("key", "band", "i", "j", "first", "second", "home", "rep", "comp", "n", "point")
-    cells = ["key", "band", "i", "j"]
+    cells = ["key", "i", "j"]
+    ordered = grouped.select(*cells, "first", "second", "rep", "comp", "n", "point")
     return ordered.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct()
 
 
-def celled(grouped: DataFrame) -> DataFrame:
-    """The rows of grouped with i, j, first, second: hot groups, dealt into blocks of BLOCK points, go to the cells of all pairs of their blocks."""
-    sizes = grouped.groupBy("key", "band").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    large = sizes.where((F.col("size") > BLOCK) & (F.col("size") * HOT >= total))  # HOT rows at most
-    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+def celled(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of grouped with i, j, first, second: hot keys, dealt into blocks of BLOCK points, go to the cells of all pairs of their blocks.
+
+    sizes: key, rows.
+    """
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    large = sizes.where((F.col("rows") > BLOCK) & (F.col("rows") * HOT >= total))  # HOT rows at most
+    blocks = F.coalesce(F.ceil(F.col("rows") / BLOCK), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
-    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (i == F.col("_block")).alias("first"), (j == F.col("_block")).alias("second"))
     mine = F.col("_block")
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (i == mine).alias("first"), (j == mine).alias("second"))
     cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: cell(F.least(k, mine), F.greatest(k, mine)))
-    dealt = grouped.join(F.broadcast(large), ["key", "band"], "left").withColumn("_blocks", blocks).withColumn("_block", block)
+    dealt = grouped.join(F.broadcast(large), "key", "left").withColumn("_blocks", blocks).withColumn("_block", block)
     return dealt.withColumn("_cell", F.explode(cells)).select(*grouped.columns, "_cell.*")
 
 
@@ -348,17 +346,14 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     linked = verified(stars, vectors, source, n, percent)
     drop(anchor, heads)
     early = components(linked)
-    points = sets.join(early, sets["rep"] == early["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), F.col("n").cast("long").alias("n"), "point", "keys")
-    keyed = points.select(F.explode("keys").alias("key"), "rep", "comp", "n", "point")
+    placed = sets.select("rep", "n", "point", "keys").join(early, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep"))
+    placed = stored(placed.select("rep", "comp", F.col("n").cast("long").alias("n"), "point", "keys"))
     # Keys of one component alone bring nothing together.
-    spans = points.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
+    spans = placed.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
     mixed_keys = stored(spans.where("low <> high").select("key", "rows"))
-    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    shared = stored(joined(keyed, mixed_keys, ["key"], "rows"))
-    grouped = shared.select("key", "rep", "comp", "n", "point", both.alias("e")).select("key", "e.band", "e.home", "rep", "comp", "n", "point")
-    late = verified(candidates(celled(grouped), percent), vectors, source, n, percent)
-    drop(mixed_keys, shared, sets)
+    shared = stored(joined(placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys, ["key"], "rows"))
+    late = verified(candidates(celled(shared.join(placed.drop("keys"), "rep"), mixed_keys), percent), vectors, source, n, percent)
+    drop(mixed_keys, shared, placed, sets)
     same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(linked.unionByName(late).unionByName(same))
     drop(linked, late, members)
