@@ -115,7 +115,7 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """first, before, after: up to LEAST_RUN bytes on both sides of the seeds at the wanted places, with their n."""
+    """f_doc, f_row, f_at, n, before, after: up to LEAST_RUN bytes on the asked sides (left, right) of the seeds at the wanted places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("f_doc", pa.int64()), ("f_row", pa.int64()), ("f_at", pa.int32()), ("n", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
@@ -123,13 +123,15 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for doc, row, text, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode("utf-8")
-                out += [(doc, row, p["f_at"], p["n"], data[max(0, p["f_at"] - LEAST_RUN) : p["f_at"]], data[p["f_at"] + SEED :][:LEAST_RUN]) for p in places]
+                for p in places:
+                    at = p["f_at"]
+                    before, after = data[max(0, at - LEAST_RUN) : at] if p["left"] else None, data[at + SEED : at + SEED + LEAST_RUN] if p["right"] else None
+                    out.append((doc, row, at, p["n"], before, after))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    places = wanted.groupBy(F.col("f_doc").alias("doc_id"), F.col("f_row").alias("row")).agg(F.collect_set(F.struct("f_at", "n")).alias("places"))
-    # A text of repeated rows is read once for each; the places are made distinct after.
-    both = keyed(docs).join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places")
-    return both.mapInArrow(run, "f_doc long, f_row long, f_at int, n long, before binary, after binary").dropDuplicates(["f_doc", "f_row", "f_at"])
+    places = wanted.groupBy(F.col("f_doc").alias("doc_id"), F.col("f_row").alias("row")).agg(F.collect_list(F.struct("f_at", "n", "left", "right")).alias("places"))
+    both = keyed(docs).join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places").dropDuplicates(["doc_id", "row"])
+    return both.mapInArrow(run, "f_doc long, f_row long, f_at int, n long, before binary, after binary")
 
 
 def extended(data: bytes, edges) -> list[dict]:
@@ -181,7 +183,8 @@ def seed_runs(docs: DataFrame) -> DataFrame:
     edges = stored(found.where("left OR right").drop("diagonal"))
     drop(firsts)
     copies = F.ceil(F.col("n") / PER_COPY)
-    sources = stored(surroundings(docs, edges.select("f_doc", "f_row", "f_at", "n").distinct()))
+    asked = edges.groupBy("f_doc", "f_row", "f_at", "n").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    sources = stored(surroundings(docs, asked))
     sources = sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
     known = edges.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "at"), copies)).join(sources, ["f_doc", "f_row", "f_at", "salt"])
     edge = F.struct("at", "left", "right", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("after")).alias("after"))
