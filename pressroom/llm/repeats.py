@@ -31,7 +31,7 @@ from pressroom.llm.common import drop, joined, pieces, read, stored, texts
 LENGTH, GRAM = 200, 64
 SPREAD = LENGTH - GRAM + 1
 #: Batches that a table is taken in.
-BATCHES = 4
+BATCHES = 3
 #: Contexts of one anchor that meet in a task.
 MOST = 4096
 #: Bytes of contexts that are sorted together.
@@ -146,7 +146,7 @@ class Family:
         mine = stored(level.groupBy("anchor").agg(F.count("*").alias("k"), F.max((F.col("n") > 1) | F.col("own")).alias("twice")))
         hits = mine.where("k > 1 OR twice").select("anchor")
         for _, other in self.levels:
-            hits = hits.unionByName(mine.select("anchor").join(other.select("anchor"), "anchor", "left_semi"))
+            hits = hits.unionByName(mine.select("anchor").join(other.select("anchor").distinct(), "anchor"))
         self.recurring.append(stored(hits.distinct()))
         drop(mine)
         self.levels.append((1, level))
@@ -157,13 +157,16 @@ class Family:
             drop(one, two)
 
     def matches(self) -> DataFrame:
-        """The entries, over all levels, of the anchors that recur, with k, the number of contexts of the anchor."""
+        """The entries, over all levels, of the anchors that recur, with k: 1, or at least the number of contexts of the anchor."""
         everything, hits = self.levels[0][1], self.recurring[0]
         for _, level in self.levels[1:]:
             everything = everything.unionByName(level)
         for more in self.recurring[1:]:
             hits = hits.unionByName(more)
-        per = stored(everything.join(hits.distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("rows"), F.count_distinct("high", "low").alias("k")))
+        context = F.struct("high", "low")
+        per = everything.groupBy("anchor").agg(F.count("*").alias("rows"), (F.min(context) != F.max(context)).alias("several"))
+        per = per.withColumn("k", F.when(F.col("several"), F.col("rows")).otherwise(1)).drop("several")
+        per = stored(per.join(hits.distinct(), "anchor"))
         rows = joined(everything, per, ["anchor"], "rows")
         out = stored(rows.groupBy(*ENTRY).agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.min("at").alias("at"), F.max("k").alias("k")))
         drop(per, *self.recurring, *(level for _, level in self.levels))
@@ -283,8 +286,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = stored(joined(found, settled, ["high", "low"], "n").select("doc_id", "row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")))
     drop(found, settled)
     # Contexts that occur once, and what they are compared with.
-    undecided = entries.where("n = 1 AND (k > 1 OR own)").select("anchor").distinct()
-    wanted = entries.join(undecided, "anchor", "left_semi").select("anchor", "at.*", (F.col("n") == 1).alias("open"), (F.col("k") > MOST).alias("large"))
+    undecided = entries.groupBy("anchor").agg(F.count("*").alias("rows"), F.bool_or((F.col("n") == 1) & ((F.col("k") > 1) | F.col("own"))).alias("open")).where("open")
+    undecided = stored(undecided.drop("open"))
+    wanted = joined(entries, undecided, ["anchor"], "rows").select("anchor", "at.*", (F.col("n") == 1).alias("open"), (F.col("k") > MOST).alias("large"))
     places = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "first", "last", "open", "large")).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +304,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Rows of one doc_id and text are one here: their contexts occur twice and are not open.
     sources = keyed(docs).join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places").dropDuplicates(["doc_id", "row"])
     bytes_of = stored(sources.mapInArrow(cut_out, "anchor long, doc_id long, row long, first int, data binary, open boolean, large boolean"))
-    drop(entries)
+    drop(entries, undecided)
     by_anchor = stored(compared(bytes_of.where("NOT large")))
     by_digest = counted(bytes_of.where("large"))
     drop(bytes_of)
