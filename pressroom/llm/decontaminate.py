@@ -9,8 +9,8 @@ coincidences of placeholders do not. Besides, RUN lower-cased tokens in a row, o
 Documents send only windows whose hash falls on a set bit of a bitmap of BITS bits, of fixed size, made from the
 benchmark; the join decides, by the template itself. Rows are salted by document.
 
-Defined results: null and empty texts match nothing. Items of fewer than LEAST_TOKENS tokens are not searched for, items of fewer
-than WINDOW tokens as one window. Repeated rows of either table are matched once. An empty benchmark matches nothing. Extra columns
+Defined results: null and empty texts match nothing. Items of fewer than LEAST_TOKENS tokens match only where they are a whole line, items
+of fewer than WINDOW tokens as one window, items without tokens nothing. item_id may be of any type. Very long texts are read whole. Repeated rows of either table are matched once. An empty benchmark matches nothing. Extra columns
 are passed on by clean() and not read otherwise.
 """
 
@@ -20,6 +20,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import read
+from pressroom.llm.common import pieces, read
 
 WINDOW = 8
 LEAST_TOKENS = 5
@@ -39,15 +40,21 @@ BITS = 1 << 22
 SALTS = 16
 ORACLE_SQL = None
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
 UNITS = frozenset(
     "mm cm m km mg g kg t ml l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years percent "
     "mile miles foot feet inch inches yard yards pound pounds lb lbs ounce ounces oz dollar dollars euro euros cent cents meter meters metre metres "
     "kilometer kilometers kilogram kilograms gram grams liter liters litre litres mph kmh watt watts volt volts degree degrees".split()
 )
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
-_BREAK, _PLAIN, _CAPITAL, _NUMBER, _UNIT = range(5)
-_HASHES = {kind: np.uint64(xxhash.xxh3_64_intdigest(kind)) for kind in (NUMBER, NAME, UNIT)}
+_BREAK, _LINE, _PLAIN, _CAPITAL, _NUMBER, _UNIT = range(6)
+_HASHES = np.array([0, *map(xxhash.xxh3_64_intdigest, (NUMBER, NAME, UNIT))], np.uint64)
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
 class Vocabulary(dict):
@@ -59,7 +66,7 @@ class Vocabulary(dict):
 
     def __missing__(self, token: str) -> int:
         lower = token.lower()
-        kind = _BREAK if token in ".!?:\n" else _NUMBER if token[0].isdigit() else _UNIT if lower in UNITS else _CAPITAL if token[0].isupper() else _PLAIN
+        kind = _LINE if token == "\n" else _BREAK if token in ".!?:" else _NUMBER if token[0].isdigit() else _UNIT if lower in UNITS else _CAPITAL if token[0].isupper() else _PLAIN
         number = self[token] = len(self.words)
         self.hashes.append(xxhash.xxh3_64_intdigest(lower))
         self.kinds.append(kind)
@@ -74,41 +81,64 @@ class Vocabulary(dict):
 
 
 class Template:
-    """A text's tokens without breaks: hashes of their canonical forms, whether each is a placeholder, and numbers into the vocabulary."""
+    """The tokens of some texts, one text after the other, without breaks: hashes of their canonical forms, whether each is a placeholder, numbers
+    into the vocabulary, and text and place, the place of a token in its text."""
 
-    def __init__(self, text: str, vocabulary: Vocabulary):
+    def __init__(self, texts: list[str], vocabulary: Vocabulary):
         if len(vocabulary) > 500_000:
             vocabulary.clear()
             vocabulary.hashes, vocabulary.kinds, vocabulary.words = array("Q"), array("b"), []
-        found = TOKEN.findall(text)
-        numbers = np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found))
+        # Every text is closed by the end of a line.
+        found = [TOKEN.findall(text) + ["\n"] for text in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
         hashes, kinds = vocabulary.arrays()
         kind = kinds[numbers] if len(numbers) else np.empty(0, np.int8)
-        before = np.concatenate([[_BREAK], kind[:-1]]) if len(kind) else kind
-        name = (kind == _CAPITAL) & (before != _BREAK)
+        before = np.concatenate([[_LINE], kind[:-1]])[: len(kind)]
+        name = (kind == _CAPITAL) & (before > _LINE)
         number = kind == _NUMBER
         unit = (kind == _UNIT) & (before == _NUMBER)
-        form = hashes[numbers] if len(numbers) else np.empty(0, np.uint64)
-        form = np.where(number, _HASHES[NUMBER], np.where(name, _HASHES[NAME], np.where(unit, _HASHES[UNIT], form)))
-        keep = kind != _BREAK
-        self.form, self.numbers = form[keep], numbers[keep]
-        self.marks = np.where(number, 1, np.where(name, 2, np.where(unit, 3, 0)))[keep]
-        self.words, self.spelled = vocabulary.words, hashes[numbers][keep] if len(numbers) else form
+        places = np.nonzero(kind > _LINE)[0]
+        self.numbers = numbers[places]
+        self.marks = (number + 2 * name + 3 * unit)[places]
+        self.spelled = hashes[self.numbers] if len(places) else np.empty(0, np.uint64)
+        self.form = np.where(self.marks > 0, _HASHES[self.marks], self.spelled)
+        self.text = np.repeat(np.arange(len(texts)), sizes)[places]
+        firsts = np.searchsorted(self.text, np.arange(len(texts)))
+        self.place = np.arange(len(places)) - firsts[self.text]
+        self.words = vocabulary.words
+        # Lines end where a line feed stands among the breaks between two tokens.
+        apart = np.diff(np.cumsum(kind == _LINE)[places]) > 0
+        self.begins, self.ends = (np.concatenate(ends)[: len(places)] for ends in (([True], apart), (apart, [True])))
+        self.ladders: dict[bool, list[np.ndarray]] = {}
+
+    def _ladder(self, exact: bool, level: int) -> list[np.ndarray]:
+        """Hashes of all stretches of 1, 2, 4 ... tokens."""
+        ladder = self.ladders.setdefault(exact, [self.spelled if exact else self.form])
+        while len(ladder) <= level:
+            half = 1 << len(ladder) - 1
+            ladder.append(_both(ladder[-1][:-half], ladder[-1][half:]))
+        return ladder
 
     def windows(self, size: int, exact: bool) -> np.ndarray:
         """Hash of each window of `size` tokens, as they are spelled if exact; else of their canonical forms, and 0 where too few are plain."""
-        form = self.spelled if exact else self.form
-        count = len(form) - size + 1
+        count = len(self.form) - size + 1
         if count <= 0:
             return np.empty(0, np.uint64)
-        out = np.full(count, size + 256 * exact, np.uint64)
-        for k in range(size):
-            out = (out ^ form[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        if exact:
-            return np.maximum(out, np.uint64(1))
-        plain = np.concatenate([[0], np.cumsum(self.marks == 0)])
-        return np.where(plain[size:] - plain[:-size] >= min(LEAST_PLAIN, size), out, np.uint64(0))
+        ladder = self._ladder(exact, size.bit_length() - 1)
+        out, at = None, 0
+        for level in reversed(range(size.bit_length())):
+            if size >> level & 1:
+                part = ladder[level][at : at + count]
+                out, at = part if out is None else _both(out, part), at + (1 << level)
+        out = np.maximum(_both(out, np.full(1, size + 256 * exact, np.uint64)), np.uint64(1))
+        good = self.text[:count] == self.text[size - 1 :]
+        if exact and size < LEAST_TOKENS:
+            good &= self.begins[:count] & self.ends[size - 1 :]
+        if not exact:
+            plain = np.concatenate([[0], np.cumsum(self.marks == 0)])
+            good &= plain[size:] - plain[:-size] >= min(LEAST_PLAIN, size)
+        return np.where(good, out, np.uint64(0))
 
     def template(self, at: int, size: int, exact: bool) -> str:
         if exact:
@@ -126,23 +156,25 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
         names = ["item_id", "item_at", "needed", "size", "exact", "hash", "template", "item_slots"]
         for batch in batches:
+            types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = Template(text, vocabulary)
+                made = Template([text], vocabulary)
                 n = len(made.form)
-                if n < LEAST_TOKENS:
+                if not n:
                     continue
-                for exact, size in ((False, min(WINDOW, n)), (True, min(RUN, n))):
+                if n < LEAST_TOKENS:  # as a line of its own
+                    made.begins, made.ends = np.ones(n, bool), np.ones(n, bool)
+                for exact, size in ((False, min(WINDOW, n)), (True, min(RUN, n)))[n < LEAST_TOKENS :]:
                     sent = [(at, digest) for at, digest in enumerate(made.windows(size, exact).astype(np.int64).tolist()) if digest]
                     needed = min(RUN - size + 1, len(sent))
                     out += [(item, at, needed, size, exact, digest, made.template(at, size, exact), made.slots(at, size, exact)) for at, digest in sent]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
-    return rows.mapInArrow(run, "item_id long, item_at long, needed long, size long, exact boolean, hash long, template string, item_slots array<string>")
+    rows = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
+    return rows.mapInArrow(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, item_at long, needed long, size long, exact boolean, hash long, template string, item_slots array<string>")
 
 
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, bool]]) -> DataFrame:
@@ -154,14 +186,15 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, b
         vocabulary = Vocabulary()
         marked = np.unpackbits(shared.value).astype(bool)
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string())]
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = Template(text, vocabulary)
-                for size, exact in sizes:
-                    found = made.windows(size, exact)
-                    for at in np.nonzero(marked[(found & np.uint64(BITS - 1)).astype(np.int64)] & (found != 0))[0].tolist():
-                        out.append((doc, at, exact, int(found[at].astype(np.int64)), made.template(at, size, exact), made.slots(at, size, exact)))
+            docs = batch.column(0).to_pylist()
+            made = Template(batch.column(1).to_pylist(), vocabulary)
+            for size, exact in sizes:
+                found = made.windows(size, exact)
+                for at in np.nonzero(marked[(found & np.uint64(BITS - 1)).astype(np.int64)] & (found != 0))[0].tolist():
+                    place = (docs[made.text[at]], int(made.place[at]))
+                    out.append((*place, exact, int(found[at].astype(np.int64)), made.template(at, size, exact), made.slots(at, size, exact)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "doc_at", "exact", "hash", "template", "doc_slots"])
 
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
@@ -219,8 +252,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "n", "differs"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
+            types = [batch.column(0).type, batch.column(1).type, pa.int64(), pa.bool_()]
             out = []
             for doc, item, n_exact, needed, windows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 n, differs = agreeing([(w["item_slots"], w["doc_slots"]) for w in windows], needed or 1)
@@ -228,7 +261,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     out.append((doc, item, max(n, n_exact), differs))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    right = on_diagonal.select("doc_id", "item_id", "n_exact", "needed", "windows").mapInArrow(judge, "doc_id long, item_id long, n long, differs boolean")
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    right = on_diagonal.select("doc_id", "item_id", "n_exact", "needed", "windows").mapInArrow(judge, f"doc_id long, item_id {item_type}, n long, differs boolean")
     return right.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.min("differs").alias("reparameterised"))
 
 
