@@ -46,7 +46,15 @@ CHUNK = 256
 PAIRS = 100_000
 #: Points of a hot group in one block.
 BLOCK = 2048
-ORACLE_SQL = None
+ORACLE_SQL = rf"""WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+  sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - {WORDS - 2})), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM words),
+  shingles AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+  links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+  edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets"""
 
 FEATURES = "doc_id long, n_shingles long, digest binary, point binary, fine binary, anchors array<long>, keys array<long>"
 
