@@ -92,7 +92,7 @@ def test_chat_equal_texts_of_different_turns(spark):
     rows = [(1, 0, "user", "a"), (1, 2, "user", "ok"), (1, 3, "assistant", "ok"), (1, 6, "user", "ok"), (1, 7, "assistant", "ok"), (1, 90, "assistant", "ok")]
     rows += [(2, 1, "user", None), (2, 2, "user", "x"), (2, 3, "user", None), (2, 70, "user", None), (2, 70, "user", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    chats = chat.render(chat.messages(chat.events_of_turns(turns))).orderBy("conv_id", "chunk").collect()
+    chats = chat.render(chat.messages(chat.events_of_turns(turns)), chat.CHUNK * chat.STRIDE).orderBy("conv_id", "chunk").collect()
     for conv in (1, 2):
         assert [t for r in chats if r.conv_id == conv for t in chat.parse(r.formatted)] == [(role, text or "") for c, _, role, text in rows if c == conv]
     assert [len(r.loss) for r in chats if r.conv_id == 1] == [2, 1]
