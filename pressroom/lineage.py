@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer reachable, which it does after a collection of the driver's memory."""
+    time.sleep(0.2)  # listeners hold the last plan until they have heard of its end
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: later steps do not repeat what led to it, and survive a lost executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # Spark's cleaner deletes the shuffle files of plans that are no longer reachable
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -11,8 +11,9 @@ from pressroom.functions import links as LF
 from pressroom.functions import text
 from pressroom.functions.urls import url_domain
 from pressroom.lineage import shared_dir
-from pressroom.operators import listings, pages
+from pressroom.operators import entities, listings, pages
 from pressroom.plans.common import AS, HOST, LATER, NOW, PATH, A, L, matching, now, of_articles, of_logs, of_pages
+from pressroom.plans.dedup import COSINE
 from pressroom.sources import sites
 from pressroom.streaming import streams
 
@@ -208,6 +209,17 @@ def _stream_within(spark, d):
     return spark.read.parquet(f"{folder}/out").select("url_hash")
 
 
+def _stream_cascade(spark, d):
+    """Articles with entities and vectors through levels 2 to 4, as they arrive."""
+    folder = shared_dir(spark)
+    raw = streams.read_stream(spark, f"{d}/documents.parquet*", views.table(spark, d, "documents").schema)
+    named = entities.extract_entities(views.articles_of_documents(raw), views.dictionary(spark))
+    vectors = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    given = named.withColumn("entities", entities.entity_set(F.col("entities"))).join(vectors, "id", "left")
+    streams.run_once(given, f"{folder}/checkpoint", streams.cascade_batches(f"{folder}/out", cosine=COSINE))
+    return spark.read.parquet(f"{folder}/out").select("id", "dedup_level", "duplicate_of")
+
+
 def _on_time(spark, d):
     """Logs as items that may be late, in a stream joined with the sources."""
     folder = shared_dir(spark)
@@ -251,6 +263,7 @@ QUERIES = {
     "x1_micro_batches": _ingested,
     "x2_stream_exact_url": _stream_exact,
     "x2_stream_within_watermark": _stream_within,
+    "x3_stream_cascade": _stream_cascade,
     "x4_stream_states": _states,
     "x5_closed_days": _closed_days,
     "x5_last_day_counts": _closed_spans,

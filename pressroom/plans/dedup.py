@@ -171,7 +171,22 @@ _STATS = """stats AS (SELECT cluster, count(*) AS article_count, array_to_string
   FROM clustered GROUP BY 1)"""
 _RS = _R.rstrip() + ", " + _STATS + "\n"
 
+#: The cascade one article after the other, the duplicates found so far handed on from step to step.
+_CASCADE = f"""{A.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()}, {_HASHES}, {_ENTITIES},
+  candidates AS (SELECT id, duplicate_of AS other, 2 AS level, 0::DOUBLE AS score, NULL::TIMESTAMP AS seen FROM ({_NEAR})
+    UNION ALL SELECT s.id, s.other, 3, s.overlap, a.crawled_at FROM ({_SHARED}) s JOIN articles a ON a.id = s.other
+    UNION ALL SELECT id, other, 4, cosine, NULL FROM ({_VECTORS.replace("round(", "(").replace(", 5) AS cosine", ") AS cosine")})),
+  ranked AS MATERIALIZED (SELECT id, other, level, row_number() OVER (PARTITION BY id ORDER BY level, score DESC, seen DESC, CASE WHEN level = 3 THEN -other ELSE other END) AS pos FROM candidates),
+  ordered AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY crawled_at, id) AS n FROM articles),
+  steps(n, dups, id, level, duplicate_of) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::INT, NULL::BIGINT UNION ALL
+    SELECT n, CASE WHEN level IS NULL THEN dups ELSE list_append(dups, id) END, id, level, other FROM (
+      SELECT o.n, o.id, any_value(s.dups) AS dups, arg_min(r.level, r.pos) FILTER (r.level = 2 OR NOT list_contains(s.dups, r.other)) AS level,
+        arg_min(r.other, r.pos) FILTER (r.level = 2 OR NOT list_contains(s.dups, r.other)) AS other
+      FROM steps s JOIN ordered o ON o.n = s.n + 1 LEFT JOIN ranked r ON r.id = o.id GROUP BY 1, 2))
+  SELECT id, CAST(level AS INT) AS dedup_level, duplicate_of FROM steps WHERE n > 0"""
+
 ORACLE_SQL = {
+    "d5_cascade": _CASCADE,
     "f1_normalize_url": f"WITH {_NORMAL} SELECT id, url FROM normal",
     "f2_url_hash": f"WITH {_NORMAL} SELECT id, sha256(url) AS url_hash FROM normal",
     "f6_simhash": f"{A.rstrip()}, {_HASHES} SELECT a.id, CASE WHEN a.title IS NOT NULL THEN hash ELSE 0 END AS hash FROM articles a LEFT JOIN hashes USING (id)",

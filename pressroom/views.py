@@ -16,7 +16,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return articles_of_documents(table(spark, sf_dir, "documents"))
+
+
+def articles_of_documents(docs: DataFrame) -> DataFrame:
+    """Works on streams too."""
     crawled = F.timestamp_add("MINUTE", (F.col("doc_id") * 20).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     country = F.when(F.col("lang") == "en", F.element_at(F.array(F.lit("US"), F.lit("GB"), F.lit("AU")), (F.col("doc_id") % 3 + 1).cast("int")))
     for lang, name in (("fr", "FR"), ("de", "DE"), ("es", "ES")):
