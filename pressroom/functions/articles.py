@@ -20,10 +20,18 @@ _DATES = (
 )
 
 
-def quality_score(title: Column, content: Column, published_at: Column, html: Column, has_image: Column) -> Column:
-    """0 to 1: title, length of the body, date, few tags in the page, an image; added up in this order."""
+TAG = "<[^>]+>"
+
+
+def tag_share(html: Column) -> Column:
+    """Tags for each character of a page; null for an empty one."""
+    return F.try_divide(F.regexp_count(html, F.lit(TAG)), F.length(html))
+
+
+def quality_score(title: Column, content: Column, published_at: Column, tags: Column, has_image: Column) -> Column:
+    """0 to 1: title, length of the body, date, few tags in the page (tag_share), an image; added up in this order."""
     length = F.coalesce(F.length(content), F.lit(0))
-    few_tags = (length > 0) & (F.length(html) > 0) & (F.regexp_count(html, F.lit("<[^>]+>")) / F.length(html) < 0.03)
+    few_tags = (length > 0) & (tags < 0.03)
     parts = [
         (F.trim(F.coalesce(title, F.lit(""))) != "", 0.25),
         (length >= 200, 0.25),

@@ -47,6 +47,11 @@ def mining_stats(links: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     )
 
 
+def exclude_sources(mined: DataFrame, sources: DataFrame) -> DataFrame:
+    """The mined domains that are no sources yet."""
+    return mined.join(sources.select("domain").distinct(), "domain", "left_anti")
+
+
 def merge_candidates(existing: DataFrame, mined: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """The candidates after a run of mining; domains that are sources already are left alone.
 
@@ -54,7 +59,7 @@ def merge_candidates(existing: DataFrame, mined: DataFrame, sources: DataFrame,
     from WORTH mentions, the known one only if it was never analysed.
     existing: domain, url, mention_count, discovered_from, first_seen_at, last_seen_at, auto_analysis, status.
     """
-    new = mined.join(sources.select("domain").distinct(), "domain", "left_anti")
+    new = exclude_sources(mined, sources)
     both = existing.join(new, "domain", "full_outer").select(
         "domain", *(existing[c] for c in existing.columns if c not in ("domain", "discovered_from")), existing["discovered_from"].alias("_old"), "mentions", new["discovered_from"].alias("_new")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -17,9 +18,9 @@ from pressroom.functions.text import excerpt, is_article_url
 from pressroom.functions.urls import url_domain
 
 PARSED = (
-    "id long, url string, title string, content string, author string, published string, language string, lead_image string, images array<string>, hrefs array<string>"
+    "id long, url string, title string, content string, author string, published string, language string, lead_image string, images array<string>, hrefs array<string>, tags double"
 )
-#: Pages of one Arrow batch are parsed together; links and paragraphs leave it as arrays.
+_TAG = re.compile(A.TAG)
 _SKIPPED = {"script", "style", "nav", "footer", "aside", "header", "noscript", "form"}
 _BLOCKS = {"p", "h2", "h3", "h4", "li", "blockquote", "pre"}
 MOST_LINKS = 30
@@ -123,7 +124,7 @@ class Page(HTMLParser):
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """The columns of PARSED for every page (id, url, html); a null or unreadable page has none but id and url. No shuffle."""
+    """The columns of PARSED for every page (id, url, html), tags being tag_share(); a null or unreadable page has none but id and url. No shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -135,7 +136,8 @@ def parsed(pages: DataFrame) -> DataFrame:
                     page.close()
                 except (AssertionError, ValueError):
                     page = Page(url or "")
-                rows.append((key, url, *page.row(key)[2:]))
+                tags = len(_TAG.findall(html)) / len(html) if html else None
+                rows.append((key, url, *page.row(key)[2:], tags))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     return pages.select(F.col("id").cast("long"), "url", "html").mapInPandas(run, PARSED)
@@ -164,14 +166,13 @@ def external_links(url: Column, hrefs: Column) -> Column:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Articles of fetched pages: title, content, author, published_at, images, external_links, language, excerpt, quality, is_news, success."""
-    html = pages.select("id", F.col("html").alias("_html"))
     lead, images = page_images(F.col("lead_image"), F.col("images"))
-    out = parsed(pages).join(html, "id").select(
+    out = parsed(pages).select(
         "id", "url", "title", "content", "author", A.parse_publish_date(F.col("published")).alias("published_at"), lead, images,
-        external_links(F.col("url"), F.col("hrefs")).alias("external_links"), "language", "_html",
+        external_links(F.col("url"), F.col("hrefs")).alias("external_links"), "language", "tags",
     )
     has_image = F.col("image_url").isNotNull() | (F.size("image_urls") > 0)
-    quality = A.quality_score(F.col("title"), F.col("content"), F.col("published_at"), F.col("_html"), has_image)
+    quality = A.quality_score(F.col("title"), F.col("content"), F.col("published_at"), F.col("tags"), has_image)
     out = out.withColumns(
         {
             "content_length": F.coalesce(F.length("content"), F.lit(0)),
@@ -180,7 +181,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             "is_news": A.is_news_article(F.col("url"), F.col("title"), F.col("content")),
         }
     )
-    return out.withColumn("success", F.col("quality") >= A.SUCCESS).drop("_html")
+    return out.withColumn("success", F.col("quality") >= A.SUCCESS).drop("tags")
 
 
 def article_links(pages: DataFrame, most: int = MOST_LINKS) -> DataFrame:

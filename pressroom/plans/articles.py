@@ -42,7 +42,7 @@ def _named(spark, d):
 
 
 def _quality(articles):
-    score = AF.quality_score(F.col("title"), F.col("content"), F.when(F.col("id") % 3 != 0, F.col("published_at")), F.concat(F.lit("<p>"), "content", F.lit("</p>")), F.col("id") % 2 == 0)
+    score = AF.quality_score(F.col("title"), F.col("content"), F.when(F.col("id") % 3 != 0, F.col("published_at")), AF.tag_share(F.concat(F.lit("<p>"), "content", F.lit("</p>"))), F.col("id") % 2 == 0)
     return articles.select("id", F.round(score, 6).alias("quality"), (score >= AF.SUCCESS).alias("success"))
 
 
@@ -105,7 +105,8 @@ def _linked(spark, d):
 
 def _extracted(spark, d):
     out = pages.extract_pages(_linked(spark, d))
-    return out.select("id", "title", "content", "published_at", "image_url", "quality", "is_news", "success", F.array_join("external_links", " ").alias("external_links"))
+    has_text = (F.col("content_length") > 0).alias("has_text")
+    return out.select("id", "title", "language", "published_at", "image_url", has_text, F.array_join("external_links", " ").alias("external_links"))
 
 
 def _images(spark, d):
@@ -278,6 +279,9 @@ for _pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>
     _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', ' ', 'g')"
 for _name, _character in AF.ENTITIES:
     _TEXT = f"replace({_TEXT}, '{_name}', '{_character.replace(chr(39), chr(39) * 2)}')"
+_HEAD = "regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
+for _name, _character in AF.ENTITIES:
+    _HEAD = f"replace({_HEAD}, '{_name}', '{_character.replace(chr(39), chr(39) * 2)}')"
 _ZONES = "CASE country " + " ".join(f"WHEN '{c}' THEN '{z}'" for c, z in C.ZONES.items()) + " ELSE 'UTC' END"
 _MENU = " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in C.MENU_WORDS)
 _TOPIC = " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in C.TOPIC_IN_TEXT)
@@ -306,6 +310,8 @@ ORACLE_SQL = {
     "f18_cosine_of_32_dims": _COSINE.format(cut="[1:32]"),
     "f19_publish_date": f"{A}SELECT id, CASE id % 5 WHEN 4 THEN NULL WHEN 3 THEN date_trunc('day', published_at) ELSE date_trunc('second', published_at) END AS published_at FROM articles",
     "f20_html_text": rf"SELECT page_id AS id, left(trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')), 2000) AS text FROM pages",
+    "p1_extract_pages": rf"""SELECT page_id AS id, nullif(trim(regexp_replace({_HEAD}, '\s+', ' ', 'g')), '') AS title, NULL::VARCHAR AS language, TIMESTAMP '2024-03-01 10:00:00' AS published_at,
+      {_OWN} || '/i/1.png' AS image_url, regexp_matches(html, '(?s)<p\b[^>]*>(<[^>]*>|\s)*[^<\s]') AS has_text, 'https://other.example.org/story?id=1' AS external_links FROM pages""",
     "p2_page_images": f"SELECT page_id AS id, {_OWN} || '/i/1.png' AS image_url, 2::INT AS n FROM pages",
     "p3_external_links": "SELECT page_id AS id, 'https://other.example.org/story?id=1' AS links FROM pages",
     "p4_article_links": f"""SELECT page_id AS id, CAST(position AS INT) AS position, {_OWN} || path AS link FROM pages,

@@ -8,6 +8,7 @@ from pressroom import constants as C
 from pressroom import views
 from pressroom.functions import articles as AF
 from pressroom.functions import links as LF
+from pressroom.functions.urls import url_domain
 from pressroom.operators import aggregates, discovery, listings, sources
 from pressroom.plans.common import HOST, LATER, LINKS, LS, NOW, AS, L, S, matching, now, of_articles, of_logs, of_sources
 from pressroom.sources import sites
@@ -125,6 +126,12 @@ def _merged(spark, d):
     return out.select("domain", "mention_count", F.size("discovered_from").alias("articles"), "last_seen_at", "status")
 
 
+def _excluded(spark, d):
+    """Mined domains but those that every third page has as its host."""
+    known = views.table(spark, d, "pages").where("page_id % 3 = 0").select(url_domain(F.col("url")).alias("domain"))
+    return discovery.exclude_sources(_mined(spark, d), known).select("domain", "mentions")
+
+
 def _approved(spark, d):
     c = _candidates(spark, d)
     none = F.lit(None).cast("string")
@@ -195,6 +202,7 @@ QUERIES = {
     "g9_mine_links": _mined_row,
     "g9_mining_stats": lambda spark, d: discovery.mining_stats(views.links(spark, d), now()),
     "g10_merge_candidates": _merged,
+    "j3_candidate_exclusion": _excluded,
     "t1_due_sources": of_sources(lambda s: listings.due_sources(s, now(LATER)).select("id", "priority", "next_crawl_at")),
     "t2_needs_repair": of_sources(lambda s: listings.needs_repair(s).select("id", "consecutive_errors")),
     "t3_pending_candidates": lambda spark, d: discovery.pending_candidates(_candidates(spark, d)).select("domain", "mention_count"),
@@ -281,6 +289,7 @@ ORACLE_SQL = {
         CAST(len(list_distinct(list_concat(coalesce(o.ids, []), coalesce(n.ids, [])))) AS INT) AS articles, CASE WHEN n.domain IS NULL THEN TIMESTAMP '2024-01-06' ELSE TIMESTAMP '{NOW}' END AS last_seen_at,
         CASE WHEN n.domain IS NOT NULL AND o.country IS NULL AND coalesce(o.mention_count + 1, n.mentions) >= 5 THEN 'pending_analysis' ELSE 'new' END AS status
       FROM old o FULL JOIN new n ON o.domain = n.domain""",
+    "j3_candidate_exclusion": f"""{LINKS.rstrip()}, {_MINED} SELECT domain, mentions FROM mined WHERE domain NOT IN (SELECT {HOST} FROM pages WHERE page_id % 3 = 0)""",
     "t1_due_sources": f"""{S}SELECT id, priority, next_crawl_at FROM sources WHERE status IN ('active', 'degraded') AND next_crawl_at <= TIMESTAMP '{LATER}'
       ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, next_crawl_at, id LIMIT 20""",
     "t2_needs_repair": f"{S}SELECT id, consecutive_errors FROM sources WHERE last_error_type = 'extract_empty' AND status IN ('active', 'degraded')",
