@@ -7,7 +7,8 @@ stands for one value in the document, be it in windows of equal slots, in neighb
 coincidences of placeholders do not. Besides, RUN lower-cased tokens in a row, or all of a shorter item, match as they are, whatever their kinds.
 
 Documents send only windows whose hash falls on a set bit of a bitmap of BITS bits, of fixed size, made from the
-benchmark; the join decides, by the template itself. Rows are salted by document.
+benchmark; the join decides, by the template itself. A benchmark of up to MOST_BROADCAST windows is broadcast; with a larger one rows are
+salted by document.
 
 Defined results: null and empty texts match nothing. Items of fewer than LEAST_TOKENS tokens match only where they are a whole line, items
 of fewer than WINDOW tokens as one window, items without tokens nothing. item_id may be of any type. Very long texts are read whole. Repeated rows of either table are matched once. An empty benchmark matches nothing. Extra columns
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import pieces, read
+from pressroom.llm.common import pieces, read, stored
 
 WINDOW = 8
 LEAST_TOKENS = 5
@@ -37,7 +38,9 @@ RUN = 13
 #: Tokens that are no placeholders in every window.
 LEAST_PLAIN = 3
 BITS = 1 << 22
-SALTS = 16
+#: Benchmarks of so many windows are broadcast, larger ones joined with salted rows.
+MOST_BROADCAST = 100_000
+SALTS = 64
 ORACLE_SQL = None
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
@@ -235,14 +238,18 @@ def agreeing(windows: list[tuple[list[str], list[str]]], needed: int) -> tuple[i
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (most on one diagonal), reparameterised (slots differ): one row for each pair that matches."""
-    items = item_windows(benchmark)
+    items = stored(item_windows(benchmark))
     buckets = items.select(F.expr(f"hash & {BITS - 1}").alias("b")).distinct().toPandas()["b"].to_numpy()  # at most BITS numbers
     marked = np.zeros(BITS, bool)
     marked[buckets] = True
     sizes = sorted((r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect())  # at most WINDOW + RUN pairs
-    found = document_windows(docs, np.packbits(marked), sizes).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = found.join(salted, ["hash", "template", "exact", "salt"])
+    found = document_windows(docs, np.packbits(marked), sizes)
+    on = ["hash", "template", "exact"]
+    if items.count() <= MOST_BROADCAST:
+        pairs = found.join(F.broadcast(items), on)
+    else:
+        salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = found.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, [*on, "salt"])
     window = F.struct("item_at", "item_slots", "doc_slots")
     on_diagonal = pairs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
         F.countDistinct(F.when(F.col("exact"), F.col("item_at"))).alias("n_exact"),

@@ -181,7 +181,9 @@ def test_pii_spoken_at(address, more):
     assert pii.spans_of(f"We met at noon and left at 5.{more}") == []
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
     question = "A farmer has 12 cows and buys 30 more cows from Anna each month so how many cows are there after 5 years in total"
     changed = question.replace("12", "99").replace("Anna", "Maria")
     mixed = "if 7 and 8 then 9 or 10 but 11 and 12"
