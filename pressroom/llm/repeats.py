@@ -35,7 +35,7 @@ BATCHES = 3
 #: Contexts of one anchor that meet in a task.
 MOST = 4096
 #: Bytes of contexts that are sorted together.
-SORTED = 2 << 20
+SORTED = 1 << 20
 ORACLE_SQL = None
 
 ENTRY = ["anchor", "high", "low"]
@@ -58,18 +58,20 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _grams(data: np.ndarray, size: int) -> list[np.ndarray]:
-    """Hashes of all stretches of 1, 2, 4 ... size bytes."""
-    levels = [_BYTES[data]]
-    while len(levels) <= size.bit_length() - 1:
-        half = 1 << len(levels) - 1
-        levels.append(_joined(levels[-1][:-half], levels[-1][half:], len(levels)))
-    return levels
+def _grams(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Hashes of all stretches of the given sizes, powers of two in ascending order; no other level is kept."""
+    level, size, out = _BYTES[data], 1, []
+    while len(out) < len(sizes):
+        if size == sizes[len(out)]:
+            out.append(level)
+        if len(out) < len(sizes):
+            level, size = _joined(level[:-size], level[size:], size.bit_length()), 2 * size
+    return out
 
 
 def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text of LENGTH bytes or more: first and last string of each context, its anchor, and whether its own strings may equal each other."""
-    grams = _grams(np.frombuffer(data, np.uint8), GRAM)[-1]
+    grams = _grams(np.frombuffer(data, np.uint8), GRAM)[0]
     anchors = _sliding(grams, SPREAD, np.minimum)
     count = len(anchors)
     starts = np.concatenate([[0], np.nonzero(anchors[1:] != anchors[:-1])[0] + 1])
@@ -175,9 +177,10 @@ class Family:
 
 def repeated_strings(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of strings of LENGTH bytes at the given starts, which equal another: by a suffix array of their fingerprints, compared byte by byte."""
-    levels = _grams(data, 128)
+    eight, half, whole = _grams(data, 8, 64, 128)
     count = len(data) - LENGTH + 1
-    prints = _joined(_joined(levels[7][:count], levels[6][128 : 128 + count], 11), levels[3][192 : 192 + count], 12)[starts]
+    prints = _joined(_joined(whole[:count], half[128 : 128 + count], 11), eight[192 : 192 + count], 12)[starts]
+    del eight, half, whole
     order = np.argsort(prints, kind="stable")
     near = np.nonzero(prints[order[1:]] == prints[order[:-1]])[0]
     strings = sliding_window_view(data, LENGTH)
