@@ -37,7 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: later steps do not repeat what led to it, and survive a lost executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

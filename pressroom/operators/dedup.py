@@ -18,6 +18,8 @@ from pressroom.lineage import cut, drop
 HOUR = 3_600_000_000
 #: Vectors compared with each other in one group of rows.
 BLOCK_ROWS = 2000
+#: Edges between articles that a task of the cascade decides in order.
+STRETCH_EDGES = 200_000
 
 
 def exact_url(articles: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -201,34 +203,56 @@ def similar_vectors_lsh(vectors: DataFrame, threshold: float = 0.85, days: int =
     return both.where(F.col("cosine") > threshold).select("id", "other", "cosine")
 
 
-def resolve_cascade(articles: DataFrame, l2: DataFrame, l3: DataFrame, l4: DataFrame, most_rounds: int = 200) -> DataFrame:
+def _settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """What the edges (id, t, other, original: state of other, if known) of one stretch of time decide by themselves, one article after the other."""
+    frame = frame.sort_values(["t", "id"], kind="stable")
+    known: dict[int, bool] = {}
+    ids, others, states = (frame[c].tolist() for c in ("id", "other", "original"))
+    at, size = 0, len(ids)
+    while at < size:
+        article, hit, waits = ids[at], False, False
+        while at < size and ids[at] == article:
+            state = known.get(others[at], states[at])
+            hit, waits = hit or state is True, waits or state is None
+            at += 1
+        if hit or not waits:
+            known[article] = not hit
+    return pd.DataFrame({"id": list(known), "original": list(known.values())}).astype({"id": "int64", "original": "bool"})
+
+
+def _with_stretch(edges: DataFrame, articles: DataFrame) -> DataFrame:
+    """id, t, other, stretch: days in a row with about STRETCH_EDGES edges together; null for a day that has far more."""
+    timed = edges.join(articles.select("id", F.unix_micros("crawled_at").alias("t")), "id").withColumn("day", F.floor(F.col("t") / (24 * HOUR)))
+    days = timed.groupBy("day").count()
+    before = F.sum("count").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))  # one row a day
+    stretch = F.when(F.col("count") <= 10 * STRETCH_EDGES, F.floor(F.coalesce(before, F.lit(0)) / STRETCH_EDGES))
+    return timed.join(F.broadcast(days.select("day", stretch.alias("stretch"))), "day").select("id", "t", "other", "stretch")
+
+
+def resolve_cascade(articles: DataFrame, l2: DataFrame, l3: DataFrame, l4: DataFrame) -> DataFrame:
     """id, dedup_level (2, 3, 4 or null), duplicate_of: the first level that hits, where L3 and L4 only point to originals.
 
     articles: id, crawled_at; l2: id, duplicate_of; l3: id, other, overlap; l4: id, other, cosine. Articles outside l2 are decided in rounds: an
-    original is one without an undecided or original earlier neighbour, a duplicate has an original among them. The earliest
-    undecided article is decided in every round, and in practice few rounds are needed.
+    original is one without an undecided or original earlier neighbour, a duplicate has an original among them. In every round
+    tasks decide what they can within stretches of time, and joins what hangs on other stretches and on days too full for
+    one task; the earliest undecided article is decided in every round.
     """
     titled = l2.select("id").distinct()
     edges = l3.select("id", "other").unionByName(l4.select("id", "other")).distinct()
-    left = cut(edges.join(titled, "id", "left_anti").join(titled.toDF("other"), "other", "left_anti"))
+    edges = edges.join(titled, "id", "left_anti").join(titled.toDF("other"), "other", "left_anti")
+    left = cut(_with_stretch(edges, articles))
     free = articles.select("id").join(titled, "id", "left_anti").join(left.select("id").distinct(), "id", "left_anti")
     new = decided = cut(free.withColumn("original", F.lit(True)))
-    for _ in range(most_rounds):
-        # What the last round decided settles some edges, and what is left without an open edge.
-        states = left.join(new.toDF("other", "original"), "other", "left")
+    while not new.isEmpty():
+        states = cut(left.join(new.toDF("other", "original"), "other", "left").select("id", "t", "other", "stretch", "original"))
+        alone = states.where("stretch IS NOT NULL").groupBy("stretch").applyInPandas(_settled, "id long, original boolean")
         verdict = F.when(F.bool_or("original"), F.lit(False)).when(F.bool_and(F.col("original").isNotNull()), F.lit(True))
-        judged = cut(states.groupBy("id").agg(verdict.alias("original")))
-        new = judged.where("original IS NOT NULL")
-        open_ids = judged.where("original IS NULL").select("id")
-        rest = states.where("original IS NULL").select("id", "other").join(open_ids, "id", "left_semi")
-        rest, old = cut(rest), left
+        full = states.where("stretch IS NULL").groupBy("id").agg(verdict.alias("original")).where("original IS NOT NULL")
+        new = cut(alone.unionByName(full))
         decided = decided.unionByName(new)
-        drop(old)
+        rest = cut(states.where("original IS NULL").select(left.columns).join(new.select("id"), "id", "left_anti"))
+        drop(left, states)
         left = rest
-        if new.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"undecided articles after {most_rounds} rounds")
     decided = cut(decided)
     originals = decided.where("original").select(F.col("id").alias("other"))
     times = articles.select(F.col("id").alias("other"), F.col("crawled_at").alias("at"))

@@ -80,7 +80,10 @@ def replay(articles, l2, l3, l4):
     return out
 
 
-def test_cascade_against_replay(spark):
+@pytest.mark.parametrize("stretch", [200_000, 40, 0.01])
+def test_cascade_against_replay(spark, monkeypatch, stretch):
+    """In one stretch, in several, and with days too full for a task."""
+    monkeypatch.setattr(dedup, "STRETCH_EDGES", stretch)
     named, l2, l3, l4 = plans._levels(spark, DATA)
     at = {r.id: r.crawled_at for r in named.select("id", "crawled_at").collect()}
     found = {r.id: (r.dedup_level, r.duplicate_of) for r in dedup.resolve_cascade(named, l2, l3, l4).collect()}
