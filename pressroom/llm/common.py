@@ -10,12 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.lineage import cut as stored
-from pressroom.lineage import drop, shared_dir
+from pressroom.lineage import cut, drop, release, shared_dir
 
 __all__ = ["drop", "joined", "pieces", "read", "shared_dir", "stored", "texts"]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """cut() for the large tables of this package: the shuffle files behind it go at once."""
+    out = cut(df)
+    release(df.sparkSession)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
