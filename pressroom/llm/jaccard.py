@@ -7,8 +7,9 @@ by level, and only pairs of points that every level lets through are left. They
 the sets of those that remain are shuffled and compared.
 
 Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys, and trees lie in different
-tasks; the points of a key that very many sets share are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
-of near copies with few comparisons; the second looks at every pair of different components that a key brings together.
+tasks; the points of a key that very many sets share are dealt into blocks with a tree each, and pairs of blocks are
+joined. First passes link the members of a key to one of them, which joins large groups
+of near copies with few comparisons; the last looks at every pair of different components that a key brings together.
 
 Defined results: null and blank texts have no set and stay alone. Texts with fewer than n words
 have one shingle, all their words. Repeated doc_ids are one document with the sets of its rows,
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from pressroom.llm.common import HOT, drop, joined, pieces, read, stored, texts
 
 WORDS, PERCENT = 4, 85
-GROUPS = 64
+GROUPS = 128
 #: Groups of the vectors that bound the pairs left by the R-tree.
 FINE = 1024
-#: Keys of the first pass.
-ANCHORS = 3
+#: Keys of the first pass, and how often other heads are tried after it.
+ANCHORS, ROUNDS = 3, 2
 #: Points in a leaf of the R-tree, and boxes below a box.
 FAN = 16
 #: Groups of up to so many points, half a leaf, are compared many groups at once.
@@ -89,14 +90,17 @@ def shingles(text: str, hashes: Hashes, n: int) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A count vector in a unit, four bytes, and a byte for each group; rounded up, so that minima still bound the overlap."""
-    unit = int(counts.max()) // 255 + 1
-    return np.uint32(unit).tobytes() + (-(-counts // unit)).astype(np.uint8).tobytes()
+    """A count vector in a unit, four bytes, and four bits for each group; rounded up, so that minima still bound the overlap."""
+    unit = int(counts.max()) // 15 + 1
+    small = (-(-counts // unit)).astype(np.uint8)
+    return np.uint32(unit).tobytes() + (small[0::2] | small[1::2] << 4).tobytes()
 
 
 def unpacked(points: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), 4 + GROUPS)
-    return rows[:, 4:].astype(np.int32) * np.ascontiguousarray(rows[:, :4]).view("<i4")
+    rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), 4 + GROUPS // 2)
+    out = np.empty((len(points), GROUPS), np.int32)
+    out[:, 0::2], out[:, 1::2] = rows[:, 4:] & 15, rows[:, 4:] >> 4
+    return out * np.ascontiguousarray(rows[:, :4]).view("<i4")
 
 
 def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -138,7 +142,9 @@ def components(edges: DataFrame) -> DataFrame:
         drop(both, least, large, low)
         both = new
         if same[0] == same[1]:
-            return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots.stored_at = both.stored_at
+            return roots
 
 
 class Tree:
@@ -360,8 +366,28 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     spans = placed.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
     mixed_keys = stored(spans.where("low <> high").select("key", "rows"))
     shared = stored(joined(placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys, ["key"], "rows"))
-    late = verified(candidates(celled(shared.join(placed.drop("keys"), "rep"), mixed_keys), percent), vectors, source, n, percent)
-    drop(mixed_keys, shared, placed, sets)
+    points = stored(placed.select("rep", "comp", "n", "point"))
+    drop(placed, mixed_keys)
+    for k in range(ROUNDS):
+        # Other heads join what is left of large groups, again with one comparison a member and key.
+        here = shared.join(points.select("rep", "comp"), "rep")
+        heads = here.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(k))).alias("head"), F.count("*").alias("rows"))
+        heads = stored(heads)
+        pairs = joined(here, heads, ["key"], "rows").where(F.col("comp") != F.col("head.comp"))
+        more = verified(pairs.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct(), vectors, source, n, percent)
+        drop(heads)
+        both = stored(linked.unionByName(more))
+        drop(linked, more, early)
+        linked, early = both, components(both)
+        old = points
+        points = stored(old.drop("comp").join(early, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp"), "n", "point"))
+        drop(old)
+    spans = shared.join(points.select("rep", "comp"), "rep").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
+    mixed_keys = stored(spans.where("low <> high").select("key", "rows"))
+    left = stored(joined(shared, mixed_keys, ["key"], "rows"))
+    drop(shared)
+    late = verified(candidates(celled(left.join(points, "rep"), mixed_keys), percent), vectors, source, n, percent)
+    drop(mixed_keys, left, points, sets)
     same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(linked.unionByName(late).unionByName(same))
     drop(linked, late, members)
