@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from pressroom.lineage import cut, drop, release, shared_dir
 
-__all__ = ["drop", "joined", "pieces", "read", "shared_dir", "stored", "texts"]
+__all__ = ["CRC32_SQL", "drop", "joined", "pieces", "read", "shared_dir", "stored", "texts"]
+
+#: Unsigned CRC-32 of a text's UTF-8 bytes in SQL, for the oracles: tables crc_table and checked (key, b: the bytes, crc).
+CRC32_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+  raw_bytes AS (SELECT {key}, encode({text}) AS b FROM {source}),
+  checked AS (SELECT * EXCLUDE (t), xor(list_reduce(list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc
+    FROM raw_bytes, crc_table)"""
 
 
 def stored(df: DataFrame) -> DataFrame:

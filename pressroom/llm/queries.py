@@ -18,6 +18,8 @@ MODULES = {
     "op8_jaccard_join": "jaccard",
     "op9_quality": "quality",
     "op10_decontamination": "decontaminate",
+    "op11_sharding": "shards",
+    "op13_merkle": "merkle",
 }
 
 
