@@ -24,7 +24,6 @@ from pressroom.llm.order import running
 
 RUN = 3
 HASHED = ("doc_id", "source", "lang", "n_chars", "text")
-_NOTHING = F.unhex(F.lit(""))
 
 
 def _hex(digest: Column) -> Column:
@@ -50,10 +49,11 @@ def _with_siblings(nodes: DataFrame) -> DataFrame:
         other = nodes.select(F.col("tree").alias("_tree"), F.col("place").alias("_place"), F.col("h").alias(f"s{shift}"))
         asked = out.withColumn("_sibling", sibling)
         out = asked.join(other, (asked["tree"] == other["_tree"]) & (asked["_sibling"] == other["_place"]), "left").drop("_tree", "_place", "_sibling")
-    one, two = (F.coalesce(f"s{k}", _NOTHING) for k in (1, 2))
+    nothing = F.unhex(F.lit(""))
+    one, two = (F.coalesce(f"s{k}", nothing) for k in (1, 2))
     both = F.concat(one, two)
-    left = F.when(slot == 0, _NOTHING).when(slot == 1, two).otherwise(both)
-    right = F.when(slot == 0, both).when(slot == 1, one).otherwise(_NOTHING)
+    left = F.when(slot == 0, nothing).when(slot == 1, two).otherwise(both)
+    right = F.when(slot == 0, both).when(slot == 1, one).otherwise(nothing)
     return out.select(*nodes.columns, left.alias("left"), right.alias("right"))
 
 

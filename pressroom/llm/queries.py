@@ -19,6 +19,7 @@ MODULES = {
     "op9_quality": "quality",
     "op10_decontamination": "decontaminate",
     "op11_sharding": "shards",
+    "op12_collocations": "collocations",
     "op13_merkle": "merkle",
 }
 
