@@ -5,9 +5,10 @@ every n-gram up to a depth with its count: the interval of the rows that begin w
 the left by the Burrows-Wheeler transform, and lies within the interval of the phrase one word shorter on the right. The index is
 sorted to the depth that is asked for, not further; the mapping between rows holds up to it.
 
-Counts of shards are summed. A phrase can only be frequent if its words and pairs are, so shards hear which of their words are frequent
-in all before they send pairs, and which of their pairs are before they send longer phrases: what is summed then stays near the
-input's size, and no count is lost. A phrase's extensions to both sides are the phrases one word longer that hold it.
+Counts of shards are summed, and only phrases that are frequent in all are written out. A phrase can only be frequent if its words and pairs are, so shards hear which of
+their words are before they look for pairs, and which of their pairs are before they look for longer phrases. What they send for that is a census: hashes of phrases
+with counts, packed into blocks of a range of hashes, of which the frequent ones come back. Phrases that share a hash are counted together there, which lets some more pass but
+none less; the counts themselves are then made of the phrases that passed, by their words. A phrase's extensions to both sides are the phrases one word longer that hold it.
 
 Defined results: a null text is empty and a null language `und`. Repeated rows count each. Very long texts are cut into several shards between pieces, so a piece is
 never cut. Texts without words, and languages without frequent phrases, give no rows; nor does an empty table. Ties are ranked by the bytes of the phrase. Columns
@@ -31,10 +32,15 @@ from pressroom.llm.common import pieces, read, stored
 
 #: Bytes of text in a shard: what one task holds at a time.
 SHARD = 16 << 20
+#: Phrases that one task sums at a time in a census, about.
+RANGE_ENTRIES = 2_000_000
+#: Of a phrase's hash: 10^12 values.
+HASH_BITS = 40
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A-Z in lower case, all that parts pieces as a full stop, tabs as blanks.
 _BYTES = bytes(range(256)).lower().translate(bytes.maketrans(b",;:!?\n\v\f\r\t", b"........." + b" "))
 _SHARDS = "shard string, lang string, words array<string>, counts array<bigint>, ids binary"
+_CENSUS = "range int, shard string, packed binary"
 _STOP = 0
 
 
@@ -131,55 +137,160 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
     return stored(rows.mapInArrow(dealt, _SHARDS))
 
 
-def _opened(index: pa.Table) -> tuple[str, str, pa.Array, np.ndarray]:
-    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(index["ids"][0].as_py()), np.int32)
-    return index["shard"][0].as_py(), index["lang"][0].as_py(), index["words"].combine_chunks().flatten(), ids
+def _mixed(codes: np.ndarray, sequence: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of HASH_BITS bits of phrases, from those of their words."""
+    out = np.full(len(places), length, np.uint64)
+    for k in range(length):
+        out = (out ^ codes[sequence[places + k]]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out >> np.uint64(64 - HASH_BITS)
 
 
-def _phrases(words: pa.Array, sequence: np.ndarray, places: np.ndarray, length: int) -> pa.Array:
-    parts = [words.take(pa.array(sequence[places + k] - 1)) for k in range(length)]
-    return pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _pairs(index: pa.Table, known: pa.Table) -> pa.Table:
-    """Pairs of a shard whose words are frequent in all: shard, lang, phrase, a, b (numbers of its words), count."""
-    empty = pa.table({"shard": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "a": pa.array([], pa.int32()), "b": pa.array([], pa.int32()), "count": pa.array([], pa.int64())})
-    if not index.num_rows or not known.num_rows:
-        return empty
-    shard, lang, words, ids = _opened(index)
-    frequent = np.zeros(len(words) + 1, bool)
-    frequent[known["number"].to_numpy()] = True
-    fm = FmIndex(_single_stops(np.where(frequent[ids], ids, _STOP)), 2)
-    *_, (places, counts) = fm.intervals(2)
-    repeat = lambda value: pa.DictionaryArray.from_arrays(np.zeros(len(places), np.int32), [value]).cast(pa.string())
-    a, b = (fm.sequence[places + k] for k in range(2))
-    return pa.table([repeat(shard), repeat(lang), _phrases(words, fm.sequence, places, 2), pa.array(a), pa.array(b), pa.array(counts, pa.int64())], schema=empty.schema)
+def _from_planes(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
 
 
-def _longer(longest: int):
-    def found(index: pa.Table, known: pa.Table) -> pa.Table:
-        """Phrases of three words and more of a shard, all of whose pairs are frequent in all: lang, phrase, words, count."""
+_HASH_BYTES, _COUNT_BYTES = HASH_BITS // 8, 5
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks of differences of sorted hashes, byte plane by byte plane, and their counts; for each range of hashes that has any."""
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    place = (hashes * np.uint64(ranges)) >> np.uint64(HASH_BITS)
+    pack = zstandard.ZstdCompressor(level=1)
+    for part in np.split(np.arange(len(hashes)), np.flatnonzero(np.diff(place)) + 1):
+        if len(part):
+            steps = np.diff(hashes[part], prepend=np.uint64(0))
+            yield int(place[part[0]]), pack.compress(_planes(steps, _HASH_BYTES) + _planes(counts[part], _COUNT_BYTES))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // (_HASH_BYTES + _COUNT_BYTES)
+    return np.cumsum(_from_planes(raw[: n * _HASH_BYTES], n, _HASH_BYTES), dtype=np.uint64), _from_planes(raw[n * _HASH_BYTES :], n, _COUNT_BYTES)
+
+
+def _blocks(shard: str, hashes: np.ndarray, counts: np.ndarray, ranges: int, *more: tuple[int, bytes]) -> pa.Table:
+    found = [*_packed(hashes, counts, ranges), *more]
+    return pa.table([pa.array([r for r, _ in found], pa.int32()), pa.array([shard] * len(found), pa.string()), pa.array([b for _, b in found], pa.binary())], ["range", "shard", "packed"])
+
+
+def _frequent(census: DataFrame, least: int) -> DataFrame:
+    """shard, packed: of a census (range, shard, packed), the hashes of each shard that are counted `least` times or more in all."""
+
+    def summed(blocks: pa.Table) -> pa.Table:
+        parts = [_unpacked(b.as_py()) for b in blocks["packed"]]
+        hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
+        many = hashes[order][starts][np.add.reduceat(counts[order], starts) >= least]
+        shards, packed = [], []
+        for shard, (own, _) in zip(blocks["shard"].to_pylist(), parts, strict=True):
+            kept = own[np.isin(own, many, assume_unique=False)]
+            for _, block in _packed(kept, np.zeros(len(kept), np.uint64), 1):
+                shards.append(shard)
+                packed.append(block)
+        return pa.table([pa.array(shards, pa.string()), pa.array(packed, pa.binary())], ["shard", "packed"])
+
+    return census.groupBy("range").applyInArrow(summed, "shard string, packed binary")
+
+
+def _heard(known: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Rows of a shard's frequent words, and the sorted hashes of its frequent phrases."""
+    blocks = [_unpacked(b)[0] for b in known["packed"].to_pylist() if b is not None]
+    return known.filter(pc.is_valid(known["number"])), np.sort(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+
+
+def _codes(words: pa.Table) -> np.ndarray:
+    """The hash of each of a shard's frequent words, by its number."""
+    numbers = words["number"].to_numpy()
+    codes = np.zeros(int(numbers.max()) + 1, np.uint64)
+    codes[numbers] = words["code"].to_numpy().view(np.uint64)
+    return codes
+
+
+def _ids(index: pa.Table) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(index["ids"][0].as_py()), np.int32)
+
+
+def _among(found: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(found), bool)
+    return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+
+
+def _pair_census(ranges: int):
+    def run(index: pa.Table, known: pa.Table) -> pa.Table:
+        """The pairs of a shard's frequent words."""
+        if not index.num_rows or not known.num_rows:
+            return _blocks("", np.zeros(0, np.uint64), np.zeros(0, np.uint64), ranges)
+        ids, codes = _ids(index), _codes(known)
+        frequent = np.zeros(int(max(ids.max(initial=0), known["number"].to_numpy().max())) + 1, bool)
+        frequent[known["number"].to_numpy()] = True
+        fm = FmIndex(_single_stops(np.where(frequent[ids], ids, _STOP)), 2)
+        *_, (places, counts) = fm.intervals(2)
+        return _blocks(index["shard"][0].as_py(), _mixed(codes, fm.sequence, places, 2), counts, ranges)
+
+    return run
+
+
+def _longer_census(ranges: int, longest: int):
+    def run(index: pa.Table, known: pa.Table) -> pa.Table:
+        """The phrases of three words and more of a shard all of whose pairs are frequent; and, as range -1, what is left of its sequence."""
+        words, pairs = _heard(known)
+        if not index.num_rows or not words.num_rows or not len(pairs):
+            return _blocks("", np.zeros(0, np.uint64), np.zeros(0, np.uint64), ranges)
+        ids, codes = _ids(index), _codes(words)
+        codes = np.append(codes, np.zeros(max(0, int(ids.max(initial=0)) + 1 - len(codes)), np.uint64))
+        both = (codes[ids[:-1]] != 0) & (codes[ids[1:]] != 0)
+        at = np.flatnonzero(both)
+        linked = np.zeros(len(ids), bool)
+        linked[at[_among(_mixed(codes, ids, at, 2), pairs)]] = True
+        kept = linked | np.append(False, linked[:-1])
+        ends = ~linked[kept]
+        sequence = np.full(int(kept.sum() + ends.sum()), _STOP, np.int32)
+        sequence[np.arange(len(ends)) + np.cumsum(ends) - ends] = ids[kept]
+        fm, found = FmIndex(sequence, longest), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for length, (places, counts) in enumerate(fm.intervals(longest), 1):
+            if length > 2:
+                found.append((_mixed(codes, fm.sequence, places, length), counts))
+        hashes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        rest = -1, zstandard.ZstdCompressor(level=1).compress(sequence.tobytes())
+        return _blocks(index["shard"][0].as_py(), hashes, counts, ranges, rest)
+
+    return run
+
+
+def _counted(longest: int):
+    def run(index: pa.Table, known: pa.Table) -> pa.Table:
+        """lang, phrase, words, count of a shard's phrases of two words and more that passed."""
         names = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "count": pa.int64()}
         out = [pa.table({n: pa.array([], kind) for n, kind in names.items()})]
-        if index.num_rows and known.num_rows:
-            _, lang, words, ids = _opened(index)
-            span = len(words) + 1
-            pairs = np.sort(known["a"].to_numpy().astype(np.int64) * span + known["b"].to_numpy())
-            met = ids[:-1].astype(np.int64) * span + ids[1:]
-            at = np.minimum(np.searchsorted(pairs, met), len(pairs) - 1)
-            linked = np.append(pairs[at] == met, False)
-            kept = linked | np.append(False, linked[:-1])
-            ends = ~linked[kept]
-            sequence = np.full(int(kept.sum() + ends.sum()), _STOP, np.int32)
-            sequence[np.arange(len(ends)) + np.cumsum(ends) - ends] = ids[kept]
-            fm = FmIndex(sequence, longest)
+        words, longer = _heard(known)
+        if index.num_rows and words.num_rows:
+            codes = _codes(words)
+            row = np.zeros(len(codes), np.int64)
+            row[words["number"].to_numpy()] = np.arange(words.num_rows)
+            said, lang = words["phrase"].combine_chunks(), words["lang"][0].as_py()
+            fm = FmIndex(_ids(index), longest)
             for length, (places, counts) in enumerate(fm.intervals(longest), 1):
                 if length > 2:
+                    passed = _among(_mixed(codes, fm.sequence, places, length), longer)
+                    places, counts = places[passed], counts[passed]
+                if length > 1:
+                    phrase = pc.binary_join_element_wise(*(said.take(pa.array(row[fm.sequence[places + k]])) for k in range(length)), " ")
                     n = len(places)
-                    out.append(pa.table([pa.array([lang] * n, pa.string()), _phrases(words, fm.sequence, places, length), pa.array(np.full(n, length, np.int32)), pa.array(counts, pa.int64())], schema=out[0].schema))
+                    out.append(pa.table([pa.array([lang] * n, pa.string()), phrase, pa.array(np.full(n, length, np.int32)), pa.array(counts, pa.int64())], schema=out[0].schema))
         return pa.concat_tables(out)
 
-    return found
+    return run
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -188,18 +299,27 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
     most_left and most_right: how often the phrase's most frequent extension by a word on that side occurs, null if less than `least` times or longer than `longest`.
     """
     index = shards(docs, size)
+    totals = index.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    ranges = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES
     each = index.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w"))
     each = each.select("shard", "lang", (F.col("number") + 1).alias("number"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("count"))
     in_all = F.sum("count").over(Window.partitionBy("lang", "phrase")).alias("f")
-    words = stored(each.select("shard", "lang", "number", "phrase", in_all).where(F.col("f") >= least))
-    texts = index.select("shard", "lang", "words", "ids").groupBy("shard")
-    pairs = texts.cogroup(words.select("shard", "number").groupBy("shard")).applyInArrow(_pairs, "shard string, lang string, phrase string, a int, b int, count long")
-    pairs = stored(pairs.select("shard", "lang", "phrase", "a", "b", in_all).where(F.col("f") >= least))
-    found = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(pairs.select("lang", "phrase", F.lit(2).alias("words"), "f")).groupBy("lang", "phrase", "words").agg(F.max("f").alias("count"))
-    if longest > 2:
-        more = texts.cogroup(pairs.select("shard", "a", "b").groupBy("shard")).applyInArrow(_longer(longest), "lang string, phrase string, words int, count long")
-        more = more.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
-        found = found.unionByName(more)
+    # No hash is 0, which stands for words that are not frequent.
+    code = F.coalesce(F.nullif(F.xxhash64("lang", "phrase"), F.lit(0).cast("long")), F.lit(1).cast("long")).alias("code")
+    words = stored(each.select("shard", "lang", "number", "phrase", in_all).where(F.col("f") >= least).select("*", code))
+    found = words.groupBy("lang", "phrase").agg(F.lit(1).alias("words"), F.max("f").alias("count"))
+    if longest > 1:
+        sequences = index.select("shard", "ids").groupBy("shard")
+        nothing = F.lit(None).cast("binary").alias("packed")
+        passed = lambda census: census.select("shard", *(F.lit(None).cast(kind).alias(c) for c, kind in words.select("number", "code", "lang", "phrase").dtypes), "packed")
+        heard = words.select("shard", "number", "code", "lang", "phrase", nothing)
+        census = sequences.cogroup(words.select("shard", "number", "code").groupBy("shard")).applyInArrow(_pair_census(ranges), _CENSUS)
+        known = heard.drop("lang", "phrase").unionByName(passed(_frequent(census, least)).drop("lang", "phrase"))
+        census = stored(sequences.cogroup(known.groupBy("shard")).applyInArrow(_longer_census(ranges, longest), _CENSUS))
+        rest = census.where("range = -1").select("shard", F.col("packed").alias("ids"))
+        known = heard.unionByName(passed(_frequent(census.where("range >= 0"), least)))
+        more = rest.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_counted(longest), "lang string, phrase string, words int, count long")
+        found = found.unionByName(more.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count")).where(F.col("count") >= least))
     found = stored(found)
     blank = F.length("phrase") - F.length(F.substring_index("phrase", " ", -1)) - 1
     shorter = F.array(
@@ -208,7 +328,6 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
     )
     extended = found.where("words > 1").select("lang", F.explode(shorter).alias("s"), "count").select("lang", "s.*", "count")
     extended = extended.groupBy("lang", "phrase").agg(F.max(F.when(F.col("left"), F.col("count"))).alias("most_left"), F.max(F.when(~F.col("left"), F.col("count"))).alias("most_right"))
-    totals = index.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     return found.join(extended, ["lang", "phrase"], "left"), totals
 
 

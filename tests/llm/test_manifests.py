@@ -160,7 +160,8 @@ def prose():
 
 @pytest.mark.parametrize("size", [60, 700, 1 << 20])
 @pytest.mark.parametrize("least,longest,top", [(4, 5, 2000), (2, 3, 7), (6, 2, 50)])
-def test_collocations_over_shards_of_any_size(spark, prose, size, least, longest, top):
+def test_collocations_over_shards_of_any_size(spark, monkeypatch, prose, size, least, longest, top):
+    monkeypatch.setattr(collocations, "RANGE_ENTRIES", 50 if size == 700 else 2_000_000)
     docs = spark.createDataFrame(prose, "lang string, text string").withColumns({c: F.lit(c) for c in ("shard", "phrase", "count", "words", "n")}).repartition(3)
     found = collocations.collocations(docs, least, longest, top, size).collect()
     assert {tuple(r) for r in found} == _expected_collocations(prose, least, longest, top) and len(found) == len({tuple(r) for r in found})
