@@ -76,20 +76,6 @@ def parse_publish_date(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in _DATES))
 
 
-#: What the commonest character references stand for; & comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-
-def html_text(html: Column, most: int = 2000) -> Column:
-    """The text of a page without scripts, styles, comments and tags, its white space collapsed, cut to `most` characters."""
-    out = html
-    for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
-        out = F.regexp_replace(out, pattern, " ")
-    for name, character in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(character))
-    return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, most)
-
-
 def classify_crawl_error(error: Column, found: Column) -> Column:
     """http_error, timeout, extract_empty (fetched, nothing found), unknown; null where nothing is wrong."""
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -23,11 +24,44 @@ PARSED = (
 _TAG = re.compile(A.TAG)
 _SKIPPED = {"script", "style", "nav", "footer", "aside", "header", "noscript", "form"}
 _BLOCKS = {"p", "h2", "h3", "h4", "li", "blockquote", "pre"}
+#: Elements that hold a body's blocks.
+_HOLDERS = {"body", "main", "section", "div", "article", "td"}
+#: From this share of a block's characters in links on, it is a menu.
+MENU = 0.5
 MOST_LINKS = 30
 
 
+class Block(NamedTuple):
+    said: str
+    linked: float
+    holders: tuple[int, ...]
+    article: int | None
+
+    def weight(self) -> float:
+        return len(self.said) * (1 - self.linked)
+
+
+def body_of(blocks: list[Block]) -> list[str]:
+    """The blocks of the <article> with most text, or of the element with most text of its own, as far as it isn't links.
+
+    Outside of articles a block counts for the element that holds it and half for the one around that; all blocks within the best one are taken but for menus.
+    """
+    articles: dict[int, float] = {}
+    holders: dict[int, float] = {}
+    for block in blocks:
+        if block.article is not None:
+            articles[block.article] = articles.get(block.article, 0) + block.weight()
+        for share, holder in zip((1, 0.5), reversed(block.holders), strict=False):
+            holders[holder] = holders.get(holder, 0) + share * block.weight()
+    if articles:
+        best = max(articles, key=articles.get)
+        return [b.said for b in blocks if b.article == best]
+    best = max(holders, key=holders.get, default=None)
+    return [b.said for b in blocks if b.linked < MENU and (best is None or best in b.holders)]
+
+
 class Page(HTMLParser):
-    """What a page says about itself: titles, metadata, paragraphs inside and outside <article>, images and links."""
+    """What a page says about itself: titles, metadata, blocks of text and what holds them, images and links."""
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
@@ -37,11 +71,12 @@ class Page(HTMLParser):
         self.images: list[str] = []
         self.hrefs: list[str] = []
         self.language = self.time = None
-        self.skipped = self.article = 0
+        self.skipped = self.holders_seen = self.link_chars = 0
         self.open_title: str | None = None
         self.block: list[str] | None = None
-        self.inside: list[str] = []
-        self.outside: list[str] = []
+        self.blocks: list[Block] = []
+        self.holders: list[tuple[str, int]] = []
+        self.in_link = False
 
     def absolute(self, link: str) -> str | None:
         try:
@@ -63,19 +98,23 @@ class Page(HTMLParser):
             link = at.get("src") or at.get("data-src") or at.get("data-lazy-src")
             if link and (link := self.absolute(link)):
                 self.images.append(link)
-        elif tag == "a" and "href" in at:
-            self.hrefs.append(at["href"].strip())
+        elif tag == "a":
+            self.in_link = "href" in at
+            if self.in_link:
+                self.hrefs.append(at["href"].strip())
         if tag in ("title", "h1"):
             self.open_title = tag
             self.titles.setdefault(tag, [])
         if tag in _SKIPPED:
             self.skipped += 1
             self.close_block()
-        elif tag == "article":
-            self.article += 1
+        elif tag in _HOLDERS:
+            self.close_block()
+            self.holders_seen += 1
+            self.holders.append((tag, self.holders_seen))
         elif tag in _BLOCKS and not self.skipped:
             self.close_block()
-            self.block = []
+            self.block, self.link_chars = [], 0
         elif tag == "br" and self.block is not None:
             self.block.append(" ")
 
@@ -86,21 +125,27 @@ class Page(HTMLParser):
             self.close_block()
         elif tag in _SKIPPED:
             self.skipped = max(0, self.skipped - 1)
-        elif tag == "article":
+        elif tag == "a":
+            self.in_link = False
+        elif tag in _HOLDERS:
             self.close_block()
-            self.article = max(0, self.article - 1)
+            at = next((k for k in reversed(range(len(self.holders))) if self.holders[k][0] == tag), None)
+            del self.holders[at if at is not None else len(self.holders) :]
 
     def handle_data(self, data):
         if self.open_title and (self.open_title == "h1" or not self.titles.get("h1")):
             self.titles[self.open_title].append(data)
         if self.block is not None and not self.skipped:
             self.block.append(data)
+            self.link_chars += len(data) if self.in_link else 0
 
     def close_block(self):
         if self.block is not None:
-            said = " ".join("".join(self.block).split())
+            whole = "".join(self.block)
+            said = " ".join(whole.split())
             if said:
-                (self.inside if self.article else self.outside).append(said)
+                article = next((n for tag, n in self.holders if tag == "article"), None)
+                self.blocks.append(Block(said, self.link_chars / len(whole), tuple(n for _, n in self.holders), article))
             self.block = None
 
     def row(self, key: int) -> tuple:
@@ -113,7 +158,7 @@ class Page(HTMLParser):
             key,
             self.url,
             title,
-            "\n".join(self.inside or self.outside) or None,
+            "\n".join(body_of(self.blocks)) or None,
             self.meta.get("author") or self.meta.get("article:author"),
             next((self.meta[d] for d in dates if d in self.meta), self.time),
             self.language,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.lineage import cut
 
 LEAST_MINUTES, MOST_MINUTES = 30, 1440
 DEGRADED_AT, PAUSED_AT = 5, 15
@@ -15,7 +14,7 @@ PROBE_CHARS = 500
 #: Shares of a day's articles, and of a weekday's, below which a crawl is not worth it.
 QUIET_HOUR, QUIET_WEEKEND = 0.02, 0.3
 #: Logs of a source that are folded in one row.
-PART = 10_000
+STRETCH = 10_000
 
 
 def discovery_rate(new: Column, found: Column) -> Column:
@@ -39,70 +38,153 @@ def next_crawl_at(base: Column, minutes: Column, errors: Column) -> Column:
     return (base + F.make_dt_interval(mins=wait.cast("int"))).cast("timestamp")
 
 
-def _history(logs: DataFrame, *columns: str) -> DataFrame:
-    """source_id, part, log: stretches of a source's logs in order, PART logs at most a row."""
-    order = Window.partitionBy("source_id").orderBy("started_at", "id")
-    numbered = logs.select("source_id", "started_at", "id", *columns).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART))
-    return numbered.groupBy("source_id", "part").agg(F.array_sort(F.collect_list(F.struct("started_at", "id", *columns))).alias("log"))
+def _stretches(logs: DataFrame, *columns: str) -> DataFrame:
+    """source_id, part, stretch, log: the logs of a source in order (started_at, id), STRETCH at most a row.
 
+    Logs are range-partitioned, so a large source lies in many partitions; parts follow each other, and so do the stretches of a part.
+    """
+    order = ["source_id", "started_at", "id"]
+    placed = logs.select(*order, *columns).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    number = F.row_number().over(Window.partitionBy("source_id", "part").orderBy("started_at", "id"))
+    stretches = placed.withColumn("stretch", F.floor((number - 1) / STRETCH)).groupBy("source_id", "part", "stretch")
+    return stretches.agg(F.array_sort(F.collect_list(F.struct("started_at", "id", *columns))).alias("log"))
 
-def _replay(history: DataFrame, start: Column, step) -> DataFrame:
-    """source_id, s: the state after all stretches of a source, each state handed on to the next stretch; logs of up to PART rows take one round."""
-    done = history.where("part = 0").select("source_id", "part", F.aggregate("log", start, step).alias("s"))
-    rest = history.where("part > 0")
-    if rest.isEmpty():
-        return done.select("source_id", "s")
-    rest = cut(rest)
-    while True:
-        done = cut(done)
-        following = done.select("source_id", (F.col("part") + 1).alias("part"), "s").join(rest, ["source_id", "part"])
-        if following.isEmpty():
-            return done.select("source_id", "s")
-        moved = following.select("source_id", F.col("part").alias("_part"), F.aggregate("log", F.col("s"), step).alias("_s"))
-        done = done.join(moved, "source_id", "left").select("source_id", F.coalesce("_part", "part").alias("part"), F.coalesce("_s", "s").alias("s"))
 
+def _composed(logs: DataFrame, columns: tuple[str, ...], nothing: Column, step, after) -> DataFrame:
+    """source_id, f: what all logs of a source together do to any state before them.
 
-def health(logs: DataFrame) -> DataFrame:
-    """source_id, status, consecutive_errors, days_without_new, degraded_at, paused_at after all logs; one success heals.
+    `step` adds a log to such a function, `after(f, g)` is f followed by g, and `nothing` changes no state. Stretches are folded each by itself, then those of a
+    part, then the parts of a source: three rounds for logs of any length, and a row holds what one partition, or one shuffle, has of stretches.
+    """
+    order = lambda place: F.array_sort(F.collect_list(F.struct(place, "f")))
+    joined = lambda found: F.aggregate(found, nothing, lambda f, x: after(f, x["f"])).alias("f")
+    each = _stretches(logs, *columns).select("source_id", "part", "stretch", F.aggregate("log", nothing, step).alias("f"))
+    parts = each.groupBy("source_id", "part").agg(order("stretch").alias("found")).select("source_id", "part", joined("found"))
+    return parts.groupBy("source_id").agg(order("part").alias("found")).select("source_id", joined("found"))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), where value is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _health_nothing() -> Column:
+    """What logs do to health, as columns of a struct.
 
-    days_without_new counts crawls without new articles, as the rules that read it do.
+    head: times of the first errors before any success, PAUSED_AT at most; leading: how many errors come before any success; good: whether there was one; tail: errors since the last one.
+    degraded_at, paused_at: last time that errors after a success reached the limit; fresh: whether a crawl found something new; idle: crawls since then.
     """
     never = F.lit(None).cast("timestamp")
-    start = F.struct(F.lit("active").alias("status"), F.lit(0).alias("errors"), F.lit(0).alias("idle"), never.alias("degraded_at"), never.alias("paused_at"))
-
-    def step(a: Column, x: Column) -> Column:
-        good = x["status"] == "success"
-        errors = F.when(good, 0).otherwise(a["errors"] + 1)
-        pauses = ~good & (errors >= PAUSED_AT) & (a["status"] == "degraded")
-        degrades = ~good & (errors >= DEGRADED_AT) & (a["status"] == "active")
-        status = F.when(good, "active").when(pauses, "paused").when(degrades, "degraded").otherwise(a["status"])
-        idle = F.when(good & (x["articles_new"] > 0), 0).otherwise(a["idle"] + 1)
-        return F.struct(
-            status.alias("status"),
-            errors.alias("errors"),
-            idle.alias("idle"),
-            F.when(degrades, x["started_at"]).otherwise(a["degraded_at"]).alias("degraded_at"),
-            F.when(pauses, x["started_at"]).otherwise(a["paused_at"]).alias("paused_at"),
-        )
+    return F.struct(
+        F.array().cast("array<timestamp>").alias("head"), F.lit(0).alias("leading"), F.lit(False).alias("good"), F.lit(0).alias("tail"),
+        never.alias("degraded_at"), never.alias("paused_at"), F.lit(False).alias("fresh"), F.lit(0).alias("idle"),
+    )
+
+
+def _health_step(f: Column, x: Column) -> Column:
+    good = F.coalesce(x["status"] == "success", F.lit(False))
+    first = ~good & ~f["good"]
+    tail = F.when(good, 0).when(f["good"], f["tail"] + 1).otherwise(0)
+    reached = lambda limit: ~good & f["good"] & (f["tail"] + 1 == limit)
+    fresh = good & F.coalesce(x["articles_new"] > 0, F.lit(False))
+    return F.struct(
+        F.when(first & (F.size(f["head"]) < PAUSED_AT), F.array_append(f["head"], x["started_at"])).otherwise(f["head"]).alias("head"),
+        (f["leading"] + first.cast("int")).alias("leading"),
+        (f["good"] | good).alias("good"),
+        tail.alias("tail"),
+        F.when(reached(DEGRADED_AT), x["started_at"]).otherwise(f["degraded_at"]).alias("degraded_at"),
+        F.when(reached(PAUSED_AT), x["started_at"]).otherwise(f["paused_at"]).alias("paused_at"),
+        (f["fresh"] | fresh).alias("fresh"),
+        F.when(fresh, 0).otherwise(f["idle"] + 1).alias("idle"),
+    )
+
+
+def _health_after(f: Column, g: Column) -> Column:
+    # Errors at the head of g go on from those at the tail of f, if f knows where those began.
+    reached = lambda limit: F.when(f["tail"] < limit, F.get(g["head"], limit - 1 - f["tail"]))
+    when = lambda name, limit: F.coalesce(g[name], F.when(f["good"], reached(limit)), f[name]).alias(name)
+    return F.struct(
+        F.when(f["good"], f["head"]).otherwise(F.slice(F.concat(f["head"], g["head"]), 1, PAUSED_AT)).alias("head"),
+        (f["leading"] + F.when(f["good"], 0).otherwise(g["leading"])).alias("leading"),
+        (f["good"] | g["good"]).alias("good"),
+        F.when(g["good"], g["tail"]).when(f["good"], f["tail"] + g["leading"]).otherwise(0).alias("tail"),
+        when("degraded_at", DEGRADED_AT),
+        when("paused_at", PAUSED_AT),
+        (f["fresh"] | g["fresh"]).alias("fresh"),
+        F.when(g["fresh"], g["idle"]).otherwise(f["idle"] + g["idle"]).alias("idle"),
+    )
+
 
-    out = _replay(_history(logs, "status", "articles_new"), start, step)
+def health(logs: DataFrame) -> DataFrame:
+    """source_id, status, consecutive_errors, days_without_new, degraded_at, paused_at after all logs; one success heals.
+
+    days_without_new counts crawls without new articles, as the rules that read it do. Sources start active, without errors.
+    """
+    out = _composed(logs, ("status", "articles_new"), _health_nothing(), _health_step, _health_after)
+    f = lambda name: F.col(f"f.{name}")
+    errors = F.when(f("good"), f("tail")).otherwise(f("leading"))
     return out.select(
-        "source_id", F.col("s.status").alias("status"), F.col("s.errors").alias("consecutive_errors"), F.col("s.idle").alias("days_without_new"), "s.degraded_at", "s.paused_at"
+        "source_id",
+        F.when(errors >= PAUSED_AT, "paused").when(errors >= DEGRADED_AT, "degraded").otherwise("active").alias("status"),
+        errors.alias("consecutive_errors"),
+        f("idle").alias("days_without_new"),
+        F.coalesce(f("degraded_at"), F.get(f("head"), DEGRADED_AT - 1)).alias("degraded_at"),
+        F.coalesce(f("paused_at"), F.get(f("head"), PAUSED_AT - 1)).alias("paused_at"),
     )
 
 
+def _merged(values: Column, least: Column) -> Column:
+    """An interval function as struct of its values, in order, and the least interval that leads to each; equal values are put together."""
+    pairs = F.zip_with(values, least, lambda value, low: F.struct(value.alias("value"), low.alias("least")))
+    first = _bound(pairs, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["value"] != F.get(p, F.greatest(i - 1, F.lit(0)))["value"])))
+    return _bound(first, lambda p: F.struct(F.transform(p, lambda x: x["value"]).alias("value"), F.transform(p, lambda x: x["least"]).alias("least")))
+
+
+def _at(function: Column, minutes: Column) -> Column:
+    """Value of an interval function."""
+    return F.element_at(function["value"], F.size(F.filter(function["least"], lambda least: least <= minutes)))
+
+
 def frequency(logs: DataFrame, first_interval: int = 240, alpha: float = 0.3) -> DataFrame:
-    """source_id, interval_minutes, average_new, crawl_count after replaying successes in order."""
-    start = F.struct(F.lit(first_interval).alias("minutes"), F.lit(0.0).alias("average"), F.lit(0).alias("count"))
+    """source_id, interval_minutes, average_new, crawl_count after replaying successes in order; first_interval: from LEAST_MINUTES to MOST_MINUTES.
 
-    def step(a: Column, x: Column) -> Column:
+    An interval never falls when the one before rises, so what logs do to it is a rising step function over the minutes; few steps are left after some logs. The
+    average is a * before + b; the first two crawls of a source set it, so `from_0` and `from_1` say what follows no crawl, or one.
+    """
+    if not LEAST_MINUTES <= first_interval <= MOST_MINUTES:
+        raise ValueError(f"an interval lies from {LEAST_MINUTES} to {MOST_MINUTES} minutes")
+    none = F.lit(None).cast("double")
+    every = F.sequence(F.lit(LEAST_MINUTES), F.lit(MOST_MINUTES))
+    nothing = F.struct(F.struct(every.alias("value"), every.alias("least")).alias("minutes"), F.lit(0).alias("count"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), none.alias("from_0"), none.alias("from_1"))
+
+    def step(f: Column, x: Column) -> Column:
         new = x["articles_new"].cast("double")
-        average = F.when(a["count"] <= 1, new).otherwise(alpha * new + (1 - alpha) * a["average"])
-        minutes = next_interval(a["minutes"], discovery_rate(x["articles_new"], x["articles_found"]))
-        return F.struct(minutes.alias("minutes"), average.alias("average"), (a["count"] + 1).alias("count"))
+        onward = lambda before: alpha * new + (1 - alpha) * before
+        rate = discovery_rate(x["articles_new"], x["articles_found"])
+        moved = _merged(F.transform(f["minutes"]["value"], lambda m: next_interval(m, rate)), f["minutes"]["least"])
+        return F.struct(
+            F.when((rate > 0.1) & (rate <= 0.5), f["minutes"]).otherwise(moved).alias("minutes"),
+            (f["count"] + 1).alias("count"),
+            ((1 - alpha) * f["a"]).alias("a"),
+            onward(f["b"]).alias("b"),
+            F.when(f["count"] <= 1, new).otherwise(onward(f["from_0"])).alias("from_0"),
+            F.when(f["count"] == 0, new).otherwise(onward(f["from_1"])).alias("from_1"),
+        )
+
+    def after(f: Column, g: Column) -> Column:
+        onward = lambda before: g["a"] * before + g["b"]
+        moved = _merged(F.transform(f["minutes"]["value"], lambda m: _at(g["minutes"], m)), f["minutes"]["least"])
+        return F.struct(
+            F.when(f["count"] == 0, g["minutes"]).otherwise(moved).alias("minutes"),
+            (f["count"] + g["count"]).alias("count"),
+            (f["a"] * g["a"]).alias("a"),
+            onward(f["b"]).alias("b"),
+            F.when(f["count"] == 0, g["from_0"]).when(f["count"] == 1, g["from_1"]).otherwise(onward(f["from_0"])).alias("from_0"),
+            F.when(f["count"] == 0, g["from_1"]).otherwise(onward(f["from_1"])).alias("from_1"),
+        )
 
-    out = _replay(_history(logs.where("status = 'success'"), "articles_new", "articles_found"), start, step)
-    return out.select("source_id", F.col("s.minutes").alias("interval_minutes"), F.col("s.average").alias("average_new"), F.col("s.count").alias("crawl_count"))
+    out = _composed(logs.where("status = 'success'"), ("articles_new", "articles_found"), nothing, step, after)
+    return out.select("source_id", _at(F.col("f.minutes"), F.lit(first_interval)).alias("interval_minutes"), F.col("f.from_0").alias("average_new"), F.col("f.count").alias("crawl_count"))
 
 
 def daily_health_rules(sources: DataFrame, now: Column) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from pressroom import constants as C
 from pressroom import views
 from pressroom.functions import articles as AF
 from pressroom.functions import links as LF
-from pressroom.functions import text
+from pressroom.functions import markup, text
 from pressroom.functions.urls import url_domain
 from pressroom.lineage import shared_dir
 from pressroom.operators import entities, listings, pages
@@ -100,13 +102,36 @@ def _linked(spark, d):
     ]
     anchors = [F.concat(F.lit('<a href="'), link, F.lit('">x</a>')) for link in links]
     images = F.lit('<img src="/i/1.png"><img data-src="https://cdn.example.org/2.png"><img src="/i/1.png">')
-    return p.withColumn("html", F.concat(F.lit('<html><body><time datetime="2024-03-01T10:00:00Z"></time>'), *anchors, images, F.regexp_extract("html", "(?s)<body>(.*)$", 1)))
+    author = [F.lit('<html><head><meta name="author" content="Writer '), "id", F.lit('"></head><body><time datetime="2024-03-01T10:00:00Z"></time>')]
+    return p.withColumn("html", F.concat(*author, *anchors, images, F.regexp_extract("html", "(?s)<body>(.*)$", 1)))
 
 
 def _extracted(spark, d):
     out = pages.extract_pages(_linked(spark, d))
-    has_text = (F.col("content_length") > 0).alias("has_text")
-    return out.select("id", "title", "language", "published_at", "image_url", has_text, F.array_join("external_links", " ").alias("external_links"))
+    return out.select(
+        "id", "title", "language", "published_at", "image_url", "content", "content_length", "author", "excerpt", F.round("quality", 6).alias("quality"), "success", F.array_join("external_links", " ").alias("external_links")
+    )
+
+
+def _html_links(spark, d):
+    """The links that the given pages have, by the table function in SQL."""
+    markup.register(spark)
+    return spark.sql("SELECT p.id, l.* FROM {pages} p, LATERAL html_links(p.html, p.url) l", pages=views.pages(spark, d))
+
+
+def _anchors(spark, d):
+    """How often each text stands for a link of the given pages, and on how many of them."""
+    found = markup.page_links(views.pages(spark, d)).where("anchor <> ''")
+    return found.groupBy("anchor").agg(F.count("*").alias("links"), F.count_distinct("id").alias("pages"), F.min("link").alias("first_link"))
+
+
+def _pruned_logs(spark, d):
+    """Logs written by day, those older than ten days deleted, twice; read back."""
+    folder = shared_dir(spark)
+    sites.append_crawl_logs(views.crawl_logs(spark, d), folder)
+    for _ in range(2):
+        sites.prune_stored_logs(spark, folder, datetime.fromisoformat(f"{LATER[:10]}T12:30:00"), 10)
+    return spark.read.parquet(folder).select("id", "source_id", "log_date")
 
 
 def _images(spark, d):
@@ -244,16 +269,19 @@ QUERIES = {
     "f18_cosine": _vectors,
     "f18_cosine_of_32_dims": lambda spark, d: _vectors(spark, d, 32),
     "f19_publish_date": of_articles(_dates),
-    "f20_html_text": of_pages(lambda p: p.select("id", AF.html_text(F.col("html")).alias("text"))),
+    "f20_html_text": of_pages(lambda p: p.select("id", markup.html_text(F.col("html")).alias("text"))),
     "p1_extract_pages": _extracted,
     "p2_page_images": _images,
     "p3_external_links": _external,
+    "p3_html_links": _html_links,
+    "p3_anchor_texts": _anchors,
     "p4_article_links": _own_links,
     "p7_tier_route": _routed,
     "p8_feed_link": _feed_links,
     "p9_adapter_quality": _adapters,
     "a6_stored_articles": _stored_articles,
     "a7_stored_logs": _stored_logs,
+    "a8_pruned_folders": _pruned_logs,
     "w2_search_articles": _search,
     "w2_search_total": _search_total,
     "j1_source_names": _named,
@@ -274,19 +302,43 @@ QUERIES = {
 _CLEAN = r"trim(regexp_replace(translate(regexp_replace(title, '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g'))"
 _COSINE = """SELECT vec_id, round(list_cosine_similarity((e.embedding::DOUBLE[]){cut}, (h.head::DOUBLE[]){cut}), 5) AS cosine
   FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS head FROM embeddings GROUP BY label) h USING (label)"""
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 _TEXT = "html"
 for _pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
     _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', ' ', 'g')"
-for _name, _character in AF.ENTITIES:
+for _name, _character in _REFERENCES:
     _TEXT = f"replace({_TEXT}, '{_name}', '{_character.replace(chr(39), chr(39) * 2)}')"
 _HEAD = "regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
-for _name, _character in AF.ENTITIES:
+for _name, _character in _REFERENCES:
     _HEAD = f"replace({_HEAD}, '{_name}', '{_character.replace(chr(39), chr(39) * 2)}')"
 _ZONES = "CASE country " + " ".join(f"WHEN '{c}' THEN '{z}'" for c, z in C.ZONES.items()) + " ELSE 'UTC' END"
 _MENU = " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in C.MENU_WORDS)
 _TOPIC = " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in C.TOPIC_IN_TEXT)
 _OWN = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
 
+
+def _resolved(text: str) -> str:
+    for name, character in _REFERENCES:
+        text = f"replace({text}, '{name}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+_PLANTED = "".join(f"""'<a href="' || {link} || '">x</a>' || """ for link in (
+    "'https://other.example.org/story?id=1'", f"{_OWN} || '/en/2024/05/' || page_id", "'/story-of/the-day'", "'https://www.facebook.com/x'", "'https://news.example.org/tag/a'",
+    "'mailto:a@b.c'", "'https://other.example.org/story?id=1'", "'/tag/the-day'", "'/'", "'/12345'",
+))
+#: Pages with what the query plants, and the paragraphs of their articles.
+_LINKED_SQL = f"""linked AS (SELECT page_id, url, html, '<html><head><meta name="author" content="Writer ' || page_id || '"></head><body><time datetime="2024-03-01T10:00:00Z"></time>' || {_PLANTED}
+      '<img src="/i/1.png"><img data-src="https://cdn.example.org/2.png"><img src="/i/1.png">' || regexp_extract(html, '(?s)<body>(.*)$', 1) AS page FROM pages),
+  bodies AS (SELECT *, nullif(array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:],
+      lambda b: trim(regexp_replace({_resolved("regexp_replace(replace(regexp_replace(b, '(?s)</p>.*$', ''), '<br>', ' '), '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)), '') AS content FROM linked),
+  extracted AS (SELECT *, nullif(trim(regexp_replace({_HEAD}, '\\s+', ' ', 'g')), '') AS title, len(regexp_extract_all(page, '<[^>]+>'))::DOUBLE / length(page) AS tags FROM bodies),
+  scored AS (SELECT *, CASE WHEN title IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(content) >= 200 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(content) >= 500 THEN 0.15::DOUBLE ELSE 0 END + 0.15::DOUBLE
+      + CASE WHEN length(content) > 0 AND tags < 0.03 THEN 0.1::DOUBLE ELSE 0 END + 0.1::DOUBLE AS q FROM extracted)"""
+_HTML_LINKS = f"""anchors AS (SELECT page_id, url, unnest(found) AS a, generate_subscripts(found, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS found FROM pages)),
+  page_links AS (SELECT page_id AS id, CAST(n - 1 AS INT) AS position, href, {_OWN} || href AS link, anchor FROM (
+    SELECT page_id, url, n, {_resolved("regexp_extract(a, '<a href=\"([^\"]*)\"', 1)")} AS href, trim(regexp_replace({_resolved("regexp_extract(a, '>([^<]*)<', 1)")}, '\\s+', ' ', 'g')) AS anchor FROM anchors))"""
+
 ORACLE_SQL = {
     "f3_url_domain": f"SELECT page_id AS id, {HOST} AS domain FROM pages",
     "f4_preprocess_title": f"{A}SELECT id, {_CLEAN} AS title FROM articles",
@@ -310,8 +362,12 @@ ORACLE_SQL = {
     "f18_cosine_of_32_dims": _COSINE.format(cut="[1:32]"),
     "f19_publish_date": f"{A}SELECT id, CASE id % 5 WHEN 4 THEN NULL WHEN 3 THEN date_trunc('day', published_at) ELSE date_trunc('second', published_at) END AS published_at FROM articles",
     "f20_html_text": rf"SELECT page_id AS id, left(trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')), 2000) AS text FROM pages",
-    "p1_extract_pages": rf"""SELECT page_id AS id, nullif(trim(regexp_replace({_HEAD}, '\s+', ' ', 'g')), '') AS title, NULL::VARCHAR AS language, TIMESTAMP '2024-03-01 10:00:00' AS published_at,
-      {_OWN} || '/i/1.png' AS image_url, regexp_matches(html, '(?s)<p\b[^>]*>(<[^>]*>|\s)*[^<\s]') AS has_text, 'https://other.example.org/story?id=1' AS external_links FROM pages""",
+    "p1_extract_pages": f"""WITH {_LINKED_SQL} SELECT page_id AS id, title, NULL::VARCHAR AS language, TIMESTAMP '2024-03-01 10:00:00' AS published_at, {_OWN} || '/i/1.png' AS image_url, content,
+      CAST(coalesce(length(content), 0) AS INT) AS content_length, 'Writer ' || page_id AS author, round(least(1.0::DOUBLE, q), 6) AS quality, q >= 0.5 AS success, 'https://other.example.org/story?id=1' AS external_links,
+      CASE WHEN length(content) <= 300 THEN content WHEN length(regexp_extract(left(content, 300), '(?s)^(.*[。！？.!?])', 1)) > 151
+        THEN regexp_extract(left(content, 300), '(?s)^(.*[。！？.!?])', 1) ELSE rtrim(left(content, 300)) || '...' END AS excerpt FROM scored""",
+    "p3_html_links": f"WITH {_HTML_LINKS} SELECT * FROM page_links",
+    "p3_anchor_texts": f"WITH {_HTML_LINKS} SELECT anchor, count(*) AS links, count(DISTINCT id) AS pages, min(link) AS first_link FROM page_links WHERE anchor <> '' GROUP BY 1",
     "p2_page_images": f"SELECT page_id AS id, {_OWN} || '/i/1.png' AS image_url, 2::INT AS n FROM pages",
     "p3_external_links": "SELECT page_id AS id, 'https://other.example.org/story?id=1' AS links FROM pages",
     "p4_article_links": f"""SELECT page_id AS id, CAST(position AS INT) AS position, {_OWN} || path AS link FROM pages,
@@ -322,6 +378,7 @@ ORACLE_SQL = {
     "p9_adapter_quality": """SELECT domain, count(*) FILTER (ok) AS good, count(*) FILTER (ok) >= 2 AS passes FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS domain, page_id % 4 <> 0 AND length(html) % 400 > 200 AS ok,
       row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id) AS n FROM pages) WHERE n <= 3 GROUP BY 1""",
     "a6_stored_articles": f"{A}SELECT id, title, CAST(crawled_at AS DATE) AS crawl_date FROM articles WHERE CAST(crawled_at AS DATE) >= DATE '2024-01-03'",
+    "a8_pruned_folders": f"{L}SELECT id, source_id, CAST(started_at AS DATE) AS log_date FROM crawl_logs WHERE started_at >= TIMESTAMP '{LATER[:10]} 12:30:00' - INTERVAL 10 DAYS",
     "a7_stored_logs": f"{L}SELECT CAST(started_at AS DATE) AS log_date, count(*) AS logs FROM crawl_logs GROUP BY 1",
     "w2_search_articles": f"""{AS}SELECT a.id, title, s.name AS source_name FROM articles a JOIN sources s ON s.id = a.source_id WHERE a.language = 'en' AND title ILIKE '%the%' AND NOT is_duplicate
       AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' ORDER BY published_at DESC NULLS FIRST, a.id DESC LIMIT 25 OFFSET 25""",

@@ -142,7 +142,7 @@ def _approved(spark, d):
 
 def _feeds(spark, d):
     """Articles of each source as feeds: the sources of even number in Atom, the others in RSS."""
-    a = views.articles(spark, d).where("id % 4 <> 3")
+    a = views.articles(spark, d)
     escaped = F.replace(F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     link = F.concat(F.lit("https://example.com/"), "id")
     rss = F.concat(F.lit("<item><title>"), escaped, F.lit("</title><link>"), link, F.lit("</link><pubDate>"), F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
@@ -251,7 +251,7 @@ ORACLE_SQL = {
     "a4_import_new_sites": rf"WITH {_LIST} SELECT domain, url FROM sites WHERE domain NOT IN (SELECT regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '') FROM pages WHERE page_id % 2 = 0)",
     "a5_read_feed": f"""{AS}SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, id) AS INT) AS position,
         CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'Untitled' END AS title, 'https://example.com/' || id AS url, published_at
-      FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM articles WHERE id % 4 <> 3 AND source_id IS NOT NULL) WHERE n <= 50""",
+      FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM articles WHERE source_id IS NOT NULL) WHERE n <= 50""",
     "a8_prune_logs": f"{L}SELECT id, source_id FROM crawl_logs WHERE started_at >= TIMESTAMP '{LATER}' - INTERVAL 10 DAYS",
     "f12_is_blacklisted": "SELECT page_id AS id, page_id % 6 IN (0, 1) AS listed FROM pages",
     "f13_topic_keyword": f"SELECT page_id AS id, regexp_matches(lower(url), '{matching(C.TOPIC_IN_URL)}') AS on_topic FROM pages",

@@ -1,13 +1,15 @@
 """Rules with given values, and pages, feeds and lists written by hand."""
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from pressroom.functions import articles, links, urls
+from pressroom.functions import articles, links, markup, urls
 from pressroom.operators import discovery, listings, pages, sources
 from pressroom.sources import sites
+from pressroom.streaming.streams import next_state
 
 NOW = datetime(2024, 1, 8)
 
@@ -71,10 +73,71 @@ def test_health_times_and_parts(spark, monkeypatch):
     whole = sorted(map(tuple, sources.health(logs).collect()))
     assert whole[0][:4] == (1, "paused", 20, 20) and (whole[0][4].second, whole[0][5].second) == (4, 14)
     assert whole[1][:4] == (2, "active", 4, 4) and whole[1][4].second == 4 and whole[1][5] is None
-    monkeypatch.setattr(sources, "PART", 3)
+    monkeypatch.setattr(sources, "STRETCH", 3)
     assert sorted(map(tuple, sources.health(logs).collect())) == whole
 
 
+def _replayed(logs):
+    """Health and frequency of each source, one log after the other, by the rules that the streams use; times of the last changes too."""
+    out = {}
+    for r in logs:
+        state, degraded, paused = out.get(r[0], (("active", 0, 0, 240, 0.0, 0), None, None))
+        after = next_state(state, *r[3:])
+        degraded = r[2] if state[0] == "active" and after[0] == "degraded" else degraded
+        paused = r[2] if state[0] == "degraded" and after[0] == "paused" else paused
+        out[r[0]] = after, degraded, paused
+    return out
+
+
+def _folded(logs):
+    healths = {r.source_id: r for r in logs.transform(sources.health).withColumns({c: F.unix_seconds(c) for c in ("degraded_at", "paused_at")}).collect()}
+    rates = {r.source_id: (r.interval_minutes, r.average_new, r.crawl_count) for r in sources.frequency(logs).collect()}
+    return {k: ((h.status, h.consecutive_errors, h.days_without_new, *rates.get(k, (240, 0.0, 0))), h.degraded_at, h.paused_at) for k, h in healths.items()}
+
+
+LOG = "source_id long, id long, at long, status string, articles_new int, articles_found int"
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7, 10_000])
+def test_folds_of_any_stretches(spark, monkeypatch, stretch):
+    """Runs of errors across stretches and parts, sources of one to some hundred logs."""
+    monkeypatch.setattr(sources, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    rows = []
+    for source, (n, bad) in enumerate([(1, 0), (1, 1), (2, 0.5), (300, 0.9), (300, 0.97), (200, 0.1), (40, 0), (40, 1), (500, 0.5)]):
+        for k in range(n):
+            found = rng.choice([0, 1, 5, 40])
+            rows.append((source, k, k // 3, "error" if rng.random() < bad else "success", rng.randint(0, found), found))
+    logs = spark.createDataFrame(rows, LOG).withColumn("started_at", F.timestamp_seconds("at"))
+    found = _folded(logs.repartition(5))
+    wanted = _replayed(rows)
+    assert found.keys() == wanted.keys()
+    for k, (state, *times) in wanted.items():
+        assert (*found[k][0][:4], found[k][0][5], *found[k][1:]) == (*state[:4], state[5], *times)
+        assert found[k][0][4] == pytest.approx(state[4])
+
+
+def test_fold_of_a_source_with_a_million_logs(spark):
+    """Spread over all partitions, none of which holds it whole, and folded in three rounds."""
+    n = 1_000_000
+    kind = F.when(F.xxhash64("id") % 10 < 8, "error").otherwise("success")
+    found = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(30)).cast("int")
+    logs = spark.range(n).select(F.lit(7).cast("long").alias("source_id"), "id", F.col("id").alias("at"), kind.alias("status"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)) * found / 1500).cast("int").alias("articles_new"), found.alias("articles_found"))
+    sizes = [r["count"] for r in sources._stretches(logs.withColumn("started_at", F.timestamp_seconds("at")), "status").groupBy("part").agg(F.sum(F.size("log")).alias("count")).collect()]
+    assert sum(sizes) == n and max(sizes) < 0.6 * n
+    folded = _folded(logs.withColumn("started_at", F.timestamp_seconds("at")))
+    wanted = _replayed(map(tuple, logs.toPandas().itertuples(index=False)))
+    (state, *times), (mine, *my_times) = wanted[7], folded[7]
+    assert (*mine[:4], mine[5], *my_times) == (*state[:4], state[5], *times) and mine[4] == pytest.approx(state[4])
+
+
+def test_folds_of_nothing(spark):
+    none = spark.createDataFrame([], LOG).withColumn("started_at", F.timestamp_seconds("at"))
+    assert sources.health(none).count() == sources.frequency(none).count() == 0
+    with pytest.raises(ValueError):
+        sources.frequency(none, 10)
+
+
 def test_daily_rules(spark):
     rows = [(1, "active", "high", 30), (2, "active", "high", 90), (3, "degraded", "high", 90), (4, "paused", "high", 99), (5, "active", "high", 29)]
     df = spark.createDataFrame(rows, "id int, status string, priority string, days_without_new int")
@@ -141,7 +204,62 @@ def test_pages(spark):
     assert found[3].content == "x"
     assert [(r.id, r.position, r.link) for r in pages.article_links(df).collect()] == [(1, 0, "http://www.site.com/2024/05/own")]
     assert df.select(links.feed_link(F.col("html")).alias("x")).first().x == "/feed.xml"
-    assert df.select(articles.html_text(F.col("html")).alias("x")).first().x.startswith("T & more menu x Head line First part Second <x> part")
+    assert df.select(markup.html_text(F.col("html")).alias("x")).first().x.startswith("T & more menu x Head line First part Second <x> part")
+
+
+LIST_PAGE = """<body><div id="menu"><ul><li><a href="/a">A long entry of the menu with many words in it that lead to other pages</a></li><li><a href="/b">Another one</a></li></ul></div>
+<div id="wrap"><div id="side"><p>Short note.</p><p><a href="/c">Read the whole story of this and that here</a></p></div>
+<section><p>First paragraph of the story, which is of some length, as stories have it.</p><div><p>A box within the story, of a few words.</p></div>
+<p>Second paragraph with <a href="/d">a link</a> in it, and more words after that.</p><ul><li><a href="/e">See also: everything else</a></li></ul></section></div><p>Imprint</p></body>"""
+
+
+def test_bodies_without_article(spark):
+    """The element with most text of its own wins, boxes within it included, menus not; of several articles the one with most text."""
+    two = "<article><p>Teaser of one.</p></article><article><p>The story itself,</p><div><p>longer than its teaser.</p></div></article><article><p>x</p></article>"
+    rows = [(1, LIST_PAGE), (2, two), (3, "<div><p><a href='/x'>only a link</a></p></div>"), (4, "<p>loose</p></div></section><p>blocks"), (5, "<div>no block</div>")]
+    df = spark.createDataFrame(rows, "id long, html string").withColumn("url", F.lit("http://a.com/x"))
+    found = {r.id: r.content for r in pages.extract_pages(df).collect()}
+    story = "First paragraph of the story, which is of some length, as stories have it.\nA box within the story, of a few words.\nSecond paragraph with a link in it, and more words after that."
+    assert found == {1: story, 2: "The story itself,\nlonger than its teaser.", 3: None, 4: "loose\nblocks", 5: None}
+
+
+def test_text_of_odd_pages(spark):
+    rows = [
+        ("a&#8211;b &#x41;&eacute;&hellip; &bogus; &amp;amp;", "a–b Aé… &bogus; &amp;"), ("<p title='a > b'>x</p>y<br/>z", "x y z"), ("<script>if (a < b) { x('</p>') }</script>ok<style>p > a {}</style>", "ok"),
+        ("a<!-- <p>no</p> -->b", "a b"), ("<p>open", "open"), (" \n ", ""), (None, None), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ]
+    df = spark.createDataFrame(rows, "html string, e string")
+    assert df.where(~markup.html_text(F.col("html")).eqNullSafe(F.col("e"))).collect() == []
+    assert df.select(markup.html_text(F.lit("abc def"), 5).alias("x")).first().x == "abc d"
+
+
+def test_links_as_rows(spark):
+    page = """<a href="/x?a=1&amp;b=2"> One <b>bold</b>\n word</a><a name="none">no</a><a href=" http://[bad ">two<a href="#top">three</a> <a href='mailto:x@y.z'></a>"""
+    df = spark.createDataFrame([(1, "https://s.com/p/q", page), (2, None, '<a href="r">x</a>'), (3, "http://s.com", None), (4, "http://s.com", "<![broken")], "id long, url string, html string")
+    found = {(r.id, r.position): (r.href, r.link, r.anchor) for r in markup.page_links(df).collect()}
+    assert found == {
+        (1, 0): ("/x?a=1&b=2", "https://s.com/x?a=1&b=2", "One bold word"), (1, 1): ("http://[bad", None, "two"), (1, 2): ("#top", "https://s.com/p/q#top", "three"),
+        (1, 3): ("mailto:x@y.z", "mailto:x@y.z", ""), (2, 0): ("r", "r", "x"),
+    }
+    markup.register(spark)
+    said = spark.sql("SELECT p.id, l.anchor FROM {p} p, LATERAL html_links(p.html, p.url) l WHERE l.link LIKE 'https://%'", p=df)
+    assert sorted(map(tuple, said.collect())) == [(1, "One bold word"), (1, "three")]
+
+
+def test_stored_logs_are_pruned_by_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/logs"
+    assert sites.prune_stored_logs(spark, path, NOW) == 0
+    logs = spark.range(24 * 40).select("id", (F.lit(datetime(2023, 12, 1)).cast("timestamp") + F.make_dt_interval(hours="id")).alias("started_at"))
+    sites.append_crawl_logs(logs, path)
+    before = {f.name: sorted(x.name for x in f.iterdir()) for f in (tmp_path / "logs").glob("log_date=*")}
+    now = datetime(2024, 1, 8, 6, 30)
+    assert [sites.prune_stored_logs(spark, path, now, 10) for _ in range(2)] == [28, 0]
+    kept = sorted(r.started_at for r in spark.read.parquet(path).collect())
+    assert kept == sorted(r.started_at for r in sites.prune_logs(logs, F.lit(now), 10).collect()) and kept[0] == datetime(2023, 12, 29, 7)
+    after = {f.name: sorted(x.name for x in f.iterdir()) for f in (tmp_path / "logs").glob("log_date=*")}
+    assert all(after[day] == before[day] for day in after if day > "log_date=2023-12-29")
+    sites.prune_stored_logs(spark, path, datetime(2024, 1, 8, 23, 30), 10)
+    assert spark.read.parquet(path).where("log_date = '2023-12-29'").count() == 0
 
 
 FEED = """<rss><channel><title>feed</title><item><title>Old &amp; new</title><link>https://a.com/1</link><pubDate>Wed, 01 May 2024 10:00:00 +0000</pubDate><description>d1</description></item>
@@ -159,6 +277,25 @@ def test_feeds(spark):
     assert [r.source_id for r in found].count(3) == 50 and not {4, 5} & {r.source_id for r in found}
 
 
+WILD = """<?xml version="1.0"?><!DOCTYPE rss><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://m" xmlns:atom="http://a"><channel><atom:link href="https://self"/>
+<item><media:title>no</media:title><media:content url="x > y"><media:credit>no</media:credit></media:content><title type="html">A &#8211; B &amp;amp; C&#x2026;</title><atom:link href="https://no"/>
+<link>https://a.com/1?x=1&amp;y=2</link><dc:creator>Ann</dc:creator><dc:creator>Bo</dc:creator><description><![CDATA[<p>x &amp; y</p> ]]]]><![CDATA[> z]]></description><pubDate>Wed, 01 May 2024 10:00:00 GMT</pubDate></item>
+<item><title>un<![CDATA[ded & more]]></title></item></channel></rss>"""
+RDF = """<rdf:RDF xmlns:rdf="http://r" xmlns:dc="http://d"><channel><title>c</title></channel><item><title>beside</title><link>https://r.com/1</link><dc:date>2024-05-01T00:00:00Z</dc:date></item></rdf:RDF>"""
+LINKED = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t</title><link rel="self" href="https://s"/><link href="https://page"/><summary type="xhtml"><div>s <b>t</b></div></summary></entry></feed>"""
+
+
+def test_feeds_in_the_wild(spark):
+    """Elements of other name spaces, several links and authors, CDATA in pieces, character references; and one that is not well-formed."""
+    broken = "<rss><channel><item><title>R&nbsp;1 &amp; 2</title><link>https://x.com/1</link></item><item><title>2</title></item>"
+    df = spark.createDataFrame([(1, WILD), (2, RDF), (3, LINKED), (4, broken)], "source_id long, xml string")
+    found = {(r.source_id, r.position): (r.title, r.url, r.author, r.summary) for r in sites.read_feed(df).collect()}
+    assert found == {
+        (1, 1): ("A – B &amp; C…", "https://a.com/1?x=1&y=2", "Ann", "<p>x &amp; y</p> ]]> z"), (1, 2): ("unded & more", "", None, None), (2, 1): ("beside", "https://r.com/1", None, None),
+        (3, 1): ("t", "https://page", None, "<div>s <b>t</b></div>"), (4, 1): ("R&nbsp;1 & 2", "https://x.com/1", None, None), (4, 2): ("2", "", None, None),
+    }
+
+
 def test_patches(spark):
     rows = [(1, "active", "low", 1, 240), (2, "active", "low", 1, 240)]
     kinds = "id long, status string, priority string, tier int, crawl_interval_minutes int"
