@@ -5,21 +5,24 @@ Articles come in the order of (crawled_at, id); an article may only be the dupli
 
 from __future__ import annotations
 
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.functions.text import cosine, hamming, preprocess_title, simhash64, title_tokens
+from pressroom.functions.text import hamming, preprocess_title, simhash64, title_tokens
 from pressroom.functions.urls import url_hash
 from pressroom.lineage import cut, drop
+from pressroom.operators.vectors import similar_vectors
+from pressroom.ordered import running
+
+__all__ = ["cascade", "cascade_pairs", "dedup_rate", "dedup_summary", "exact_url", "near_titles", "shared_entities", "similar_vectors", "with_simhash"]
 
 HOUR = 3_600_000_000
-#: Vectors compared with each other in one group of rows.
-BLOCK_ROWS = 2000
-#: Edges between articles that a task of the cascade decides in order.
-STRETCH_EDGES = 200_000
+#: Articles, their keys and their pairs of similar vectors, together, that a task of the cascade goes through in order.
+STRETCH_ROWS = 200_000
+_NEVER = -(2**62)
 
 
 def exact_url(articles: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -129,137 +132,123 @@ def shared_entities(articles: DataFrame, least: int = 2, hours: int = 24) -> Dat
     return met.select(F.col("l.id").alias("id"), F.col("e.id").alias("other"), overlap.alias("overlap")).distinct()
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.85, days: int = 3) -> DataFrame:
-    """L4 candidates, exact: id, other (earlier, within the look-back), cosine above the threshold.
-
-    vectors: id, crawled_at, embedding. Vectors of one look-back are dealt into blocks of BLOCK_ROWS, and a task
-    multiplies two blocks at a time: only pairs above the threshold leave it.
-    """
-    span = HOUR * 24 * days
-    bucket = F.floor(F.unix_micros("crawled_at") / span)
-    rows = vectors.where("embedding IS NOT NULL").select("id", F.unix_micros("crawled_at").alias("t"), F.col("embedding").cast("array<double>").alias("v"), bucket.alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = rows.join(F.broadcast(sizes), "bucket").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    # As later rows: with every block of the own bucket and of the one before.
-    before = sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("earlier_blocks"))
-    after = sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("later_blocks"))
-    other = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    cell = lambda b, i, c, j: F.struct(b.alias("lb"), i.alias("li"), c.alias("eb"), j.alias("ej"))
-    col = F.col
-    both = own.join(F.broadcast(before), "bucket", "left").join(F.broadcast(after), "bucket", "left").fillna(0, ["earlier_blocks", "later_blocks"])
-    as_later = F.concat(
-        F.transform(other(col("blocks")), lambda j: cell(col("bucket"), col("block"), col("bucket"), j)),
-        F.transform(other(col("earlier_blocks")), lambda j: cell(col("bucket"), col("block"), col("bucket") - 1, j)),
-    )
-    as_earlier = F.concat(
-        F.transform(other(col("blocks")), lambda i: cell(col("bucket"), i, col("bucket"), col("block"))),
-        F.transform(other(col("later_blocks")), lambda i: cell(col("bucket") + 1, i, col("bucket"), col("block"))),
-    )
-    placed = both.select("id", "t", "v", F.explode(as_later).alias("cell"), F.lit(True).alias("later")).unionByName(
-        both.select("id", "t", "v", F.explode(as_earlier).alias("cell"), F.lit(False).alias("later"))
-    )
-
-    def unit(frame: pd.DataFrame) -> np.ndarray:
-        matrix = np.array(frame["v"].tolist())
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-    def close(frame: pd.DataFrame) -> pd.DataFrame:
-        later, earlier = frame[frame["later"]], frame[~frame["later"]]
-        if later.empty or earlier.empty:
-            return pd.DataFrame({"id": [], "other": [], "cosine": []})
-        cosine = unit(later) @ unit(earlier).T
-        t, s = later["t"].to_numpy()[:, None], earlier["t"].to_numpy()[None]
-        i, j = later["id"].to_numpy()[:, None], earlier["id"].to_numpy()[None]
-        a, b = np.nonzero((cosine > threshold) & (s > t - span) & ((s < t) | ((s == t) & (j < i))))
-        return pd.DataFrame({"id": later["id"].to_numpy()[a], "other": earlier["id"].to_numpy()[b], "cosine": cosine[a, b]})
-
-    placed = placed.select("id", "t", "v", "later", "cell.*")
-    return placed.groupBy("lb", "li", "eb", "ej").applyInPandas(close, "id long, other long, cosine double")
-
-
-def similar_vectors_lsh(vectors: DataFrame, threshold: float = 0.85, days: int = 3, tables: int = 24, bits: int = 10, seed: int = 1) -> DataFrame:
-    """L4 candidates for collections beyond all pairs of a look-back: as similar_vectors, of vectors that agree on `bits` signs in one of `tables`.
-
-    A pair at cosine 0.85 agrees in one table with probability 1 - (1 - (1 - 0.1766) ** 10) ** 24, about 0.97.
-    """
-
-    @F.pandas_udf("array<int>")
-    def signs(column: pd.Series) -> pd.Series:
-        matrix = np.array(column.tolist(), np.float64)
-        planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], tables * bits))
-        codes = (matrix @ planes > 0).reshape(len(matrix), tables, bits) @ (1 << np.arange(bits))
-        return pd.Series(list(codes.astype(np.int32)))
-
-    span = HOUR * 24 * days
-    rows = vectors.where("embedding IS NOT NULL").select("id", "crawled_at", "embedding", F.floor(F.unix_micros("crawled_at") / span).alias("bucket"))
-    keyed = rows.select("id", "crawled_at", "bucket", F.posexplode(signs("embedding")).alias("table", "code"))
-    later, earlier = keyed.alias("l"), keyed.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("e")
-    same = [F.col(f"l.{c}") == F.col(f"e.{c}") for c in ("bucket", "table", "code")]
-    back = F.col("e.crawled_at") > F.col("l.crawled_at") - F.expr(f"INTERVAL {days} DAYS")
-    met = later.join(earlier, [*same, back, _earlier("l", "e")]).select(F.col("l.id").alias("id"), F.col("e.id").alias("other")).distinct()
-    v = vectors.select("id", "embedding")
-    both = met.join(v.toDF("id", "a"), "id").join(v.toDF("other", "b"), "other").withColumn("cosine", cosine(F.col("a"), F.col("b")))
-    return both.where(F.col("cosine") > threshold).select("id", "other", "cosine")
-
-
-def _settled(frame: pd.DataFrame) -> pd.DataFrame:
-    """What the edges (id, t, other, original: state of other, if known) of one stretch of time decide by themselves, one article after the other."""
-    frame = frame.sort_values(["t", "id"], kind="stable")
-    known: dict[int, bool] = {}
-    ids, others, states = (frame[c].tolist() for c in ("id", "other", "original"))
-    at, size = 0, len(ids)
-    while at < size:
-        article, hit, waits = ids[at], False, False
-        while at < size and ids[at] == article:
-            state = known.get(others[at], states[at])
-            hit, waits = hit or state is True, waits or state is None
-            at += 1
-        if hit or not waits:
-            known[article] = not hit
-    return pd.DataFrame({"id": list(known), "original": list(known.values())}).astype({"id": "int64", "original": "bool"})
-
-
-def _with_stretch(edges: DataFrame, articles: DataFrame) -> DataFrame:
-    """id, t, other, stretch: days in a row with about STRETCH_EDGES edges together; null for a day that has far more."""
-    timed = edges.join(articles.select("id", F.unix_micros("crawled_at").alias("t")), "id").withColumn("day", F.floor(F.col("t") / (24 * HOUR)))
-    days = timed.groupBy("day").count()
-    before = F.sum("count").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))  # one row a day
-    stretch = F.when(F.col("count") <= 10 * STRETCH_EDGES, F.floor(F.coalesce(before, F.lit(0)) / STRETCH_EDGES))
-    return timed.join(F.broadcast(days.select("day", stretch.alias("stretch"))), "day").select("id", "t", "other", "stretch")
-
-
-def resolve_cascade(articles: DataFrame, l2: DataFrame, l3: DataFrame, l4: DataFrame) -> DataFrame:
+def pair_keys(language: Column, entities: Column, least: int = 2) -> Column:
+    """A text for every two entities of an article, together with its language; none for fewer entities or no language."""
+    entities = F.array_sort(F.array_distinct(entities))
+    pairs = F.flatten(F.transform(entities, lambda a, i: F.transform(F.slice(entities, i + 2, F.size(entities)), lambda b: F.to_json(F.array(language, a, b)))))
+    return F.when(language.isNotNull() & (F.size(entities) >= least), pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _decided(look_back: int):
+    def run(articles: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
+        """What an article's stretch of time decides, one article after the other.
+
+        articles: id, t, keys, all undecided. context: what came before the stretch (kind 0: a key's last original and last undecided article), its own
+        originals (kind 1), and similar vectors (kind 2: other, state 1 if that is an original, 2 if undecided). An article that has an original in reach is a duplicate; one
+        that has neither that nor an undecided one is an original; all others wait.
+        """
+        originals: dict[str, int] = {}
+        waiting: dict[str, int] = {}
+        alike: dict[int, list[tuple[int, int]]] = {}
+        own, known = [], {}
+        for kind, key, t, article, wait, other, state in context[["kind", "key", "t", "id", "wait", "other", "state"]].itertuples(index=False):
+            if kind == 0:
+                originals[key], waiting[key] = t, wait
+            elif kind == 1:
+                own.append((t, article, key))
+            else:
+                alike.setdefault(article, []).append((other, state))
+        own.sort(reverse=True)
+        for t, article, keys in sorted(zip(articles["t"].tolist(), articles["id"].tolist(), articles["keys"], strict=True), key=lambda x: x[:2]):
+            while own and own[-1][:2] < (t, article):
+                at, _, key = own.pop()
+                originals[key] = at
+            others = [known.get(other, state) for other, state in alike.get(article, ())]
+            if 1 in others or any(originals.get(k, _NEVER) > t - look_back for k in keys):
+                known[article] = 0
+            elif 2 in others or any(waiting.get(k, _NEVER) > t - look_back for k in keys):
+                waiting.update(dict.fromkeys(keys, t))
+            else:
+                known[article] = 1
+                originals.update(dict.fromkeys(keys, t))
+        return pd.DataFrame({"id": list(known), "original": [v == 1 for v in known.values()]}).astype({"id": "int64", "original": "bool"})
+
+    return run
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _last_of_key(rows: DataFrame, **latest: Column) -> DataFrame:
+    """key, stretch and for each name the greatest value that the key has in earlier stretches: one row for each key of a stretch, whatever its number of articles."""
+    before = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    marks = rows.groupBy("key", "stretch").agg(*(F.max(value).alias(name) for name, value in latest.items()))
+    return marks.select("key", "stretch", *(F.max(name).over(before).alias(name) for name in latest))
+
+
+def cascade(articles: DataFrame, l2: DataFrame, l4: DataFrame, before: DataFrame | None = None, hours: int = 24) -> DataFrame:
     """id, dedup_level (2, 3, 4 or null), duplicate_of: the first level that hits, where L3 and L4 only point to originals.
 
-    articles: id, crawled_at; l2: id, duplicate_of; l3: id, other, overlap; l4: id, other, cosine. Articles outside l2 are decided in rounds: an
-    original is one without an undecided or original earlier neighbour, a duplicate has an original among them. In every round
-    tasks decide what they can within stretches of time, and joins what hangs on other stretches and on days too full for
-    one task; the earliest undecided article is decided in every round.
+    articles: id, crawled_at, language, entities; l2: id, duplicate_of; l4: id, other, cosine; before: originals decided earlier, as articles. L3 is the earlier original of
+    the language within `hours` that shares most entities, two at least (ties: the latest). No pairs of articles are made for it: whatever shares two entities shares a key, and
+    originals of a key are `hours` apart, so an article asks for the last original of each of its keys.
+
+    Articles are dealt into stretches of time of about STRETCH_ROWS keys and vector pairs. In each round, tasks go through their stretches in order and decide what the last
+    original and the last undecided article of every key before the stretch allow; the earliest undecided article is decided in every round. Rounds
+    are few unless every article hangs on one of the stretch before.
     """
     titled = l2.select("id").distinct()
-    edges = l3.select("id", "other").unionByName(l4.select("id", "other")).distinct()
-    edges = edges.join(titled, "id", "left_anti").join(titled.toDF("other"), "other", "left_anti")
-    left = cut(_with_stretch(edges, articles))
-    free = articles.select("id").join(titled, "id", "left_anti").join(left.select("id").distinct(), "id", "left_anti")
-    new = decided = cut(free.withColumn("original", F.lit(True)))
-    while not new.isEmpty():
-        states = cut(left.join(new.toDF("other", "original"), "other", "left").select("id", "t", "other", "stretch", "original"))
-        alone = states.where("stretch IS NOT NULL").groupBy("stretch").applyInPandas(_settled, "id long, original boolean")
-        verdict = F.when(F.bool_or("original"), F.lit(False)).when(F.bool_and(F.col("original").isNotNull()), F.lit(True))
-        full = states.where("stretch IS NULL").groupBy("id").agg(verdict.alias("original")).where("original IS NOT NULL")
-        new = cut(alone.unionByName(full))
-        decided = decided.unionByName(new)
-        rest = cut(states.where("original IS NULL").select(left.columns).join(new.select("id"), "id", "left_anti"))
-        drop(left, states)
-        left = rest
-    decided = cut(decided)
-    originals = decided.where("original").select(F.col("id").alias("other"))
-    times = articles.select(F.col("id").alias("other"), F.col("crawled_at").alias("at"))
-    duplicates = decided.where("NOT original").select("id")
-    best3 = l3.join(duplicates, "id", "left_semi").join(originals, "other", "left_semi").join(times, "other")
-    best3 = best3.groupBy("id").agg(F.max_by("other", F.struct("overlap", "at", "other")).alias("d3"))
-    best4 = l4.join(duplicates, "id", "left_semi").join(originals, "other", "left_semi")
+    rows = articles.select("id", "crawled_at", "language", "entities", F.lit(False).alias("known"))
+    if before is not None:
+        rows = rows.unionByName(before.select("id", "crawled_at", "language", "entities", F.lit(True).alias("known")))
+    rows = rows.join(titled, "id", "left_anti")
+    keys = F.coalesce(pair_keys(F.col("language"), F.col("entities")), F.array().cast("array<string>"))
+    rows = rows.select("id", F.unix_micros("crawled_at").alias("t"), "known", keys.alias("keys"))
+    edges = l4.select("id", "other").join(rows.where("NOT known").select("id"), "id")
+    edges = edges.join(rows.select(F.col("id").alias("other"), F.when(F.col("known"), 1).otherwise(2).alias("state")), "other")
+    weighed = rows.join(edges.groupBy("id").agg(F.count("*").alias("edges")), "id", "left").withColumn("weight", F.size("keys") + F.coalesce("edges", F.lit(0)) + 1)
+    stretch = F.floor(F.col("before") / STRETCH_ROWS).alias("stretch")
+    placed = cut(running(weighed, ["t", "id"], before=F.col("weight")).select("id", "t", "known", "keys", stretch))
+    keyed = lambda df: df.select("stretch", "t", "id", F.explode("keys").alias("key"))
+
+    left = cut(placed.where("NOT known").select("id", "t", "keys", "stretch"))
+    edges = cut(edges.join(left.select("id", "stretch"), "id").select("stretch", "id", "other", "state"))
+    origins, verdicts = [cut(keyed(placed.where("known")))], [cut(placed.where("known").select("id", F.lit(True).alias("original")))]
+    never, none = F.lit(_NEVER), F.lit(-1).cast("long")
+    while not left.isEmpty():
+        original = _union(origins).withColumn("wait", F.lit(None).cast("long"))
+        undecided = keyed(left).withColumn("wait", F.col("t"))
+        last = _last_of_key(original.unionByName(undecided), t=F.when(F.col("wait").isNull(), F.col("t")), wait=F.col("wait"))
+        context = _union(
+            [
+                last.where("t IS NOT NULL OR wait IS NOT NULL").select("stretch", F.lit(0).alias("kind"), "key", F.coalesce("t", never).alias("t"), none.alias("id"), F.coalesce("wait", never).alias("wait"), none.alias("other"), F.lit(0).alias("state")),
+                original.select("stretch", F.lit(1).alias("kind"), "key", "t", "id", never.alias("wait"), none.alias("other"), F.lit(0).alias("state")),
+                edges.select("stretch", F.lit(2).alias("kind"), F.lit("").alias("key"), never.alias("t"), "id", never.alias("wait"), "other", "state"),
+            ]
+        ).join(left.select("stretch").distinct(), "stretch", "left_semi")
+        new = cut(left.groupBy("stretch").cogroup(context.groupBy("stretch")).applyInPandas(_decided(hours * HOUR), "id long, original boolean"))
+        verdicts.append(new)
+        origins.append(cut(keyed(left.join(new.where("original"), "id", "left_semi"))))
+        open_edges = edges.join(new.select("id"), "id", "left_anti").join(new.toDF("other", "_now"), "other", "left").where("_now IS NULL OR _now")
+        after = cut(left.join(new.select("id"), "id", "left_anti")), cut(open_edges.select("stretch", "id", "other", F.when(F.col("_now"), 1).otherwise(F.col("state")).alias("state")))
+        drop(left, edges)
+        left, edges = after
+    drop(left, edges)
+    decided = _union(verdicts)
+    duplicates = placed.join(decided.where("NOT original"), "id", "left_semi")
+    original, asking = _union(origins), keyed(duplicates)
+    # The last original of each key before an article, in its stretch or before that.
+    both = original.withColumn("found", F.struct("t", F.col("id").alias("other"))).unionByName(asking.withColumn("found", F.lit(None).cast("struct<t: long, other: long>")))
+    within = Window.partitionBy("key", "stretch").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = both.select("key", "stretch", "t", "id", "found", F.last("found", ignorenulls=True).over(within).alias("own")).where("found IS NULL")
+    asked = in_order.join(_last_of_key(both, last=F.col("found")), ["key", "stretch"], "left").withColumn("hit", F.coalesce("own", "last"))
+    met = asked.where(F.col("hit.t") > F.col("t") - hours * HOUR).select("id", F.col("hit.other").alias("other")).distinct()
+    named = articles.select("id", "crawled_at", "entities")
+    others = named if before is None else named.unionByName(before.select(named.columns))
+    met = met.join(named.select("id", F.col("entities").alias("mine")), "id").join(others.toDF("other", "at", "theirs"), "other")
+    best3 = met.groupBy("id").agg(F.max_by("other", F.struct(F.size(F.array_intersect("mine", "theirs")), "at", "other")).alias("d3"))
+    best4 = l4.join(duplicates.select("id"), "id", "left_semi").join(decided.where("original").select(F.col("id").alias("other")), "other", "left_semi")
     best4 = best4.groupBy("id").agg(F.max_by("other", F.struct("cosine", (-F.col("other")).alias("o"))).alias("d4"))
     out = articles.select("id").join(l2.select("id", F.col("duplicate_of").alias("d2")), "id", "left").join(best3, "id", "left").join(best4, "id", "left")
     level = F.when(F.col("d2").isNotNull(), 2).when(F.col("d3").isNotNull(), 3).when(F.col("d4").isNotNull(), 4)

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from pressroom import views
 from pressroom.functions import text, urls
-from pressroom.operators import clusters, dedup, entities
+from pressroom.lineage import shared_dir
+from pressroom.operators import clusters, dedup, entities, vectors
 from pressroom.plans.common import NOW, A, of_articles, of_pages
 
 #: No two vectors of the tables are more alike than 0.6, so the default of 0.85 would find none.
 COSINE = 0.4
+#: Cells of the vector index, and those that a search looks into where it need not be exact.
+CELLS, PROBES = 16, 10
 
 
 def _named(spark, d):
@@ -39,9 +42,24 @@ def _levels(spark, d):
     return named, dedup.near_titles(named), dedup.shared_entities(named), dedup.similar_vectors(_vectors(spark, d), COSINE)
 
 
+def _indexed(spark, d):
+    """All pairs, through cells that are trained and stored: every cell that can hold a match is probed."""
+    rows, path = _vectors(spark, d), shared_dir(spark)
+    vectors.write_index(rows, vectors.train(rows, CELLS), path)
+    return vectors.search_index(rows, path, COSINE).withColumn("cosine", F.round("cosine", 5))
+
+
+def _recall(spark, d):
+    """How many of the exact pairs the PROBES nearest cells give."""
+    rows = _vectors(spark, d)
+    found = vectors.similar_vectors(rows, COSINE, centres=vectors.train(rows, CELLS), probes=PROBES)
+    counts = vectors.recall_of(found, vectors.similar_vectors(rows, COSINE))
+    return counts.select("exact", (F.col("found") <= F.col("exact")).alias("all_right"), (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _cascade(spark, d):
-    named, l2, l3, l4 = _levels(spark, d)
-    return dedup.resolve_cascade(named, l2, l3, l4)
+    named = _named(spark, d)
+    return dedup.cascade(named, dedup.near_titles(named), dedup.similar_vectors(_vectors(spark, d), COSINE))
 
 
 def _pairs(spark, d):
@@ -113,6 +131,8 @@ QUERIES = {
     "d2_near_title": of_articles(dedup.near_titles),
     "d3_shared_entities": lambda spark, d: dedup.shared_entities(_named(spark, d)),
     "d4_similar_vectors": _similar,
+    "d4_indexed_vectors": _indexed,
+    "d4_index_recall": _recall,
     "d5_cascade": _cascade,
     "d6_dedup_summary": lambda spark, d: dedup.dedup_summary(_leveled(spark, d)),
     "d6_dedup_rate": of_articles(dedup.dedup_rate),
@@ -197,6 +217,8 @@ ORACLE_SQL = {
     "d2_near_title": f"{A.rstrip()}, {_HASHES} {_NEAR}",
     "d3_shared_entities": f"{A.rstrip()}, {_ENTITIES} {_SHARED}",
     "d4_similar_vectors": f"{A}{_VECTORS}",
+    "d4_indexed_vectors": f"{A}{_VECTORS}",
+    "d4_index_recall": f"{A}SELECT count(*) AS exact, true AS all_right, true AS enough FROM ({_VECTORS})",
     "d6_dedup_summary": f"{A}SELECT is_duplicate, CASE WHEN is_duplicate THEN CAST(2 + id % 3 AS INT) END AS dedup_level, count(*) AS count FROM articles GROUP BY 1, 2",
     "d6_dedup_rate": f"{A}SELECT count(*) AS total, count(*) FILTER (is_duplicate) AS duplicates, round(100.0::DOUBLE * count(*) FILTER (is_duplicate) / count(*), 2) AS rate FROM articles",
     "u1_cascade_pairs": f"""{A.rstrip()}, {_NORMAL}, {_HASHES}, {_ENTITIES}, pairs AS (SELECT id, duplicate_of AS other, 1 AS level FROM ({_URL}) WHERE duplicate_of IS NOT NULL

@@ -67,8 +67,11 @@ def exact_url_within(stream: DataFrame, delay: str = "7 days") -> DataFrame:
 ARTICLE = "id long, crawled_at timestamp, language string, title string, entities array<string>, embedding array<float>, dedup_level int, duplicate_of long"
 
 
-def cascade_batches(path: str, days: int = 7, cosine: float = 0.85):
-    """per_batch: L2 to L4 of new articles against themselves and the stored ones of the last days; writes ARTICLE, all with their verdicts."""
+def cascade_batches(path: str, days: int = 7, cosine: float = 0.85, centres: DataFrame | None = None, probes: int | None = None):
+    """per_batch: L2 to L4 of new articles against themselves and the stored ones of the last days; writes ARTICLE, all with their verdicts.
+
+    With centres (of vectors.train) L4 looks for similar vectors in cells instead of comparing all of a look-back; with `probes`, in that many only.
+    """
 
     def per_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
@@ -78,14 +81,11 @@ def cascade_batches(path: str, days: int = 7, cosine: float = 0.85):
         stored = _before(spark, path, ARTICLE, batch).join(F.broadcast(first), F.col("crawled_at") > F.col("first")).drop("first")
         everything = stored.select(*given).unionByName(new)
         # Duplicates that were decided earlier stay so and are nobody's original for L3 and L4.
+        originals = stored.where("duplicate_of IS NULL").select(*given)
         ours = lambda pairs: pairs.join(new.select("id"), "id", "left_semi")
-        old = stored.where("duplicate_of IS NOT NULL").select(F.col("id").alias("other"))
-        originals = lambda pairs: pairs.join(old, "other", "left_anti")
         l2 = ours(dedup.near_titles(everything))
-        l3 = originals(ours(dedup.shared_entities(everything)))
-        l4 = originals(ours(dedup.similar_vectors(everything, cosine)))
-        known = stored.where("duplicate_of IS NULL").select("id", "crawled_at").unionByName(new.select("id", "crawled_at"))
-        verdicts = dedup.resolve_cascade(known, l2, l3, l4)
+        l4 = ours(dedup.similar_vectors(originals.unionByName(new), cosine, centres=centres, probes=probes))
+        verdicts = dedup.cascade(new, l2, l4, before=originals)
         _write(new.join(verdicts, "id").select(*given, "dedup_level", "duplicate_of"), path, batch)
 
     return per_batch
@@ -146,9 +146,10 @@ def daily_counts(logs: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def last_day_counts(articles: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Articles of the last 24 hours, every hour: until, articles."""
-    span = F.window("crawled_at", "24 hours", "1 hour")
-    return articles.withWatermark("crawled_at", late).groupBy(span).agg(F.count("*").alias("articles")).select(F.col("window.end").alias("until"), "articles")
+    """Articles of the last 24 hours, every hour: until, articles. Hours are counted first, and the hours of a day summed, so an article is one row and not 24."""
+    hours = articles.withWatermark("crawled_at", late).groupBy(F.window("crawled_at", "1 hour").alias("hour")).agg(F.count("*").alias("n"))
+    span = F.window(F.window_time("hour"), "24 hours", "1 hour")
+    return hours.groupBy(span).agg(F.sum("n").alias("articles")).select(F.col("window.end").alias("until"), "articles")
 
 
 def on_time(items: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
