@@ -90,7 +90,11 @@ def _tokens(data: bytes) -> tuple[pa.Array, np.ndarray]:
     ids = number[coded.indices.to_numpy()]
     ids = ids[ids >= 0]
     words = pc.utf8_rtrim(seen.filter(pa.array(~(blank | stop))).cast(pa.string()), " ")
-    return words, _single_stops(ids)
+    # Frequent words get small numbers, which take less space.
+    order = np.argsort(-np.bincount(ids, minlength=len(words) + 1)[1:], kind="stable")
+    place = np.zeros(len(words) + 1, np.int32)
+    place[order + 1] = np.arange(1, len(words) + 1)
+    return words.take(pa.array(order)), _single_stops(place[ids])
 
 
 def _single_stops(ids: np.ndarray) -> np.ndarray:
@@ -112,14 +116,14 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sizes, made = defaultdict(list), defaultdict(int), 0
-        task, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        task = TaskContext.get().partitionId()
 
         def shard(lang: str) -> pa.RecordBatch:
             words, ids = _tokens(b".".join(held.pop(lang)))
             sizes.pop(lang)
             counts = np.bincount(ids, minlength=len(words) + 1)[1:]
             columns = [pa.array([f"{task}-{made}"]), pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(words)], pa.array(counts, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([pack.compress(ids.tobytes())], pa.binary())], ["shard", "lang", "words", "counts", "ids"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([_packed_ids(ids)], pa.binary())], ["shard", "lang", "words", "counts", "ids"])
 
         for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -156,7 +160,11 @@ def _from_planes(data: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-_HASH_BYTES, _COUNT_BYTES = HASH_BITS // 8, 5
+_HASH_BYTES, _COUNT_BYTES, _ID_BYTES = HASH_BITS // 8, 5, 4
+
+
+def _packed_ids(ids: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(ids, _ID_BYTES))
 
 
 def _packed(hashes: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
@@ -217,7 +225,8 @@ def _codes(words: pa.Table) -> np.ndarray:
 
 
 def _ids(index: pa.Table) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(index["ids"][0].as_py()), np.int32)
+    raw = zstandard.ZstdDecompressor().decompress(index["ids"][0].as_py())
+    return _from_planes(raw, len(raw) // _ID_BYTES, _ID_BYTES).astype(np.int32)
 
 
 def _among(found: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -262,18 +271,18 @@ def _longer_census(ranges: int, longest: int):
             if length > 2:
                 found.append((_mixed(codes, fm.sequence, places, length), counts))
         hashes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-        rest = -1, zstandard.ZstdCompressor(level=1).compress(sequence.tobytes())
-        return _blocks(index["shard"][0].as_py(), hashes, counts, ranges, rest)
+        return _blocks(index["shard"][0].as_py(), hashes, counts, ranges, (-1, _packed_ids(sequence)))
 
     return run
 
 
-def _counted(longest: int):
+def _counted(ranges: int, longest: int):
+    names = {"phrase": pa.string(), "words": pa.int32(), "count": pa.int64()}
+
     def run(index: pa.Table, known: pa.Table) -> pa.Table:
-        """lang, phrase, words, count of a shard's phrases of two words and more that passed."""
-        names = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "count": pa.int64()}
-        out = [pa.table({n: pa.array([], kind) for n, kind in names.items()})]
+        """range, lang, and lists phrase, words, count: a shard's phrases of two words and more that passed, a row for each range of their hashes."""
         words, longer = _heard(known)
+        hashes, out, lang = [np.zeros(0, np.uint64)], [pa.table({n: pa.array([], kind) for n, kind in names.items()})], ""
         if index.num_rows and words.num_rows:
             codes = _codes(words)
             row = np.zeros(len(codes), np.int64)
@@ -281,14 +290,32 @@ def _counted(longest: int):
             said, lang = words["phrase"].combine_chunks(), words["lang"][0].as_py()
             fm = FmIndex(_ids(index), longest)
             for length, (places, counts) in enumerate(fm.intervals(longest), 1):
-                if length > 2:
-                    passed = _among(_mixed(codes, fm.sequence, places, length), longer)
-                    places, counts = places[passed], counts[passed]
-                if length > 1:
-                    phrase = pc.binary_join_element_wise(*(said.take(pa.array(row[fm.sequence[places + k]])) for k in range(length)), " ")
-                    n = len(places)
-                    out.append(pa.table([pa.array([lang] * n, pa.string()), phrase, pa.array(np.full(n, length, np.int32)), pa.array(counts, pa.int64())], schema=out[0].schema))
-        return pa.concat_tables(out)
+                if length == 1:
+                    continue
+                own = _mixed(codes, fm.sequence, places, length)
+                passed = _among(own, longer) if length > 2 else np.ones(len(own), bool)
+                places, counts = places[passed], counts[passed]
+                phrase = pc.binary_join_element_wise(*(said.take(pa.array(row[fm.sequence[places + k]])) for k in range(length)), " ")
+                hashes.append(own[passed])
+                out.append(pa.table([phrase, pa.array(np.full(len(places), length, np.int32)), pa.array(counts, pa.int64())], schema=out[0].schema))
+        place = ((np.concatenate(hashes) * np.uint64(ranges)) >> np.uint64(HASH_BITS)).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0)[: len(place)])
+        found = pa.concat_tables(out).take(pa.array(order))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(place)), pa.int32()), found[n].combine_chunks()) for n in names]
+        return pa.table([pa.array(place[order][starts]), pa.array([lang] * len(starts), pa.string()), *lists], ["range", "lang", *names])
+
+    return run
+
+
+def _summed(least: int):
+    def run(lists: pa.Table) -> pa.Table:
+        """lang, phrase, words, count: sums of a range's lists, from `least` on."""
+        sizes = pc.list_value_length(lists["count"]).to_numpy()
+        langs = lists["lang"].take(pa.array(np.repeat(np.arange(lists.num_rows), sizes)))
+        flat = pa.table([langs, *(pc.list_flatten(lists[n]) for n in ("phrase", "words", "count"))], ["lang", "phrase", "words", "count"])
+        sums = flat.group_by(["lang", "phrase", "words"]).aggregate([("count", "sum")]).rename_columns(["lang", "phrase", "words", "count"])
+        return sums.filter(pc.greater_equal(sums["count"], least))
 
     return run
 
@@ -318,8 +345,8 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
         census = stored(sequences.cogroup(known.groupBy("shard")).applyInArrow(_longer_census(ranges, longest), _CENSUS))
         rest = census.where("range = -1").select("shard", F.col("packed").alias("ids"))
         known = heard.unionByName(passed(_frequent(census.where("range >= 0"), least)))
-        more = rest.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_counted(longest), "lang string, phrase string, words int, count long")
-        found = found.unionByName(more.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count")).where(F.col("count") >= least))
+        lists = rest.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_counted(ranges, longest), "range int, lang string, phrase array<string>, words array<int>, count array<bigint>")
+        found = found.unionByName(lists.groupBy("range").applyInArrow(_summed(least), "lang string, phrase string, words int, count long"))
     found = stored(found)
     blank = F.length("phrase") - F.length(F.substring_index("phrase", " ", -1)) - 1
     shorter = F.array(
