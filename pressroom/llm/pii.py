@@ -7,16 +7,22 @@ transducer rewrites the text and keeps, for every character it emits, the source
 characters that it stands for, so that a span found in the rewritten text maps
 back to the characters of the source.
 
+An address spoken with `at` needs more than that word, as prose has it too: a spelled or bracketed dot, `arroba`,
+a word like mail or contact before it, or a usual ending of a domain, where the word before is none that goes with `at` anyway
+(look at example.com). Endings are letters, so a price or a time is none.
+
 Defined results: a null or empty text has no spans. Repeated rows are searched one
 by one. Offsets are code points, ends exclusive. A span of the second pass is kept
-only if it overlaps no span of the same kind of the first. Columns other than
-doc_id and text are not read by find_personal_data and are passed on by redact.
+unless one of the same kind of the first covers it; where it reaches further, both are given and redact takes their union. Spans are ordered by
+kind, start and end, so ties have one order. An empty table gives no rows. Very long texts are searched whole, in time in proportion to their length whatever
+they hold, and few at a time. Columns other than doc_id and text are not read by find_personal_data and are passed on by redact.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressroom.llm.common import texts
+from pressroom.llm.common import pieces, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is looked for from its @ on, to both sides: a pattern for the whole would try every place of a long word.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: A match never begins within a run of digits: one that begins with the run comes before it.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -64,20 +73,27 @@ _unit = rf"(?:{_named}|[0-9]+|plus|{_dot})"
 SPELLED_RUN = re.compile(rf"(?<!\w){_unit}(?:[\s,-]+{_unit})*(?!\w)", re.IGNORECASE)
 UNIT = re.compile(_unit, re.IGNORECASE)
 
-BRACKET_HINT = re.compile(rf"[\[({{<]\s*(?:at|arroba|@|{_dot}|\.)\s*[\])}}>]", re.IGNORECASE)
-BRACKETED_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*", re.IGNORECASE)
-BRACKETED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_dot}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
-SPOKEN_ADDRESS = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{_dot}\s+)[A-Za-z0-9_%+-]+)*(\s+(?:at|arroba)\s+|@)[A-Za-z0-9-]+(?:(?:\s+{_dot}\s+|\.)(?!{_dot}\b)[A-Za-z0-9-]+)+(?!\w)",
-    re.IGNORECASE,
-)
-#: The middle of every SPOKEN_ADDRESS, which is faster to look for.
-SPOKEN_HINT = re.compile(rf"(?:\s(?:at|arroba)\s+|@)[A-Za-z0-9-]+(?:\s+{_dot}\s+|\.)(?!{_dot}\b)[A-Za-z0-9-]", re.IGNORECASE)
+_open, _close = r"[\[({<]\s*", r"\s*[\])}>]"
+BRACKETED_AT = re.compile(rf"{_open}(?:at|arroba|@){_close}", re.IGNORECASE)
+BRACKETED_DOT = re.compile(rf"{_open}(?:{_dot}|\.){_close}", re.IGNORECASE)
 AT_WORDS = ("at", "arroba")
 DOT_WORDS = ("dot", "point", "punto", "punkt")
 SPELLED_NEXT = {*SPELLED, *DOT_WORDS}
-SPOKEN_AT = re.compile(r"\s+(?:at|arroba)\s+", re.IGNORECASE)
+#: Where an address may be spoken: the sign or word, and the first label of a domain with a dot behind it.
+SPOKEN_HINT = re.compile(rf"(?:\s(at|arroba)\s+|@)(?=[A-Za-z0-9-]+(?:\s+{_dot}\s+|\.)[A-Za-z0-9-])", re.IGNORECASE)
+#: The name before it: words and dots, spelled or not, of so many characters at most.
+REACH = 200
+SPOKEN_NAME = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{_dot}\s+)[A-Za-z0-9_%+-]+)*$", re.IGNORECASE)
+#: The labels after it, so many at most.
+LABELS = 8
+SPOKEN_LABEL = re.compile(rf"(\s+{_dot}\s+|\.)(?!{_dot}\b)([A-Za-z0-9-]+)", re.IGNORECASE)
+FIRST_LABEL = re.compile("[A-Za-z0-9-]+")
 SPOKEN_DOT = re.compile(rf"\s+{_dot}\s+", re.IGNORECASE)
+ENDING = re.compile(r"[A-Za-z]{2,24}")
+#: Usual endings of domains, words that announce an address, and words that go with `at` in prose.
+ENDINGS = frozenset("com org net edu gov info biz io eu de fr es it uk us ca mx ar cl co ch at be nl pl pt se dk no fi ie".split())
+CUE = re.compile(r"\b(?:e-?mails?|mails?|contact|reach|write|address|courriel|adresse|correo|escrib\w*|kontakt|schreib\w*)\b", re.IGNORECASE)
+PROSE = frozenset("look looks looked looking see seen find found available hosted online live visit more read here sold is are was were be start starts started".split())
 FOREIGN = re.compile(rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～]|(?![0-9])\d")
 SEPARATORS = str.maketrans("-,", "  ")
 
@@ -99,12 +115,25 @@ def _accept(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of LOCAL characters, @ and a domain with a dot, leftmost and not overlapping."""
+    last, sign = 0, text.find("@")
+    while sign >= 0:
+        start = last + len(text[last:sign].rstrip(LOCAL))
+        found = DOMAIN.match(text, sign + 1) if start < sign else None
+        if found:
+            yield start, found.end()
+        # What stands before a sign is in no address of a later one but for the rest of this domain.
+        last = found.end() if found else sign + 1
+        sign = text.find("@", last)
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of plainly written identifiers, leftmost and not overlapping within a kind."""
     spans = []
     digits = DIGIT.search(text) is not None
+    spans += [("email", *span) for span in _addresses(text)]
     for kind, pattern, possible in (
-        ("email", EMAIL, "@" in text),
         ("ip", IP, digits and "." in text),
         ("card", CARD, digits),
         ("phone", PHONE, digits and "+" in text),
@@ -163,15 +192,61 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _bracketed(tape: Tape, pattern: re.Pattern, new: str) -> bool:
+    """Put `new` in place of what the pattern finds and the white space around it."""
+    text, edits, last = tape.text, [], 0
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        while start > last and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        edits.append((start, end, new))
+        last = end
+    tape.rewrite(edits)
+    return bool(edits)
+
+
+def _spoken(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Edits that make plain addresses of spoken ones, for each of them."""
+    last = 0
+    for hint in SPOKEN_HINT.finditer(text):
+        if hint.start() < last:
+            continue
+        name = SPOKEN_NAME.search(text, max(last, hint.start() - REACH), hint.start())
+        first = FIRST_LABEL.match(text, hint.end())
+        if not name or not first:
+            continue
+        labels = []
+        at = first.end()
+        while len(labels) < LABELS and (label := SPOKEN_LABEL.match(text, at)):
+            labels.append(label)
+            at = label.end()
+        word = (hint.group(1) or "@").lower()
+        sure = word != "at" or SPOKEN_DOT.search(name.group()) is not None
+        cued = CUE.search(text, max(0, name.start() - 60), name.start()) is not None
+        while labels:
+            ending, after = labels[-1].group(2), labels[-1].end()
+            spelled = sure or any(x.group(1) != "." for x in labels)
+            usual = ending.lower() in ENDINGS and name.group().lower() not in PROSE
+            if ENDING.fullmatch(ending) and (spelled or cued or usual) and not (after < len(text) and (text[after].isalnum() or text[after] == "_")):
+                break
+            labels.pop()
+        if labels:
+            dots = [m.span() for m in SPOKEN_DOT.finditer(name.group())]
+            last = labels[-1].end()
+            yield [
+                *((name.start() + a, name.start() + b, ".") for a, b in dots),
+                (hint.start(), hint.end(), "@"),
+                *((*x.span(1), ".") for x in labels if x.group(1) != "."),
+            ]
+
+
 def at_and_dot(tape: Tape, spoken: bool) -> None:
-    tape.rewrite([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(tape.text)])
-    if spoken and SPOKEN_HINT.search(tape.text):
-        edits = []
-        for address in SPOKEN_ADDRESS.finditer(tape.text):
-            edits += [(m.start(), m.end(), "@") for m in SPOKEN_AT.finditer(tape.text, *address.span())]
-            edits += [(m.start(), m.end(), ".") for m in SPOKEN_DOT.finditer(tape.text, *address.span())]
-        tape.rewrite(sorted(edits))
+    signs = _bracketed(tape, BRACKETED_AT, "@")
+    dots = _bracketed(tape, BRACKETED_DOT, ".")
+    if spoken or signs or dots:
+        tape.rewrite([edit for address in _spoken(tape.text) for edit in address])
 
 
 def _beyond_latin(text: str) -> bool:
@@ -200,19 +275,32 @@ def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, i
     ):
         spelled_digits(tape)
     spoken = not {*AT_WORDS, *DOT_WORDS}.isdisjoint(words)
-    if spoken or any(c in lower for c in "[({<") and BRACKET_HINT.search(lower):
+    if spoken or any(c in lower for c in "[({<") and (BRACKETED_AT.search(lower) or BRACKETED_DOT.search(lower)):
         at_and_dot(tape, spoken)
     if tape.text == text:
         return []
     found = [(kind, tape.starts[start], tape.ends[end - 1]) for kind, start, end in detect(tape.text)]
-    return [s for s in found if not any(s[0] == p[0] and s[1] < p[2] and p[1] < s[2] for p in plain)]
+    return _uncovered(found, plain)
+
+
+def _uncovered(found: list[tuple[str, int, int]], plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The found spans, in order of starts within a kind, that no plain one of the kind covers."""
+    ends = {kind: [(a, b) for k, a, b in plain if k == kind] for kind in KINDS}
+    starts = {kind: [a for a, _ in spans] for kind, spans in ends.items()}
+    out = []
+    for kind, a, b in found:
+        # Plain spans of a kind do not overlap, so only the last that begins at or before a can cover it.
+        at = bisect_right(starts[kind], a) - 1
+        if at < 0 or ends[kind][at][1] < b:
+            out.append((kind, a, b))
+    return out
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, whether it was plainly written), by kind as in KINDS, then by start."""
     plain = detect(text)
     found = [(*s, True) for s in plain] + [(*s, False) for s in disguised(text, plain)]
-    return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return sorted(found, key=lambda s: (KINDS.index(s[0]), *s[1:3]))
 
 
 def redacted(text: str) -> str:
@@ -247,7 +335,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("plain", pa.bool_())])
-        for batch in batches:
+        for batch in pieces(batches):
             spans = [
                 [dict(zip(("kind", "start", "end", "plain"), s, strict=True)) for s in spans_of(text)]
                 for text in batch.column(1).to_pylist()
@@ -260,11 +348,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """The same table with personal data in `column` replaced; a null text stays null."""
 
-    @F.pandas_udf(T.StringType())
-    def clean(values):
-        return values.map(redacted, na_action="ignore")
+    place = docs.columns.index(column)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, place):
+            said = [None if text is None else redacted(text) for text in batch.column(place).to_pylist()]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(said, batch.schema.field(place).type))
 
-    return docs.withColumn(column, clean(docs[column]))
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
