@@ -4,7 +4,7 @@ Sets are the distinct hashes of n-word shingles. Equal sets are one representati
 count vector, how many shingles fall into each of GROUPS groups, is a point; the coordinate minima of two points,
 summed, bound the overlap, for boxes of points as for points, so an R-tree over the points, packed by sorting and tiling, is joined with itself level
 by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, and only
-the sets of those that remain are shuffled and compared.
+the sets of those that remain are shuffled and compared; both are done in cells of blocks of sets, so that what is shuffled does not grow with the pairs.
 
 Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys, and trees lie in different
 tasks; the points of a key that very many sets share are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.llm.common import HOT, drop, joined, pieces, read, stored, texts
@@ -44,7 +44,7 @@ SMALL = 8
 CHUNK = 256
 #: Pairs of points that leave a task together.
 PAIRS = 100_000
-#: Points of a hot group in one block.
+#: Points of a hot group in one block, and sets of a block of compared().
 BLOCK = 2048
 ORACLE_SQL = rf"""WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
@@ -291,25 +291,50 @@ def celled(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.withColumn("_cell", F.explode(cells)).select(*grouped.columns, "_cell.*")
 
 
-def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the minima of their fine count vectors do not rule out; vectors: rep, fine."""
+def compared(pairs: DataFrame, vectors: DataFrame, opened, alike) -> DataFrame:
+    """The pairs (a, b) of a stored table for which alike(opened(value of a), opened(value of b)); vectors: rep, value (binary).
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in pieces(batches, 2):
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(expand(a), "<u4"), np.frombuffer(expand(b), "<u4")
-                keep.append((100 + percent) * int(np.minimum(a, b).sum()) >= percent * int(a.sum() + b.sum()))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    Reps are dealt into blocks of about BLOCK, and a pair belongs to the cell of the blocks of both. A value goes once to each cell that has pairs of it, and not once
+    to each pair, so neither many pairs around one passage nor a head of very many texts make more of it; a task goes through its cells one by one, and holds one's values.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    blocks = F.lit(1 + ends.count() // BLOCK)
+    block = lambda rep: F.pmod(F.xxhash64(rep), blocks)
+    placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
+    asked = placed.select("i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct().join(vectors.toDF("rep", "value"), "rep")
+    none = F.lit(None).cast("long")
+    rows = asked.select("i", "j", none.alias("a"), F.col("rep").alias("b"), "value").unionByName(placed.withColumn("value", F.lit(None).cast("binary")))
 
-    left, right = vectors.toDF("a", "fine_a"), vectors.toDF("b", "fine_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "fine_a", "fine_b").mapInArrow(compare, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+        for batch in pieces(batches, 4):
+            out = []
+            for i, j, a, b, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (i, j) != cell:
+                    cell, held = (i, j), {}
+                if a is None:
+                    held[b] = opened(value)
+                elif alike(held[a], held[b]):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    # Values come before the pairs of their cell: a is null.
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.asc_nulls_first("a")).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b), as a table, whose sets are similar: a's set travels to b's, grouped by neither."""
-    pairs = stored(bounded(pairs, vectors, percent))
+    """The pairs (a, b), as a table, whose sets are similar: first those that the minima of fine count vectors do not rule out, of these those that are."""
+
+    def counts(value: bytes) -> tuple[np.ndarray, int]:
+        vector = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), "<u4")
+        return vector, int(vector.sum())
+
+    def near(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> bool:
+        return (100 + percent) * int(np.minimum(a[0], b[0]).sum()) >= percent * (a[1] + b[1])
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -317,21 +342,13 @@ def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, perc
             found = [shingles(text, hashes, n).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
+    given = stored(pairs)
+    pairs = stored(compared(given, vectors, counts, near))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
     known = stored(rows.mapInArrow(sets, "rep long, set binary"))
-    left, right = known.toDF("a", "set_a"), known.toDF("b", "set_b")
-    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
-    drop(pairs, known)
+    out = stored(compared(pairs, known, lambda value: np.frombuffer(value, np.uint64), linked).distinct())
+    drop(given, pairs, known)
     return out
 
 
@@ -369,8 +386,14 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose component has no lower doc_id, with all their columns."""
+    """The documents whose component has no lower doc_id, with all their columns; of rows with the same doc_id and text, one."""
     kept = classes(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    if not repeated.isEmpty():
+        again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_id"]), "left_semi")
+        copies = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.xxhash64(*docs.columns))
+        one = again.select("*", F.row_number().over(copies).alias("_copy")).where("_copy = 1").drop("_copy")
+        docs = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_id"]), "left_anti").unionByName(one)
     return docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
 
 

@@ -163,3 +163,28 @@ def test_decontamination_short_items_and_other_ids(spark):
     items = spark.createDataFrame([("a", "Compute 3 + 4"), ("b", "!!"), ("c", "Anna sells red shells here")], "item_id string, text string")
     docs = spark.createDataFrame([(1, "Compute 3 + 4"), (2, "x\ncompute 3 +4.\ny"), (3, "Now compute 3 + 4"), (4, "Compute 3 + 5"), (5, "he said anna sells red shells here !!")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(1, "a"), (2, "a"), (5, "c")}
+
+
+def test_one_of_equal_rows_stays(spark, odd):
+    """Repeated rows, also of a null doc_id, other columns or none; different texts of one doc_id are one document and stay together."""
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "a b c d e f g", "x"), (3, None, None), (3, None, None), (4, "", "x"), (5, "one text", "x"), (5, "other text", "x"), (5, "one text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _copy string")
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(docs.withColumnRenamed("_copy", "lang")).collect())
+    assert kept == Counter([(1, "a b c d e f g"), (3, None), (4, ""), (5, "one text"), (5, "other text")])
+    again = jaccard.one_of_each(odd)
+    assert again.count() == again.select("doc_id", "text").distinct().count()
+
+
+def test_a_hot_head_is_dealt_over_cells(spark, monkeypatch):
+    """One text with very many partners: its value goes to a cell for each block of theirs, and no task has them all."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+    pairs = spark.range(1, 20_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    vectors = spark.range(20_001).select(F.col("id").alias("rep"), F.encode(F.col("id").cast("string"), "utf-8").alias("value"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = jaccard.compared(pairs, vectors, int, lambda a, b: (a + b) % 3 == 0)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sorted(r.a for r in found.collect()) == list(range(3, 20_001, 3))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
