@@ -212,7 +212,7 @@ def _closed_spans(spark, d):
 def _states(spark, d):
     """The state of every source after its logs, kept by the stream."""
     folder = shared_dir(spark)
-    streams.run_once(streams.source_states(_log_stream(spark, d)), f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), mode="update")
+    streams.run_keyed(streams.source_states(_log_stream(spark, d)), f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), mode="update")
     out = spark.read.parquet(f"{folder}/out")
     last = out.groupBy("source_id").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("source_id", "batch")]), "batch").alias("s"))
     return last.select("source_id", "s.*").withColumn("average_new", F.round("average_new", 6))
@@ -225,8 +225,8 @@ def _page_stream(spark, d):
 
 def _stream_exact(spark, d):
     folder = shared_dir(spark)
-    streams.run_once(_page_stream(spark, d), f"{folder}/checkpoint", streams.exact_url_batches(f"{folder}/out"))
-    return spark.read.parquet(f"{folder}/out").select("id", "url_hash", "duplicate_of")
+    streams.run_keyed(streams.exact_url_stream(_page_stream(spark, d)), f"{folder}/checkpoint", path=f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out")
 
 
 def _stream_within(spark, d):

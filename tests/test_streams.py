@@ -20,7 +20,7 @@ def test_exact_url_in_batches(spark, tmp_path):
     for k, part in enumerate((pages.where("id < 20"), pages.where("id >= 20 AND id < 1010"), pages.where("id >= 1010"))):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = streams.read_stream(spark, f"{folder}/in", pages.schema)
-        streams.run_once(stream, f"{folder}/checkpoint", streams.exact_url_batches(f"{folder}/out"))
+        streams.run_keyed(streams.exact_url_stream(stream), f"{folder}/checkpoint", path=f"{folder}/out")
         assert spark.read.parquet(f"{folder}/out").count() == [20, pages.where("id < 1010").count(), pages.count()][k]
     found = {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("id", "url_hash", "duplicate_of").collect()}
     assert found == {tuple(r) for r in dedup.exact_url(pages).collect()}
@@ -35,7 +35,8 @@ def test_states_in_batches(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = streams.read_stream(spark, f"{folder}/in", logs.schema)
         keep = lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{folder}/out")
-        streams.run_once(streams.source_states(stream), f"{folder}/checkpoint", keep, mode="update")
+        # Each run goes on from the checkpoint of the one before.
+        streams.run_keyed(streams.source_states(stream), f"{folder}/checkpoint", keep, mode="update")
     rows = {}
     for r in spark.read.parquet(f"{folder}/out").orderBy("n").collect():
         rows[r.source_id] = r
@@ -58,7 +59,66 @@ def test_cascade_in_batches(spark, tmp_path):
         named.where((F.col("crawled_at") >= first) & (F.col("crawled_at") < last)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         streams.run_once(streams.read_stream(spark, f"{folder}/in", named.schema), f"{folder}/checkpoint", streams.cascade_batches(f"{folder}/out", cosine=0.4))
     found = {r.id: (r.dedup_level, r.duplicate_of) for r in spark.read.parquet(f"{folder}/out").collect()}
-    whole = dedup.resolve_cascade(named, dedup.near_titles(named), dedup.shared_entities(named), dedup.similar_vectors(named, 0.4))
+    whole = dedup.cascade(named, dedup.near_titles(named), dedup.similar_vectors(named, 0.4))
     assert found == {r.id: (r.dedup_level, r.duplicate_of) for r in whole.collect()}
     roots = {r.id: r.cluster for r in streams.stream_clusters(spark, f"{folder}/out").collect()}
     assert roots == {r.id: r.cluster for r in clusters.assign_clusters(whole).collect()}
+
+
+def test_history_is_read_by_folder(spark, tmp_path):
+    """A batch reads the days of its look-back and the batches before it; replayed, it writes its own folders anew."""
+    path = f"file://{tmp_path}/out"
+    made = lambda first, n: spark.range(first, first + n).select("id", (F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("crawled_at"))
+    for batch, (first, n) in enumerate([(0, 10), (10, 10), (18, 4), (18, 4)]):
+        streams._write(made(first, n), path, min(batch, 2))
+    assert spark.read.parquet(path).count() == 24
+    stored = streams._before(spark, path, "id long, crawled_at timestamp", 2, datetime(2024, 1, 15, 12))
+    assert sorted(r.id for r in stored.collect()) == [15, 16, 17, 18, 19]
+    plan = stored._jdf.queryExecution().toString()
+    filters = next(line for line in plan.split("\n") if "PartitionFilters" in line)
+    assert "crawl_date" in filters.split("PartitionFilters")[1].split("]")[0] and "batch" in filters.split("PartitionFilters")[1].split("]")[0]
+    assert streams._before(spark, f"{path}-none", "id long, crawled_at timestamp", 2, None).count() == 0
+
+
+LOG = "id long, source_id long, started_at timestamp, status string, articles_found int, articles_new int"
+
+
+def _states(spark, folder, parts, **options):
+    """The last state of each source after parts of logs (source, day, status), a batch each."""
+    n = 0
+    for part in parts:
+        rows = []
+        for source, day, status in part:
+            n += 1
+            rows.append((n, source, datetime(2024, 1, 1) + timedelta(days=day), status, 4, 1))
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = streams.read_stream(spark, f"{folder}/in", spark.createDataFrame([], LOG).schema)
+        keep = lambda df, k: df.withColumn("k", F.lit(k)).write.mode("append").parquet(f"{folder}/out")
+        streams.run_keyed(streams.source_states(stream, **options), f"{folder}/checkpoint", keep, mode="update")
+    return {r.source_id: (r.status, r.consecutive_errors, r.crawl_count) for r in spark.read.parquet(f"{folder}/out").orderBy("k").collect()}
+
+
+def test_idle_sources_are_archived_and_late_logs_left_out(spark, tmp_path):
+    parts = [[(1, 0, "success"), (2, 0, "error"), (3, 0, "success")], [(1, 5, "success"), (2, 40, "success")], [(3, 20, "success"), (2, 41, "success")], [(2, 80, "error"), (1, 81, "success")]]
+    found = _states(spark, f"file://{tmp_path}", parts, idle_days=30)
+    # Source 3 went idle; its log of day 20 came when day 40 was over. Source 1 was archived after day 35 and came back.
+    assert found == {1: ("active", 0, 3), 2: ("active", 1, 2), 3: ("archived", 0, 1)}
+
+
+def test_states_go_on_from_the_batch_fold(spark, tmp_path):
+    past = [(k, 1, datetime(2023, 12, 1) + timedelta(hours=k), "error", 0, 0) for k in range(4)] + [(k, 2, datetime(2023, 12, 1) + timedelta(hours=k), "success", 4, 4) for k in range(3)]
+    initial = streams.initial_states(spark.createDataFrame(past, LOG))
+    found = _states(spark, f"file://{tmp_path}", [[(1, 0, "error"), (2, 0, "success"), (3, 0, "error")]], initial=initial)
+    assert found == {1: ("degraded", 5, 0), 2: ("active", 0, 4), 3: ("active", 1, 0)}
+
+
+def test_a_steady_query(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, datetime(2024, 1, 1), "success", 1, 1)], LOG).write.parquet(f"{folder}/in")
+    stream = streams.read_stream(spark, f"{folder}/in", spark.createDataFrame([], LOG).schema)
+    query = streams.run_steadily(stream, f"{folder}/checkpoint", path=f"{folder}/out", every="1 second")
+    try:
+        query.processAllAvailable()
+        assert spark.read.parquet(f"{folder}/out").count() == 1 and query.isActive
+    finally:
+        query.stop()
