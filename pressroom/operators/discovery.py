@@ -10,6 +10,8 @@ from pressroom.functions.urls import url_domain
 
 #: Mentions from which a candidate is worth analysing.
 WORTH = 5
+#: Articles that are shown of those that mention a domain.
+SHOWN = 50
 
 
 def exploded_links(articles: DataFrame) -> DataFrame:
@@ -30,12 +32,30 @@ def judged_links(links: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return recent.withColumn("verdict", verdict)
 
 
-def mine_link_candidates(links: DataFrame, now: Column, hours: int = 24) -> DataFrame:
-    """domain, mentions, discovered_from: the domains that recent articles link to, each article once, by article id."""
+def link_mentions(links: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """domain, article_id, mentions, article_title, url: the domains that recent articles link to, a row for each article of each; title and link are those of the least link."""
     found = judged_links(links, now, hours).where("verdict = 'candidate'")
-    by_article = found.groupBy("domain", "article_id").agg(F.count("*").alias("n"), F.min(F.struct("article_title", "url")).alias("first"))
-    named = F.struct("article_id", "first.article_title", "first.url")
-    return by_article.groupBy("domain").agg(F.sum("n").alias("mentions"), F.array_sort(F.collect_list(named)).alias("discovered_from"))
+    by_article = found.groupBy("domain", "article_id").agg(F.count("*").alias("mentions"), F.min(F.struct("article_title", "url")).alias("first"))
+    return by_article.select("domain", "article_id", "mentions", "first.article_title", "first.url")
+
+
+def with_mentions(domains: DataFrame, mentions: DataFrame, most: int = SHOWN) -> DataFrame:
+    """The domains with articles, how many mention them, and discovered_from: the first `most` of these, by article id. mentions: domain, article_id, article_title, url.
+
+    Mentions are counted before they are shuffled, and ranked in parts before they are by domain, so a domain that very many articles link to is no single row or task.
+    """
+    known = mentions.select("domain", "article_id", "article_title", "url")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("domain", *by).orderBy("article_id"))
+    few = known.withColumn("_rank", rank(F.pmod(F.xxhash64("article_id"), F.lit(64)))).where(F.col("_rank") <= most)
+    few = few.withColumn("_rank", rank()).where(F.col("_rank") <= most)
+    shown = few.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("article_id", "article_title", "url"))).alias("discovered_from"))
+    return domains.join(known.groupBy("domain").agg(F.count("*").alias("articles")), "domain", "left").fillna(0, ["articles"]).join(shown, "domain", "left")
+
+
+def mine_link_candidates(links: DataFrame, now: Column, hours: int = 24, most: int = SHOWN) -> DataFrame:
+    """domain, mentions, articles, discovered_from: the domains that recent articles link to; mentions counts every link, articles each article once."""
+    found = link_mentions(links, now, hours)
+    return with_mentions(found.groupBy("domain").agg(F.sum("mentions").alias("mentions")), found, most)
 
 
 def mining_stats(links: DataFrame, now: Column, hours: int = 24) -> DataFrame:
@@ -52,33 +72,29 @@ def exclude_sources(mined: DataFrame, sources: DataFrame) -> DataFrame:
     return mined.join(sources.select("domain").distinct(), "domain", "left_anti")
 
 
-def merge_candidates(existing: DataFrame, mined: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
-    """The candidates after a run of mining; domains that are sources already are left alone.
+def merge_candidates(existing: DataFrame, known: DataFrame, mined: DataFrame, sources: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The candidates after a run of mining, and the mentions that it adds; domains that are sources already are left alone.
 
-    A known candidate gains one mention a run and the articles it did not list; a new one starts with its links. Either awaits analysis
-    from WORTH mentions, the known one only if it was never analysed.
-    existing: domain, url, mention_count, discovered_from, first_seen_at, last_seen_at, auto_analysis, status.
+    A known candidate gains one mention a run, a new one starts with its links. Either awaits analysis from WORTH mentions, the known one only if it was never
+    analysed. existing: domain, url, mention_count, first_seen_at, last_seen_at, auto_analysis, status; known: the mentions so far (domain, article_id,
+    article_title, url), to which what comes second is to be appended; mined: link_mentions of the run. with_mentions shows what mentions a candidate.
     """
     new = exclude_sources(mined, sources)
-    both = existing.join(new, "domain", "full_outer").select(
-        "domain", *(existing[c] for c in existing.columns if c not in ("domain", "discovered_from")), existing["discovered_from"].alias("_old"), "mentions", new["discovered_from"].alias("_new")
-    )
-    seen, known = F.col("mentions").isNotNull(), F.col("mention_count").isNotNull()
-    count = F.when(known & seen, F.col("mention_count") + 1).otherwise(F.coalesce("mention_count", "mentions"))
-    ids = F.transform(F.coalesce("_old", F.array()), lambda s: s["article_id"])
-    added = F.filter("_new", lambda s: ~F.array_contains(ids, s["article_id"]))
-    listed = F.when(F.col("_new").isNull(), F.col("_old")).when(F.col("_old").isNull(), F.col("_new")).otherwise(F.concat("_old", added))
+    added = new.join(known.select("domain", "article_id"), ["domain", "article_id"], "left_anti").select("domain", "article_id", "article_title", "url")
+    both = existing.join(new.groupBy("domain").agg(F.sum("mentions").alias("mentions")), "domain", "full_outer")
+    seen, listed = F.col("mentions").isNotNull(), F.col("mention_count").isNotNull()
+    count = F.when(listed & seen, F.col("mention_count") + 1).otherwise(F.coalesce("mention_count", "mentions"))
     asks = seen & (count >= WORTH) & F.col("auto_analysis").isNull()
-    return both.select(
+    candidates = both.select(
         "domain",
         F.coalesce("url", F.concat(F.lit("https://"), "domain")).alias("url"),
         count.cast("long").alias("mention_count"),
-        listed.alias("discovered_from"),
         F.coalesce("first_seen_at", now).alias("first_seen_at"),
         F.when(seen, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         "auto_analysis",
         F.when(asks, "pending_analysis").otherwise(F.coalesce("status", F.lit("new"))).alias("status"),
     )
+    return candidates, added
 
 
 def pending_candidates(candidates: DataFrame, most: int = 20) -> DataFrame:

@@ -106,7 +106,7 @@ def _mined(spark, d, hours=24):
 
 
 def _mined_row(spark, d):
-    return _mined(spark, d).select("domain", "mentions", F.size("discovered_from").alias("articles"), F.get("discovered_from", 0)["article_id"].alias("first_article"))
+    return _mined(spark, d).select("domain", "mentions", F.col("articles").cast("int").alias("articles"), F.get("discovered_from", 0)["article_id"].alias("first_article"))
 
 
 def _candidates(spark, d):
@@ -115,15 +115,17 @@ def _candidates(spark, d):
     asked = F.length("domain") % 3 == 0
     analysis = F.from_json(F.when(asked, '{"is_automotive": true, "confidence": 0.9, "language": "de", "country": "DE"}'), LF.ANALYSIS)
     return old.select(
-        "domain", F.concat(F.lit("https://"), "domain").alias("url"), F.col("mentions").alias("mention_count"), "discovered_from", now("2024-01-02").alias("first_seen_at"),
+        "domain", F.concat(F.lit("https://"), "domain").alias("url"), F.col("mentions").alias("mention_count"), now("2024-01-02").alias("first_seen_at"),
         now("2024-01-06").alias("last_seen_at"), analysis.alias("auto_analysis"), F.lit("new").alias("status"),
     )
 
 
 def _merged(spark, d):
     known = _candidates(spark, d).select(F.col("domain")).where("length(domain) % 5 = 0")
-    out = discovery.merge_candidates(_candidates(spark, d), _mined(spark, d), known, now())
-    return out.select("domain", "mention_count", F.size("discovered_from").alias("articles"), "last_seen_at", "status")
+    before = discovery.link_mentions(views.links(spark, d), F.lit("2024-01-07").cast("timestamp"), 24 * 6)
+    out, added = discovery.merge_candidates(_candidates(spark, d), before, discovery.link_mentions(views.links(spark, d), now()), known, now())
+    shown = discovery.with_mentions(out, before.select(added.columns).unionByName(added))
+    return shown.select("domain", "mention_count", F.col("articles").cast("int").alias("articles"), "last_seen_at", "status")
 
 
 def _excluded(spark, d):

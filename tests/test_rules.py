@@ -315,14 +315,25 @@ def test_mining_and_merging(spark):
     assert [(r.domain, r.mentions, [d.article_id for d in r.discovered_from]) for r in mined.collect()] == [("carnews.org", 5, [1, 2, 3, 4])]
     assert tuple(discovery.mining_stats(df, now).first()) == (8, 5, 3, 1)
     kinds = (
-        "domain string, url string, mention_count long, discovered_from array<struct<article_id:bigint,article_title:string,url:string>>, first_seen_at timestamp, "
+        "domain string, url string, mention_count long, first_seen_at timestamp, "
         f"last_seen_at timestamp, auto_analysis struct<{', '.join(':'.join(c.split()) for c in links.ANALYSIS.split(', '))}>, status string"
     )
-    known = spark.createDataFrame([("carnews.org", "u", 3, [(2, "t", "u")], NOW, NOW, None, "new"), ("other.org", "u", 9, [], NOW, NOW, None, "rejected")], kinds)
-    none = spark.createDataFrame([], "domain string")
-    merged = {r.domain: r for r in discovery.merge_candidates(known, mined, none, now).collect()}
-    assert (merged["carnews.org"].mention_count, merged["carnews.org"].status) == (4, "new")
-    assert [d.article_id for d in merged["carnews.org"].discovered_from] == [2, 1, 3, 4] and merged["other.org"].status == "rejected"
-    fresh = discovery.merge_candidates(known.where("false"), mined, none, now).first()
+    known = spark.createDataFrame([("carnews.org", "u", 3, NOW, NOW, None, "new"), ("other.org", "u", 9, NOW, NOW, None, "rejected")], kinds)
+    before = spark.createDataFrame([("carnews.org", 2, "t", "u")], "domain string, article_id long, article_title string, url string")
+    none, found = spark.createDataFrame([], "domain string"), discovery.link_mentions(df, now)
+    out, added = discovery.merge_candidates(known, before, found, none, now)
+    assert sorted(r.article_id for r in added.collect()) == [1, 3, 4]
+    merged = {r.domain: r for r in discovery.with_mentions(out, before.unionByName(added), 3).collect()}
+    assert (merged["carnews.org"].mention_count, merged["carnews.org"].status, merged["carnews.org"].articles) == (4, "new", 4)
+    assert [d.article_id for d in merged["carnews.org"].discovered_from] == [1, 2, 3]
+    assert (merged["other.org"].status, merged["other.org"].articles, merged["other.org"].discovered_from) == ("rejected", 0, None)
+    fresh = discovery.merge_candidates(known.where("false"), before.where("false"), found, none, now)[0].first()
     assert (fresh.mention_count, fresh.status) == (5, "pending_analysis")
-    assert discovery.merge_candidates(known.where("false"), mined, mined.select("domain"), now).count() == 0
+    assert discovery.merge_candidates(known.where("false"), before, found, mined.select("domain"), now)[0].count() == 0
+
+
+def test_a_domain_of_very_many_mentions(spark):
+    """Shuffled by domain are counts and a few shown mentions of each part, not the mentions."""
+    mentions = spark.range(200_000).select(F.lit("hot.org").alias("domain"), F.col("id").alias("article_id"), F.lit("t").alias("article_title"), F.lit("u").alias("url"))
+    row = discovery.with_mentions(mentions.select("domain").distinct(), mentions, 5).first()
+    assert row.articles == 200_000 and [d.article_id for d in row.discovered_from] == [0, 1, 2, 3, 4]
