@@ -33,11 +33,36 @@ def normalized(url: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def normalize_url(urls: pd.Series) -> pd.Series:
-    """Null stays null; a malformed URL is kept as it is."""
+def _normalize_odd(urls: pd.Series) -> pd.Series:
     return urls.map(normalized, na_action="ignore")
 
 
+_word = "[A-Za-z0-9._~-]*"
+_pair = f"{_word}(?:={_word})?"
+#: Addresses whose parts stand as they are: nothing is escaped, a query is plain pairs, no parameters in the path.
+PLAIN = rf"^[A-Za-z][A-Za-z0-9+.-]*://(?!(?i:www\.)(?:[/?#]|$))[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~!$&'()*+,=:@%/-]*)?(?:\?{_pair}(?:&{_pair})*)?(?:#.*)?$"
+
+
+def _normalize_plain(url: Column) -> Column:
+    """The normal form of an address like PLAIN whose query names no parameter twice; else null."""
+    scheme, host = F.lower(F.regexp_extract(url, "^([^:]*):", 1)), F.regexp_replace(F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), r"^www\.", "")
+    path = F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
+    path = F.when(path.endswith("/") & (path != "/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
+    name = lambda pair: F.substring_index(pair, "=", 1)
+    good = lambda pair: pair.contains("=") & ~pair.endswith("=") & ~F.lower(name(pair)).isin(*TRACKING)
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), good)
+    names = F.transform(pairs, name)
+    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+    return F.when(url.rlike(PLAIN) & (F.size(F.array_distinct(names)) == F.size(names)), F.concat(scheme, F.lit("://"), host, path, query))
+
+
+def normalize_url(url: Column | str) -> Column:
+    """Null stays null; a malformed URL is kept as it is. Only addresses that are not PLAIN are sent to Python."""
+    url = F.col(url) if isinstance(url, str) else url
+    plain = _normalize_plain(url)
+    return F.coalesce(plain, _normalize_odd(F.when(plain.isNull(), url)))
+
+
 def url_hash(url: Column) -> Column:
     return F.sha2(normalize_url(url), 256)
 

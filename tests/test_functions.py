@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def test_near_titles_window(spark):
     rows = [(1, "Same title here", "en", 0), (2, "same TITLE here!", "en", 6), (3, "Same title here", "de", 6), (4, "Same title here", "en", 8)]
     df = spark.createDataFrame(rows, "id long, title string, language string, day int").withColumn("crawled_at", F.timestamp_seconds(F.col("day") * 86400))
     assert {(r.id, r.duplicate_of) for r in dedup.near_titles(df).collect()} == {(2, 1), (4, 2)}
+
+
+def test_plain_addresses_are_normalized_alike(spark):
+    """Expressions give what the parser gives, or leave an address to it."""
+    rng = random.Random(6)
+    parts = ["http", "HTTPS", "://", "://", "www.", "WWW.", "Example.com", ":80", "/", "/", "a", "b.html", ";x", "?", "?", "&", "&", "=", "=", "id", "utm_source", "REF", "1", "%20", "+", "#", "é", "~", "[", "@", " "]
+    rows = [("".join(rng.choices(["http://", "HTTPS://www.", "ftp://", ""], [5, 5, 1, 1])[0:1] + rng.choices(parts, k=rng.randrange(1, 14))),) for _ in range(20_000)]
+    rows += [(f"http://a.com/x?{'&'.join(f'{rng.choice("abcREF")}={rng.choice(["", "1", "2"])}' for _ in range(rng.randrange(5)))}",) for _ in range(2_000)]
+    df = spark.createDataFrame([*rows, (None,)], "url string")
+    found = df.select("url", urls._normalize_plain(F.col("url")).alias("plain"), urls.normalize_url("url").alias("normal")).collect()
+    assert all(r.normal == (r.url if r.url is None else urls.normalized(r.url)) for r in found)
+    assert sum(r.plain is not None for r in found) > 4_000
