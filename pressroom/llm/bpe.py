@@ -6,8 +6,8 @@ equals, with a heap of candidate pairs over a doubly linked list of its bytes, i
 O(n log n) for n bytes. Every worker remembers the words it has met, so that the tiers run once for each.
 
 Defined results: a null or empty text has no ids and decodes to no bytes. Ids outside
-the vocabulary raise when decoded. Repeated rows are encoded one by one; columns other
-than doc_id and text are not read.
+the vocabulary raise when decoded. Repeated rows are encoded one by one, an empty table gives no rows, and pairs of one rank are merged from the
+left. Very long texts are encoded whole, few at a time; a word of n bytes takes O(n log n). Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ byte by byte to both sides. Spans of LEAST_RUN bytes or more are removed, shorte
 Seeds are compared with their first occurrence only: a passage all of whose seeds occurred still earlier within other, shorter
 repeats stays.
 
-Defined results: null and empty texts have no chunks and stay as they are. Rows of equal doc_id and text are one document. Removed spans
+A chunk is taken to be SEED bytes long at most, so its digest is that of a seed; what lies between it and the next cut has no digest of its own and is found by extension.
+
+Defined results: null and empty texts have no chunks and stay as they are. Rows of equal doc_id and text are one document, its first occurrence and not a repeat of itself; of
+equal seeds the one of the least (doc_id, hash of the text, place) is the first. Very long texts are chunked whole. An empty table gives no rows. Removed spans
 are byte offsets. Columns other than doc_id and text are not read.
 """
 

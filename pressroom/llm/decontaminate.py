@@ -11,8 +11,8 @@ benchmark; the join decides, by the template itself. A benchmark of up to MOST_B
 salted by document.
 
 Defined results: null and empty texts match nothing. Items of fewer than LEAST_TOKENS tokens match only where they are a whole line, items
-of fewer than WINDOW tokens as one window, items without tokens nothing. item_id may be of any type. Very long texts are read whole. Repeated rows of either table are matched once. An empty benchmark matches nothing. Extra columns
-are passed on by clean() and not read otherwise.
+of fewer than WINDOW tokens as one window, items without tokens nothing. item_id may be of any type. Very long texts are read whole. Repeated rows of either table are matched once, but clean() drops or keeps each of them. Ties between values' partners go to the lesser
+one. An empty benchmark matches nothing, an empty documents table gives no rows. Extra columns are passed on by clean() and not read otherwise.
 """
 
 from __future__ import annotations

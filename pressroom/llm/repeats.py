@@ -1,13 +1,13 @@
 """Exact removal of long repeats: every byte covered by a string of LENGTH bytes that starts anywhere else too.
 
-A family of indexes of geometric sizes, over sampled suffixes. The anchor of a string of LENGTH bytes is its GRAM of least hash, so equal
+A family of indexes of geometric sizes, of fingerprints of sampled suffixes: no suffix array is stored, and only strings that anchors leave open are sorted. The anchor of a string of LENGTH bytes is its GRAM of least hash, so equal
 strings have equal anchors, and only suffixes at anchors are indexed, about one in seventy. An entry is an anchor and a digest of its context: the
 bytes of all strings in a row that have this anchor. A new batch of documents gets its entries sorted by anchor, is merge-scanned against
 every level for anchors that recur, and becomes a level; two levels of one size merge into one of twice the size.
 
 Of the anchors that recur, contexts that occur twice settle all their strings. Contexts that occur once are compared with the others of their
 anchor string by string: the bytes of the contexts of one anchor meet in a task, all their strings are put in order of their
-fingerprints, a suffix array cut at LENGTH bytes, and neighbours are compared byte by byte. Anchors with more than MOST contexts are
+fingerprints, and neighbours are compared byte by byte. Anchors with more than MOST contexts are
 too large for one task; their strings are grouped by 128-bit digests.
 
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing. Repeated rows repeat each other
