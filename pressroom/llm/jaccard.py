@@ -3,8 +3,8 @@
 Sets are the distinct hashes of n-word shingles. Equal sets are one representative from the start. A
 count vector, how many shingles fall into each of GROUPS groups, is a point; the coordinate minima of two points,
 summed, bound the overlap, for boxes of points as for points, so an R-tree over the points, packed by sorting and tiling, is joined with itself level
-by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, and only
-the sets of those that remain are shuffled and compared; both are done in cells of blocks of sets, so that what is shuffled does not grow with the pairs.
+by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, in cells of blocks of sets, so that what is
+shuffled does not grow with the pairs, and only the sets of those that remain are shuffled and compared.
 
 Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys, and trees lie in different
 tasks; the points of a key that very many sets share are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
@@ -44,7 +44,7 @@ SMALL = 8
 CHUNK = 256
 #: Pairs of points that leave a task together.
 PAIRS = 100_000
-#: Points of a hot group in one block, and sets of a block of compared().
+#: Points of a hot group in one block, sets of a block of bounded(), partners of one set in a task of beside().
 BLOCK = 2048
 ORACLE_SQL = rf"""WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
@@ -291,21 +291,21 @@ def celled(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.withColumn("_cell", F.explode(cells)).select(*grouped.columns, "_cell.*")
 
 
-def compared(pairs: DataFrame, vectors: DataFrame, opened, alike) -> DataFrame:
-    """The pairs (a, b) of a stored table for which alike(opened(value of a), opened(value of b)); vectors: rep, value (binary).
+def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a stored table that the minima of their fine count vectors do not rule out; vectors: rep, fine. For tables with many pairs of few sets.
 
-    Reps are dealt into blocks of about BLOCK, and a pair belongs to the cell of the blocks of both. A value goes once to each cell that has pairs of it, and not once
-    to each pair, so neither many pairs around one passage nor a head of very many texts make more of it; a task goes through its cells one by one, and holds one's values.
+    Reps are dealt into blocks of about BLOCK, and a pair belongs to the cell of the blocks of both. A vector goes once to each cell that has pairs of it, and not once
+    to each pair, so many pairs around one passage make no more of it; a task goes through its cells one by one, and holds one's vectors.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    blocks = F.lit(1 + ends.count() // BLOCK)
+    both = lambda df: df.select("a").union(df.select("b")).toDF("rep")
+    blocks = F.lit(1 + both(pairs).distinct().count() // BLOCK)
     block = lambda rep: F.pmod(F.xxhash64(rep), blocks)
     placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
-    asked = placed.select("i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct().join(vectors.toDF("rep", "value"), "rep")
-    none = F.lit(None).cast("long")
-    rows = asked.select("i", "j", none.alias("a"), F.col("rep").alias("b"), "value").unionByName(placed.withColumn("value", F.lit(None).cast("binary")))
+    asked = placed.select("i", "j", F.col("a").alias("rep")).union(placed.select("i", "j", "b")).distinct().join(vectors, "rep")
+    rows = asked.select("i", "j", F.lit(None).cast("long").alias("a"), F.col("rep").alias("b"), "fine").unionByName(placed.withColumn("fine", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         cell, held = None, {}
         for batch in pieces(batches, 4):
             out = []
@@ -313,42 +313,62 @@ def compared(pairs: DataFrame, vectors: DataFrame, opened, alike) -> DataFrame:
                 if (i, j) != cell:
                     cell, held = (i, j), {}
                 if a is None:
-                    held[b] = opened(value)
-                elif alike(held[a], held[b]):
-                    out.append((a, b))
+                    vector = np.frombuffer(expand(value), "<u4")
+                    held[b] = vector, int(vector.sum())
+                else:
+                    (one, n), (two, m) = held[a], held[b]
+                    if (100 + percent) * int(np.minimum(one, two).sum()) >= percent * (n + m):
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
 
-    # Values come before the pairs of their cell: a is null.
+    # Vectors come before the pairs of their cell: a is null.
     return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.asc_nulls_first("a")).mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b), as a table, whose sets are similar: first those that the minima of fine count vectors do not rule out, of these those that are."""
+def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a stored table with value_a and value_b; values: rep, value. A value of a goes to that of b; the partners of a b that has more than BLOCK are dealt over several tasks."""
+    salts = F.ceil(F.col("count") / BLOCK).cast("int").alias("salts")
+    many = pairs.groupBy("b").count().where(F.col("count") > BLOCK).select("b", salts)  # one row for BLOCK pairs at most
+    left = pairs.join(F.broadcast(many), "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int"))
+    right = values.toDF("b", "value_b").join(F.broadcast(many), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return left.join(values.toDF("a", "value_a"), "a").select("a", "b", "salt", "value_a").join(right.select("b", "salt", "value_b"), ["b", "salt"]).select("a", "b", "value_a", "value_b")
 
-    def counts(value: bytes) -> tuple[np.ndarray, int]:
-        vector = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), "<u4")
-        return vector, int(vector.sum())
 
-    def near(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> bool:
-        return (100 + percent) * int(np.minimum(a[0], b[0]).sum()) >= percent * (a[1] + b[1])
-
-    def linked(a: np.ndarray, b: np.ndarray) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= percent * (len(a) + len(b) - both)
+def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, percent: int, crowded: bool = False) -> DataFrame:
+    """The pairs (a, b), as a table, whose sets are similar; vectors: rep, fine. crowded: there are many pairs of few sets, which are bounded by fine vectors in cells."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in pieces(batches):
             found = [shingles(text, hashes, n).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "value"])
+
+    def filtered(rows: DataFrame, alike) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, 2):
+                keep = [alike(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return rows.mapInArrow(compare, "a long, b long")
+
+    def near(a: bytes, b: bytes) -> bool:
+        expand = zstandard.ZstdDecompressor().decompress
+        a, b = np.frombuffer(expand(a), "<u4"), np.frombuffer(expand(b), "<u4")
+        return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * int(a.sum() + b.sum())
+
+    def linked(a: bytes, b: bytes) -> bool:
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
     given = stored(pairs)
-    pairs = stored(compared(given, vectors, counts, near))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    pairs = stored(bounded(given, vectors, percent) if crowded else filtered(beside(given, vectors.withColumnRenamed("fine", "value")), near))
+    drop(given)
+    wanted = pairs.select("a").union(pairs.select("b")).toDF("rep").distinct()
     rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    known = stored(rows.mapInArrow(sets, "rep long, set binary"))
-    out = stored(compared(pairs, known, lambda value: np.frombuffer(value, np.uint64), linked).distinct())
-    drop(given, pairs, known)
+    known = stored(rows.mapInArrow(sets, "rep long, value binary"))
+    out = stored(filtered(beside(pairs, known), linked).distinct())
+    drop(pairs, known)
     return out
 
 
@@ -377,7 +397,7 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     spans = placed.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
     mixed_keys = stored(spans.where("low <> high").select("key", "rows"))
     shared = stored(joined(placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys, ["key"], "rows"))
-    late = verified(candidates(celled(shared.join(placed.drop("keys"), "rep"), mixed_keys), percent), vectors, source, n, percent)
+    late = verified(candidates(celled(shared.join(placed.drop("keys"), "rep"), mixed_keys), percent), vectors, source, n, percent, crowded=True)
     drop(mixed_keys, shared, placed, sets)
     same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(linked.unionByName(late).unionByName(same))

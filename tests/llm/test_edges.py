@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -175,16 +177,32 @@ def test_one_of_equal_rows_stays(spark, odd):
     assert again.count() == again.select("doc_id", "text").distinct().count()
 
 
-def test_a_hot_head_is_dealt_over_cells(spark, monkeypatch):
-    """One text with very many partners: its value goes to a cell for each block of theirs, and no task has them all."""
+def test_a_hot_head_is_dealt_over_tasks(spark, monkeypatch):
+    """One text with very many partners: no task has them all, neither where values travel to it nor in cells of blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", 1000)
     pairs = spark.range(1, 20_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
-    vectors = spark.range(20_001).select(F.col("id").alias("rep"), F.encode(F.col("id").cast("string"), "utf-8").alias("value"))
+    pairs = pairs.unionByName(spark.range(1, 50).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")))
+    values = spark.range(20_001).select(F.col("id").alias("rep"), F.encode(F.col("id").cast("string"), "utf-8").alias("value"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        found = jaccard.compared(pairs, vectors, int, lambda a, b: (a + b) % 3 == 0)
-        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
-        assert sorted(r.a for r in found.collect()) == list(range(3, 20_001, 3))
+        found = jaccard.beside(pairs, values).cache()
+        sizes = [r["count"] for r in found.where("b = 0").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 0.6 * sum(sizes)
+        assert sorted((r.a, r.b) for r in found.collect()) == sorted((r.a, r.b) for r in pairs.collect())
+        assert all((int(r.value_a), int(r.value_b)) == (r.a, r.b) for r in found.collect())
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_bounds_in_cells(spark, monkeypatch, block):
+    """The same pairs pass as one by one, whatever the blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 4, (40, jaccard.FINE)).astype("<u4")
+    counts[20:] = counts[:20] + (rng.random((20, jaccard.FINE)) < 0.2)
+    squeeze = zstandard.ZstdCompressor().compress
+    vectors = spark.createDataFrame([(k, bytearray(squeeze(c.tobytes()))) for k, c in enumerate(counts)], "rep long, fine binary")
+    every = [(a, b) for a in range(40) for b in range(a)]
+    found = {tuple(r) for r in jaccard.bounded(spark.createDataFrame(every, "a long, b long"), vectors, 80).collect()}
+    assert found == {(a, b) for a, b in every if 180 * int(np.minimum(counts[a], counts[b]).sum()) >= 80 * int(counts[a].sum() + counts[b].sum())} and 0 < len(found) < len(every)
