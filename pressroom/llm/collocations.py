@@ -49,32 +49,34 @@ class FmIndex:
 
     def __init__(self, sequence: np.ndarray, depth: int):
         self.sequence = np.append(sequence, np.full(1, _STOP, sequence.dtype))
-        n, width, rank = len(self.sequence), 1, self.sequence.astype(np.int64)
-        order = None if depth > 1 else np.argsort(rank, kind="stable")
+        n, width, rank = len(self.sequence), 1, self.sequence
+        order = None if depth > 1 else np.argsort(rank, kind="stable").astype(np.int32)
         while width < depth:
-            further = np.zeros(n, np.int64)
-            further[:-width] = rank[width:]
-            key = rank * (int(rank.max()) + 1) + further
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
+            # Numbers of 32 bits but for the key, as memory is what bounds a shard.
+            key = rank.astype(np.int64)
+            key *= int(rank.max()) + 1
+            key[:-width] += rank[width:]
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.int32)
             width *= 2
+        del rank
         self.order = order
         self.first = self.sequence[order]
         self.transform = self.sequence[order - 1]
         #: For each row, the row that begins one number further on.
-        self.following = np.argsort(self.transform, kind="stable")
+        self.following = np.argsort(self.transform, kind="stable").astype(np.int32)
 
     def intervals(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length up to depth: a place of every phrase in the sequence, and how often it occurs."""
-        below = np.zeros(len(self.order), np.int64)
+        below = np.zeros(len(self.order), np.int32)
         for _ in range(depth):
             # Extended to the left: the rows whose next one lies in an interval of the length before.
             inside = below[self.following]
             known = (self.first != _STOP) & (inside >= 0)
             new = np.append(True, (self.first[1:] != self.first[:-1]) | (inside[1:] != inside[:-1])) & known
-            below = np.where(known, np.cumsum(new) - 1, -1)
+            below = np.where(known, np.cumsum(new, dtype=np.int32) - np.int32(1), np.int32(-1))
             yield self.order[new], np.bincount(below[known], minlength=int(new.sum()))
 
 
@@ -341,7 +343,9 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
         passed = lambda census: census.select("shard", *(F.lit(None).cast(kind).alias(c) for c, kind in words.select("number", "code", "lang", "phrase").dtypes), "packed")
         heard = words.select("shard", "number", "code", "lang", "phrase", nothing)
         census = sequences.cogroup(words.select("shard", "number", "code").groupBy("shard")).applyInArrow(_pair_census(ranges), _CENSUS)
-        known = heard.drop("lang", "phrase").unionByName(passed(_frequent(census, least)).drop("lang", "phrase"))
+        # Stored, so that the census behind them need not last while the next one is taken.
+        pairs = stored(_frequent(census, least))
+        known = heard.drop("lang", "phrase").unionByName(passed(pairs).drop("lang", "phrase"))
         census = stored(sequences.cogroup(known.groupBy("shard")).applyInArrow(_longer_census(ranges, longest), _CENSUS))
         rest = census.where("range = -1").select("shard", F.col("packed").alias("ids"))
         known = heard.unionByName(passed(_frequent(census.where("range >= 0"), least)))
