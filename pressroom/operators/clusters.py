@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import importance_score
+from pressroom.ordered import running
 from pressroom.lineage import cut
 
 
@@ -74,17 +75,20 @@ def with_representatives(stats: DataFrame, articles: DataFrame) -> DataFrame:
     return stats.join(shown, "representative_id", "left").withColumn("title", F.coalesce("_title", F.lit(""))).drop("_title")
 
 
-def _latest(articles: DataFrame, key: str, when: Column, k: int | None) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(when.desc_nulls_first(), F.desc("id")))
-    out = articles.withColumn("rank", rank)
-    return out if k is None else out.where(F.col("rank") <= k)
-
-
 def cluster_articles(articles: DataFrame, k: int = 50) -> DataFrame:
-    """The latest k articles of every cluster, by crawled_at, with their rank."""
-    return _latest(articles, "cluster", F.col("crawled_at"), k)
+    """The latest k articles of every cluster, by crawled_at, with their rank; ranked in parts before they are by cluster."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy("cluster", *by).orderBy(F.col("crawled_at").desc_nulls_first(), F.desc("id")))
+    few = articles.withColumn("rank", rank(F.pmod(F.xxhash64("id"), F.lit(64)))).where(F.col("rank") <= k)
+    return few.withColumn("rank", rank()).where(F.col("rank") <= k)
 
 
 def timeline(articles: DataFrame) -> DataFrame:
-    """The articles of every cluster by publication (or else crawl), latest first, with their rank."""
-    return _latest(articles, "cluster", F.coalesce("published_at", "crawled_at"), None)
+    """cluster, id, at, rank: the articles of every cluster by publication (or else crawl), latest first, undated ones before them.
+
+    Ranks are running counts over ranges, so an event of very many articles is many tasks' work.
+    """
+    at = F.coalesce("published_at", "crawled_at")
+    rows = articles.select("cluster", "id", at.alias("at"), F.coalesce(-F.unix_micros(at), F.lit(-(2**62))).alias("back"), (-F.col("id")).alias("down"))
+    placed = running(rows, ["cluster", "back", "down"], row=F.lit(1))
+    first = placed.groupBy("cluster").agg(F.min("row").alias("first"))
+    return placed.join(first, "cluster").select("cluster", "id", "at", (F.col("row") - F.col("first") + 1).cast("int").alias("rank"))

@@ -272,3 +272,22 @@ def test_many_aliases(spark, monkeypatch):
     assert found() == wanted
     monkeypatch.setattr(entities, "SLICE", 700_000)
     assert found() == wanted
+
+
+def test_timeline_of_a_hot_cluster(spark):
+    """Equal times, no times, and an event that holds nearly all articles."""
+    rng = random.Random(9)
+    rows = [(k, 1 if rng.random() < 0.95 else k % 7, rng.choice([None, START + timedelta(hours=rng.randrange(50))]), rng.choice([None, START + timedelta(hours=rng.randrange(50))])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, cluster long, published_at timestamp, crawled_at timestamp").repartition(4)
+    wanted, late = {}, datetime(9999, 1, 1)
+    for k, cluster, published, crawled in sorted(rows, key=lambda r: (r[2] or r[3] or late, r[0]), reverse=True):
+        wanted.setdefault(cluster, []).append(k)
+    found = {}
+    for r in clusters.timeline(df).orderBy("cluster", "rank").collect():
+        found.setdefault(r.cluster, []).append((r.rank, r.id))
+    assert found == {c: list(enumerate(ids, 1)) for c, ids in wanted.items()}
+    top = {}
+    for r in clusters.cluster_articles(df, 3).orderBy("rank").collect():
+        top.setdefault(r.cluster, []).append(r.id)
+    by_crawl = sorted(rows, key=lambda r: (r[3] or late, r[0]), reverse=True)
+    assert top == {c: [r[0] for r in by_crawl if r[1] == c][:3] for c in wanted}
