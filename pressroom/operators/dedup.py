@@ -198,6 +198,8 @@ def cascade(articles: DataFrame, l2: DataFrame, l4: DataFrame, before: DataFrame
     original and the last undecided article of every key before the stretch allow; the earliest undecided article is decided in every round. Rounds
     are few unless every article hangs on one of the stretch before.
     """
+    # Each is read several times.
+    l2, l4, articles = cut(l2.select("id", "duplicate_of")), cut(l4.select("id", "other", "cosine")), cut(articles.select("id", "crawled_at", "language", "entities"))
     titled = l2.select("id").distinct()
     rows = articles.select("id", "crawled_at", "language", "entities", F.lit(False).alias("known"))
     if before is not None:
@@ -250,7 +252,7 @@ def cascade(articles: DataFrame, l2: DataFrame, l4: DataFrame, before: DataFrame
     best3 = met.groupBy("id").agg(F.max_by("other", F.struct(F.size(F.array_intersect("mine", "theirs")), "at", "other")).alias("d3"))
     best4 = l4.join(duplicates.select("id"), "id", "left_semi").join(decided.where("original").select(F.col("id").alias("other")), "other", "left_semi")
     best4 = best4.groupBy("id").agg(F.max_by("other", F.struct("cosine", (-F.col("other")).alias("o"))).alias("d4"))
-    out = articles.select("id").join(l2.select("id", F.col("duplicate_of").alias("d2")), "id", "left").join(best3, "id", "left").join(best4, "id", "left")
+    out = articles.select("id").join(l2.withColumnRenamed("duplicate_of", "d2"), "id", "left").join(best3, "id", "left").join(best4, "id", "left")
     level = F.when(F.col("d2").isNotNull(), 2).when(F.col("d3").isNotNull(), 3).when(F.col("d4").isNotNull(), 4)
     return out.select("id", level.alias("dedup_level"), F.coalesce("d2", "d3", "d4").alias("duplicate_of"))
 

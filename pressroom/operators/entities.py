@@ -67,7 +67,7 @@ def extract_entities(articles: DataFrame, dictionary: DataFrame, word_boundary:
     """The articles with entities struct<brands, models>; dictionary: kind, canonical, alias (both names count; blank ones are not looked for).
 
     Names are looked for anywhere, also within and across each other, whatever their case; with word_boundary only as whole words. The time goes with the
-    text and the hits, not with the number of names; a dictionary of more than SLICE characters is searched for in as many rounds as it has slices.
+    text and the hits, not with the number of names; a dictionary of more than SLICE characters is searched for in as many rounds as it has slices, which a stream cannot do.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, LEAD)))
     if word_boundary:
@@ -79,6 +79,8 @@ def extract_entities(articles: DataFrame, dictionary: DataFrame, word_boundary:
         if not number:
             out = out.withColumn("entities", search("_text"))
             continue
+        if articles.isStreaming:
+            raise ValueError(f"a stream's dictionary may have {SLICE} characters")
         before, stored = stored, cut(out)
         if before is not None:
             drop(before)
