@@ -329,9 +329,11 @@ def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """The pairs (a, b) of a stored table with value_a and value_b; values: rep, value. A value of a goes to that of b; the partners of a b that has more than BLOCK are dealt over several tasks."""
     salts = F.ceil(F.col("count") / BLOCK).cast("int").alias("salts")
     many = pairs.groupBy("b").count().where(F.col("count") > BLOCK).select("b", salts)  # one row for BLOCK pairs at most
-    left = pairs.join(F.broadcast(many), "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int"))
-    right = values.toDF("b", "value_b").join(F.broadcast(many), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    return left.join(values.toDF("a", "value_a"), "a").select("a", "b", "salt", "value_a").join(right.select("b", "salt", "value_b"), ["b", "salt"]).select("a", "b", "value_a", "value_b")
+    one = pairs.join(F.broadcast(many), "b", "left").join(values.toDF("a", "value_a"), "a")
+    few = one.where("salts IS NULL").join(values.toDF("b", "value_b"), "b").select("a", "b", "value_a", "value_b")
+    dealt = one.where("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    copies = values.toDF("b", "value_b").join(F.broadcast(many), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return few.unionByName(dealt.join(copies, ["b", "salt"]).select("a", "b", "value_a", "value_b"))
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, n: int, percent: int, crowded: bool = False) -> DataFrame:
