@@ -141,7 +141,7 @@ def _images(spark, d):
 
 def _external(spark, d):
     found = pages.external_links(F.col("url"), F.col("hrefs"))
-    return pages.parsed(_linked(spark, d)).select("id", F.array_join(found, " ").alias("links"))
+    return pages.parsed(_linked(spark, d)).select("id", F.array_join(found, " ").alias("links"), F.size("hrefs").alias("n_hrefs"), F.array_join(F.slice("hrefs", 11, 3), " ").alias("first_own"))
 
 
 def _own_links(spark, d):
@@ -369,7 +369,8 @@ ORACLE_SQL = {
     "p3_html_links": f"WITH {_HTML_LINKS} SELECT * FROM page_links",
     "p3_anchor_texts": f"WITH {_HTML_LINKS} SELECT anchor, count(*) AS links, count(DISTINCT id) AS pages, min(link) AS first_link FROM page_links WHERE anchor <> '' GROUP BY 1",
     "p2_page_images": f"SELECT page_id AS id, {_OWN} || '/i/1.png' AS image_url, 2::INT AS n FROM pages",
-    "p3_external_links": "SELECT page_id AS id, 'https://other.example.org/story?id=1' AS links FROM pages",
+    "p3_external_links": f"""WITH {_HTML_LINKS} SELECT page_id AS id, 'https://other.example.org/story?id=1' AS links, CAST(10 + count(l.id) AS INT) AS n_hrefs,
+      coalesce(string_agg(href, ' ' ORDER BY position) FILTER (position < 3), '') AS first_own FROM pages LEFT JOIN page_links l ON l.id = page_id GROUP BY 1""",
     "p4_article_links": f"""SELECT page_id AS id, CAST(position AS INT) AS position, {_OWN} || path AS link FROM pages,
       LATERAL (VALUES (0, '/en/2024/05/' || page_id), (1, '/story-of/the-day'), (2, '/12345')) AS v(position, path)""",
     "p7_tier_route": f"""SELECT page_id AS id, CASE WHEN tier2 THEN 'adapter' ELSE 'generic' END AS route, CASE WHEN tier2 THEN 'Title ' || page_id END AS adapter_title
