@@ -266,7 +266,9 @@ def test_many_aliases(spark, monkeypatch):
     wanted = {}
     for k, title, _ in rows[:40]:
         ids = [int(w[1:7]) for w in title.split()]
-        wanted[k] = (sorted(f"Name {i:06d}" for i in ids if i % 2), sorted(f"Name {i:06d}" for i in ids if i % 2 == 0))
+        # All numbers begin with 0, so an 8 at the end of one word makes the alias that lies across two.
+        across = ["Inner"] if any(i % 10 == 8 for i in ids[:-1]) else []
+        wanted[k] = (sorted(f"Name {i:06d}" for i in ids if i % 2), across + sorted(f"Name {i:06d}" for i in ids if i % 2 == 0))
     wanted[100] = (["Bare", "Name 000001", "Name 000007", "Outer"], ["Inner", "Name 000008"])
     found = lambda: {r.id: (r.entities.brands, r.entities.models) for r in entities.extract_entities(df, known).collect()}
     assert found() == wanted
