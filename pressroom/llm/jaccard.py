@@ -6,9 +6,10 @@ summed, bound the overlap, for boxes of points as for points, so an R-tree over
 by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, in cells of blocks of sets, so that what is
 shuffled does not grow with the pairs, and only the sets of those that remain are shuffled and compared.
 
-Linked sets share one of the least-hashed shingles of each, so there is one tree for each of those keys, and trees lie in different
-tasks; the points of a key that very many sets share are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
-of near copies with few comparisons; the second looks at every pair of different components that a key brings together.
+Linked sets share one of the least-hashed shingles of each. Sets that share such a key also share a key with the least of its holders, the key's head, so there is one tree
+for each head and not for each key: long near copies share hundreds of keys, but few heads, and their pairs are looked at a few times only. Trees lie in different
+tasks; the points of a head that very many sets hang on are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
+of near copies with few comparisons; the second looks at every pair of different components that a head brings together.
 
 Defined results: null and blank texts have no set and stay alone. Texts with fewer than n words
 have one shingle, all their words. Repeated doc_ids are one document with the sets of its rows,
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from pressroom.llm.common import HOT, drop, joined, pieces, read, stored, texts
 
 WORDS, PERCENT = 4, 85
-GROUPS = 64
+GROUPS = 256
+#: Groups, each of several of those, by which the R-tree is built and searched.
+COARSE = 64
 #: Groups of the vectors that bound the pairs left by the R-tree.
 FINE = 1024
 #: Keys of the first pass.
@@ -45,7 +48,7 @@ CHUNK = 256
 #: Pairs of points that leave a task together.
 PAIRS = 100_000
 #: Points of a hot group in one block, sets of a block of bounded(), partners of one set in a task of beside().
-BLOCK = 2048
+BLOCK = 4096
 ORACLE_SQL = rf"""WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
   sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - {WORDS - 2})), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM words),
@@ -148,13 +151,15 @@ class Tree:
     """
 
     def __init__(self, point: np.ndarray, n: np.ndarray):
-        spread = np.argsort(-point.var(0), kind="stable")[:2]
+        coarse = point.reshape(len(n), COARSE, -1).sum(2)
+        spread = np.argsort(-coarse.var(0), kind="stable")[:2]
         slabs = max(1, int(math.sqrt(len(n) / FAN)))
         # Slabs of n, in each of them tiles of the widest coordinates.
         slab = np.empty(len(n), np.int64)
         slab[np.argsort(n, kind="stable")] = np.arange(len(n)) * slabs // len(n)
-        self.order = np.lexsort((point[:, spread[-1]], point[:, spread[0]], slab))
-        high, low, top = point[self.order], n[self.order], n[self.order]
+        self.order = np.lexsort((coarse[:, spread[-1]], coarse[:, spread[0]], slab))
+        self.point = point
+        high, low, top = coarse[self.order], n[self.order], n[self.order]
         self.levels = [(high, low, top)]
         while len(low) > 1:
             cuts = np.arange(0, len(low), FAN)
@@ -182,8 +187,10 @@ def tree_join(one: Tree, two: Tree, percent: int, within: bool) -> Iterator[tupl
         level, i, j = stack.pop()
         if not level:
             keep = i < j if within else slice(None)
-            if len(i[keep]):
-                yield one.order[i[keep]], two.order[j[keep]]
+            a, b = one.order[i[keep]], two.order[j[keep]]
+            good = (100 + percent) * np.minimum(one.point[a], two.point[b]).sum(1) >= percent * (one.levels[0][1][i[keep]] + two.levels[0][1][j[keep]])
+            if good.any():
+                yield a[good], b[good]
             continue
         a, b = below(one, level, i), below(two, level, j)
         a, b = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, a.shape[1]).ravel()
@@ -275,6 +282,17 @@ def candidates(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
     return ordered.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct()
 
 
+def gathered(placed: DataFrame) -> DataFrame:
+    """key, rep, as a table: sets that share one of their keys are under one key at least, which is the least rep that holds it; placed: rep, comp, keys."""
+    # Keys of one component alone bring nothing together.
+    spans = placed.select(F.explode("keys").alias("key"), "rep", "comp").groupBy("key")
+    spans = spans.agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("head"), F.count("*").alias("rows"))
+    mixed_keys = stored(spans.where("low <> high").select("key", "head", "rows"))
+    out = stored(joined(placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys, ["key"], "rows").select(F.col("head").alias("key"), "rep").distinct())
+    drop(mixed_keys)
+    return out
+
+
 def celled(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
     """The rows of grouped with i, j, first, second: hot keys, dealt into blocks of BLOCK points, go to the cells of all pairs of their blocks.
 
@@ -395,12 +413,10 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     early = components(linked)
     placed = sets.select("rep", "n", "point", "keys").join(early, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep"))
     placed = stored(placed.select("rep", "comp", F.col("n").cast("long").alias("n"), "point", "keys"))
-    # Keys of one component alone bring nothing together.
-    spans = placed.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
-    mixed_keys = stored(spans.where("low <> high").select("key", "rows"))
-    shared = stored(joined(placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys, ["key"], "rows"))
-    late = verified(candidates(celled(shared.join(placed.drop("keys"), "rep"), mixed_keys), percent), vectors, source, n, percent, crowded=True)
-    drop(mixed_keys, shared, placed, sets)
+    shared = gathered(placed)
+    by_head = stored(shared.groupBy("key").agg(F.count("*").alias("rows")))
+    late = verified(candidates(celled(shared.join(placed.drop("keys"), "rep"), by_head), percent), vectors, source, n, percent, crowded=True)
+    drop(by_head, shared, placed, sets)
     same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(linked.unionByName(late).unionByName(same))
     drop(linked, late, members)

@@ -324,6 +324,28 @@ def test_jaccard_hot_key_in_blocks(spark, monkeypatch):
     assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == wanted
 
 
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_long_near_copies_meet_under_few_heads(spark, monkeypatch, n, percent):
+    """Long texts that share very many keys without being linked are compared for a few heads, not for each key, and finer groups tell them apart."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(600)]
+    rows = [(k, " ".join(w if rng.random() > 0.04 else f"x{rng.integers(10_000)}" for w in base)) for k in range(24)]
+    rows += [(24, rows[5][1] + " and more"), (25, "one more " + rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {doc: {tuple(text.split()[i : i + n]) for i in range(len(text.split()) - n + 1)} for doc, text in rows}
+    seen = []
+    looked_at = jaccard.candidates
+
+    def candidates(grouped, given):
+        seen.extend([grouped.count(), looked_at(grouped, given).count()])
+        return looked_at(grouped, given)
+
+    monkeypatch.setattr(jaccard, "candidates", candidates)
+    found = {r.doc_id: r.component_id for r in jaccard.classes(docs, n, percent).collect()}
+    assert found == components_of(sets, n, percent) and found[24] == found[25] == 5
+    assert seen[0] < 10 * len(rows) and seen[1] < 30
+
+
 def test_hot_join(spark, monkeypatch):
     from pressroom.llm import common
 
