@@ -114,10 +114,11 @@ class Words:
         split = [spaced(text) for text in texts]
         young, old = self.young, self.old
         met = set(chain.from_iterable(filter(None, split)))
-        met.difference_update(young)
-        again = met.intersection(old)
+        # Sets less dictionaries would go through all words remembered, not through those met.
+        met = [word for word in met if word not in young]
+        again = [word for word in met if word in old]
         young.update(zip(again, map(old.__getitem__, again), strict=True))
-        new = list(met - again)
+        new = [word for word in met if word not in old]
         if new:
             young.update(zip(new, self.encode_many([word if word[:1] == "\n" else " " + word for word in new]), strict=True))
         # First words and whole texts stand for themselves.

@@ -400,3 +400,16 @@ def test_repeated_strings_with_equal_fingerprints(monkeypatch):
     monkeypatch.setattr(repeats, "_joined", lambda a, b, level: np.zeros(min(len(a), len(b)), np.uint64))
     data = np.frombuffer(b"x" * 200 + b"y" * 200 + b"x" * 200, np.uint8)
     assert repeats.repeated_strings(data, np.array([0, 200, 400])).tolist() == [True, False, True]
+
+
+def test_words_are_looked_up_not_gone_through():
+    """What a batch costs hangs on its own words, not on all that are remembered."""
+
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("all remembered words gone through")
+
+    words = bpe.Words(lambda texts: [text.encode() for text in texts], 100)
+    words.young, words.old = Remembered({"b": b" b"}), Remembered({"c": b" c"})
+    assert words.encode(["a b c d", "a\nb"]) == [b"a b c d", b"a\nb"]
+    assert dict.keys(words.young) == {"b", "c", "d", "\nb"}
