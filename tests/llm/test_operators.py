@@ -412,4 +412,4 @@ def test_words_are_looked_up_not_gone_through():
     words = bpe.Words(lambda texts: [text.encode() for text in texts], 100)
     words.young, words.old = Remembered({"b": b" b"}), Remembered({"c": b" c"})
     assert words.encode(["a b c d", "a\nb"]) == [b"a b c d", b"a\nb"]
-    assert dict.keys(words.young) == {"b", "c", "d", "\nb"}
+    assert dict.keys(words.young) == {"a", "b", "c", "d", "\nb"}
