@@ -63,9 +63,18 @@ def zone_of(country: Column, zone: Column | None = None) -> Column:
     return F.coalesce(*([] if zone is None else [zone]), of_country, F.lit("UTC"))
 
 
+def utc_of(wall_clock: Column, zone: Column) -> Column:
+    """The instant of a zone's wall clock: of the two that an hour put back has, the later one; a time that an hour put forward leaves out is read by the offset before."""
+    early, day = F.to_utc_timestamp(wall_clock, zone), F.expr("INTERVAL 24 HOURS")
+    # By the offset of a day later, which is that after the change. Clocks are put back by a day at most.
+    after = early + day
+    late = wall_clock - (F.from_utc_timestamp(after, zone) - after)
+    return F.when(F.from_utc_timestamp(late, zone) == wall_clock, F.greatest(early, late)).otherwise(early)
+
+
 def three_times(wall_clock: Column, country: Column, zone: Column | None = None) -> Column:
-    """struct local (as given), utc (instant), beijing (wall clock, 8 hours ahead of UTC) of a time without zone."""
-    utc = F.to_utc_timestamp(wall_clock.cast("timestamp"), zone_of(country, zone))
+    """struct local (as given), utc (instant), beijing (wall clock, 8 hours ahead of UTC) of a time without zone; a wall clock that is shown twice stands for its second time."""
+    utc = utc_of(wall_clock.cast("timestamp"), zone_of(country, zone))
     beijing = (utc + F.expr("INTERVAL 8 HOURS")).cast("timestamp_ntz")
     return F.struct(wall_clock.cast("timestamp_ntz").alias("local"), utc.alias("utc"), beijing.alias("beijing"))
 

@@ -153,6 +153,19 @@ def test_three_times(spark):
     assert [x.beijing.strftime("%d %H:%M") for x in found] == ["29 14:30", "29 02:30", "29 10:30", "29 01:30", "29 09:30"]
 
 
+def test_times_that_clocks_show_twice(spark):
+    """They stand for the second time, also where clocks are put back by half an hour or a whole day; beside them nothing changes."""
+    rows = [
+        ("Australia/Sydney", "2024-04-07 01:59:59", "2024-04-06 14:59:59"), ("Australia/Sydney", "2024-04-07 02:00:00", "2024-04-06 16:00:00"),
+        ("Australia/Sydney", "2024-04-07 02:40:00", "2024-04-06 16:40:00"), ("Australia/Sydney", "2024-04-07 03:00:00", "2024-04-06 17:00:00"),
+        ("Europe/London", "2024-10-27 01:30:00", "2024-10-27 01:30:00"), ("America/New_York", "2024-11-03 01:00:00", "2024-11-03 06:00:00"),
+        ("Australia/Lord_Howe", "2024-04-07 01:45:00", "2024-04-06 15:15:00"), ("Pacific/Kwajalein", "1969-09-30 12:00:00", "1969-10-01 00:00:00"), (None, "2024-04-07 02:40:00", "2024-04-07 02:40:00"),
+    ]
+    df = spark.createDataFrame(rows, "zone string, t string, e string").withColumn("t", F.to_timestamp_ntz("t"))
+    found = df.select("e", articles.three_times(F.col("t"), F.lit(None).cast("string"), F.col("zone"))["utc"].cast("string").alias("utc"))
+    assert [r.utc for r in found.collect()] == [r[2] for r in rows]
+
+
 @pytest.mark.parametrize(
     ("said", "expected"),
     [
