@@ -246,6 +246,16 @@ def test_text_of_odd_pages(spark):
     assert df.select(markup.html_text(F.lit("abc def"), 5).alias("x")).first().x == "abc d"
 
 
+def test_references_without_semicolon_stay(spark):
+    """What a cut leaves of a reference, names that only begin like one, and the & of a link."""
+    rows = [("<b>a&amp;&amp</b> b&quo", "a&&amp b&quo"), ("&copy &copy; &notit; &#65 &#65; &#x42 & &&lt;", "&copy © &notit; &#65 A &#x42 & &<"), ("x&ampy;&amp;lt;", "x&ampy;&lt;")]
+    df = spark.createDataFrame(rows, "html string, e string")
+    assert df.where(~markup.html_text(F.col("html")).eqNullSafe(F.col("e"))).collect() == []
+    page = """<title>T&amp</title><article><h1>Cut &amp; cut&amp</h1><p>Body&quo &lt;x&gt;</p></article><a href="/x?a=1&amp;b=2&copy=3&lt">l&amp</a>"""
+    df = spark.createDataFrame([(1, "http://s.com/", page)], "id long, url string, html string")
+    assert [(r.href, r.anchor) for r in markup.page_links(df).collect()] == [("/x?a=1&b=2&copy=3&lt", "l&amp")]
+
+
 def test_links_as_rows(spark):
     page = """<a href="/x?a=1&amp;b=2"> One <b>bold</b>\n word</a><a name="none">no</a><a href=" http://[bad ">two<a href="#top">three</a> <a href='mailto:x@y.z'></a>"""
     df = spark.createDataFrame([(1, "https://s.com/p/q", page), (2, None, '<a href="r">x</a>'), (3, "http://s.com", None), (4, "http://s.com", "<![broken")], "id long, url string, html string")
