@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from typing import NamedTuple
 from urllib.parse import urljoin
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pressroom import constants as C
 from pressroom.functions import articles as A
 from pressroom.functions import links as L
+from pressroom.functions.markup import Parser
 from pressroom.functions.text import excerpt, is_article_url
 from pressroom.functions.urls import url_domain
 
@@ -60,11 +60,11 @@ def body_of(blocks: list[Block]) -> list[str]:
     return [b.said for b in blocks if b.linked < MENU and (best is None or best in b.holders)]
 
 
-class Page(HTMLParser):
+class Page(Parser):
     """What a page says about itself: titles, metadata, blocks of text and what holds them, images and links."""
 
     def __init__(self, url: str):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.url, self.base = url, url
         self.meta: dict[str, str] = {}
         self.titles: dict[str, list[str]] = {}

@@ -254,6 +254,8 @@ def test_references_without_semicolon_stay(spark):
     page = """<title>T&amp</title><article><h1>Cut &amp; cut&amp</h1><p>Body&quo &lt;x&gt;</p></article><a href="/x?a=1&amp;b=2&copy=3&lt">l&amp</a>"""
     df = spark.createDataFrame([(1, "http://s.com/", page)], "id long, url string, html string")
     assert [(r.href, r.anchor) for r in markup.page_links(df).collect()] == [("/x?a=1&b=2&copy=3&lt", "l&amp")]
+    found = pages.extract_pages(df).first()
+    assert (found.title, found.content) == ("Cut & cut&amp", "Body&quo <x>")
 
 
 def test_links_as_rows(spark):
