@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pressroom.functions.urls import url_hash
+from pressroom.lineage import cut, drop
 from pressroom.operators import clusters, dedup, sources
 from pressroom.operators.sources import DEGRADED_AT, LEAST_MINUTES, MOST_MINUTES, PAUSED_AT
 
@@ -57,6 +58,8 @@ def run_steadily(query: DataFrame, checkpoint: str, per_batch=None, path: str |
 
 
 HISTORY = "crawl_date date, batch long"
+#: A batch that brings more days than that, as a first one may, writes a folder for each month and not for each day.
+MOST_DAYS = 100
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -67,9 +70,14 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def _write(df: DataFrame, path: str, batch: int) -> None:
-    """A batch has folders of its own below those of its days: when it is replayed, they are written anew and not twice."""
-    dated = df.withColumns({"crawl_date": F.to_date("crawled_at"), "batch": F.lit(batch).cast("long")})
+def _write(df: DataFrame, path: str, batch: int, by_month: bool = False) -> None:
+    """A batch has folders of its own below those of its days or months, which are named by their last day: when it is replayed, they are written anew and not twice.
+
+    Rows are dealt out in order of time, so a folder is one file or a few, whatever the number of tasks.
+    """
+    day = F.to_date("crawled_at")
+    dated = df.withColumns({"crawl_date": F.last_day(day) if by_month else day, "batch": F.lit(batch).cast("long")})
+    dated = dated.repartitionByRange("crawled_at").sortWithinPartitions("crawl_date", "crawled_at")
     dated.write.partitionBy("crawl_date", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
@@ -131,8 +139,9 @@ def cascade_batches(path: str, days: int = 7, cosine: float = 0.85, centres: Dat
     def per_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         given = [c.split()[0] for c in ARTICLE.split(", ")][:-2]
-        new = df.select(*given)
-        first = new.agg((F.min("crawled_at") - F.expr(f"INTERVAL {days} DAYS")).alias("first")).first().first
+        new = cut(df.select(*given))  # read many times
+        at = new.agg((F.min("crawled_at") - F.expr(f"INTERVAL {days} DAYS")).alias("first"), F.date_diff(F.max("crawled_at"), F.min("crawled_at")).alias("days")).first()
+        first = at.first
         stored = _before(spark, path, ARTICLE, batch, first)
         everything = stored.select(*given).unionByName(new)
         # Duplicates that were decided earlier stay so and are nobody's original for L3 and L4.
@@ -141,7 +150,10 @@ def cascade_batches(path: str, days: int = 7, cosine: float = 0.85, centres: Dat
         l2 = ours(dedup.near_titles(everything))
         l4 = ours(dedup.similar_vectors(originals.unionByName(new), cosine, centres=centres, probes=probes))
         verdicts = dedup.cascade(new, l2, l4, before=originals)
-        _write(new.join(verdicts, "id").select(*given, "dedup_level", "duplicate_of"), path, batch)
+        # Stored, as rows dealt out in order are looked at once more before.
+        decided = cut(new.join(verdicts, "id").select(*given, "dedup_level", "duplicate_of"))
+        _write(decided, path, batch, (at.days or 0) > MOST_DAYS)
+        drop(new, decided)
 
     return per_batch
 

@@ -80,6 +80,22 @@ def test_history_is_read_by_folder(spark, tmp_path):
     assert streams._before(spark, f"{path}-none", "id long, crawled_at timestamp", 2, None).count() == 0
 
 
+def test_a_batch_of_many_days_writes_a_file_for_a_month(spark, tmp_path):
+    """And not one for each day and task; the next batch finds its look-back there."""
+    at = F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int") * 12)
+    none = F.lit(None).cast("array<float>").alias("embedding")
+    rows = spark.range(400).repartition(4).select("id", at.alias("crawled_at"), F.lit("en").alias("language"), F.concat(F.lit("story number "), F.col("id") % 9).alias("title"), F.array().cast("array<string>").alias("entities"), none).cache()
+    job = streams.cascade_batches(f"file://{tmp_path}/out")
+    job(rows.where("id < 300"), 0)
+    job(rows.where("id >= 300"), 1)
+    folders = {f.parent.name for f in (tmp_path / "out").glob("*/batch=0")}
+    assert folders == {f"crawl_date=2024-{day}" for day in ("01-31", "02-29", "03-31", "04-30", "05-31")}
+    assert len(list((tmp_path / "out").glob("*/batch=0/*.parquet"))) <= 8 and len(list((tmp_path / "out").glob("*/batch=1"))) == 50
+    found = {r.id: (r.dedup_level, r.duplicate_of) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    whole = dedup.cascade(rows, dedup.near_titles(rows), dedup.similar_vectors(rows))
+    assert found == {r.id: (r.dedup_level, r.duplicate_of) for r in whole.collect()} and found[300][0] == 2
+
+
 LOG = "id long, source_id long, started_at timestamp, status string, articles_found int, articles_new int"
 
 
