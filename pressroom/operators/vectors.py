@@ -14,13 +14,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.lineage import cut
+from pressroom.lineage import cut, drop
 
 DAY = 24 * 3_600_000_000
 #: Vectors compared with each other in one group of rows.
 BLOCK_ROWS = 2000
 #: Rows that cells are trained on, at most. Every vector is indexed, whatever their number.
 SAMPLE_ROWS = 100_000
+#: Partitions of that sample, the same on every cluster.
+TRAIN_PARTS = 16
+#: Vectors whose matches are looked up in full to see how many cells hold them, at most, and how many standard deviations the share found must be above the one asked for.
+ASKED_ROWS, SURE = 2000, 3.0
 #: Bytes of all centres together, which every task gets.
 MOST_CENTRES = 64_000_000
 PLACED = "id long, t long, v array<float>, cell int, far float"
@@ -86,19 +90,23 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.85, days: int = 3,
 
 
 def train(vectors: DataFrame, cells: int, seed: int = 1) -> DataFrame:
-    """cell, centre, of k-means over the directions of SAMPLE_ROWS vectors at most, those of the least hashed ids; `cells` should grow like the root of the number of vectors."""
+    """cell, centre, of k-means over the directions of SAMPLE_ROWS vectors at most, those of the least hashed ids; `cells` should grow like the root of the number of vectors.
+
+    The rows are dealt out and put in order by their ids, so the cells hang neither on the number of files nor on that of cores.
+    """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = vectors.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v")).where(norm > 0)
     count = rows.count()
     if count > SAMPLE_ROWS:
         # Half as many again by hash, then exactly so many: a top-k of a few rows a task.
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(1.5 * SAMPLE_ROWS / count * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS)
-    sample = cut(rows.select(array_to_vector(F.transform("v", lambda x: x / norm)).alias("features")))
+    sample = cut(rows.select("id", F.transform("v", lambda x: x / norm).alias("v")))
     spark = vectors.sparkSession
     schema = "cell int, centre array<double>"
     if sample.isEmpty():
         return spark.createDataFrame([], schema)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample)
+    dealt = sample.repartition(TRAIN_PARTS, "id").sortWithinPartitions("id", "v").select(array_to_vector("v").alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(dealt)
     return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())], schema)
 
 
@@ -147,6 +155,40 @@ def _probing(rows: DataFrame, centres: DataFrame, threshold: float, probes: int
     return rows.mapInPandas(run, "id long, t long, v array<double>, bucket long, cell int")
 
 
+def probes_for(vectors: DataFrame, centres: DataFrame, threshold: float = 0.85, recall: float = 0.9, least: int = 1, days: int = 3) -> int:
+    """The number of nearest cells, `least` or more, that a search has to look into so as to find the share `recall` of all matches.
+
+    It is measured: ASKED_ROWS vectors at most, those of the least hashed ids, are compared with all of their look-back, and the cells of what they match are counted by
+    their place among the nearest. Where the matches are too few to be sure by SURE deviations, more cells are taken, in the end all.
+    """
+    rows = cut(_timed(vectors, days))
+    cells = centres.count()
+    if cells <= least:
+        return cells
+    asked = rows.orderBy(F.xxhash64("id")).limit(ASKED_ROWS)
+    whole = lambda df: df.withColumn("cell", F.lit(0))
+    pairs = _meet(_looking_back(whole(asked)), whole(rows), threshold, days).select("id", "other")
+    held = _held(centres)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            nearest = _distances(frame["v"], held.value).argsort(1, kind="stable") if len(frame) else []
+            yield pd.DataFrame({"id": frame["id"], "nearest": list(nearest)})
+
+    nearest = asked.select("id", "v").mapInPandas(run, "id long, nearest array<int>")
+    cell = _placed(rows, centres).select(F.col("id").alias("other"), "cell")
+    place = F.array_position("nearest", F.col("cell")).alias("place")
+    # One row for each cell at most.
+    counts = dict(pairs.join(nearest, "id").join(cell, "other").groupBy(place).count().collect())
+    drop(rows)
+    matches, found = sum(counts.values()), 0
+    for probes in range(1, cells):
+        found += counts.get(probes, 0)
+        if probes >= least and matches and found / matches >= recall + SURE * np.sqrt(recall * (1 - recall) / matches):
+            return probes
+    return cells
+
+
 def write_index(vectors: DataFrame, centres: DataFrame, path: str, days: int = 3) -> None:
     """The vectors in their cells below path/vectors, a folder for each look-back, and the centres below path/centres.
 

@@ -200,6 +200,21 @@ def test_similar_vectors(spark, monkeypatch, close_vectors, block):
     assert vectors.similar_vectors(df.where("id < 0"), centres=vectors.train(df.where("id < 0"), 4)).count() == 0
 
 
+def test_cells_and_probes_for_a_recall(spark):
+    """Cells are the same however the vectors lie in partitions; so many are probed that the share asked for is found, all of them where there is nothing to measure."""
+    draw = random.Random(3)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(minutes=20 * k), [draw.gauss(0, 1) for _ in range(16)]) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id long, crawled_at timestamp, embedding array<double>")
+    centres, again = (vectors.train(df.repartition(n, "crawled_at"), 16) for n in (1, 7))
+    placed = lambda c: sorted([round(x, 9) for x in r.centre] for r in c.collect())
+    assert placed(centres) == placed(again)
+    few = vectors.recall_of(vectors.similar_vectors(df, 0.5, centres=centres, probes=3), vectors.similar_vectors(df, 0.5)).first()
+    probes = vectors.probes_for(df, centres, 0.5, least=3)
+    enough = vectors.recall_of(vectors.similar_vectors(df, 0.5, centres=centres, probes=probes), vectors.similar_vectors(df, 0.5)).first()
+    assert few.recall < 0.9 <= enough.recall and 3 < probes < 16
+    assert vectors.probes_for(df, centres, 0.5, least=15) == 15 and vectors.probes_for(df, centres, 0.999) == 16
+
+
 def test_threshold_of_vectors(spark):
     edge = spark.createDataFrame([(1, START, [1.0, 0.0]), (2, START, [0.85, (1 - 0.85**2) ** 0.5])], "id long, crawled_at timestamp, embedding array<double>")
     assert vectors.similar_vectors(edge, 0.8500001).count() == 0 and vectors.similar_vectors(edge, 0.8499).count() == 1
