@@ -6,7 +6,8 @@ summed, bound the overlap, for boxes of points as for points, so an R-tree over
 by level, and only pairs of points that every level lets through are left. They are bounded again by vectors of FINE groups, in cells of blocks of sets, so that what is
 shuffled does not grow with the pairs, and only the sets of those that remain are shuffled and compared.
 
-Linked sets share one of the least-hashed shingles of each. Sets that share such a key also share a key with the least of its holders, the key's head, so there is one tree
+Linked sets share one of the first shingles of each, in any order that is the same for all. Common shingles come last in it, as what they bring together grows with the square of the
+texts, the others by their hashes; which ones are common is estimated from a bounded number of texts, and changes no result. Sets that share such a key also share a key with the least of its holders, the key's head, so there is one tree
 for each head and not for each key: long near copies share hundreds of keys, but few heads, and their pairs are looked at a few times only. Trees lie in different
 tasks; the points of a head that very many sets hang on are dealt into blocks with a tree each, and pairs of blocks are joined. A first pass links the members of a key to the least of them, which joins large groups
 of near copies with few comparisons; the second looks at every pair of different components that a head brings together.
@@ -39,6 +40,8 @@ COARSE = 64
 FINE = 1024
 #: Keys of the first pass.
 ANCHORS = 3
+#: Texts, about, in which common shingles are looked for; a shingle of so many of them is common; the most common ones that every task gets.
+COMMON_TEXTS, COMMON_IN, MOST_COMMON = 16_384, 4, 100_000
 #: Points in a leaf of the R-tree, and boxes below a box.
 FAN = 16
 #: Groups of up to so many points, half a leaf, are compared many groups at once.
@@ -102,7 +105,43 @@ def unpacked(points: list[bytes]) -> np.ndarray:
     return rows[:, 4:].astype(np.int32) * np.ascontiguousarray(rows[:, :4]).view("<i4")
 
 
+def common(docs: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles that many texts share, ascending: MOST_COMMON at most. None where all texts together make no large group."""
+    rows = texts(docs)
+    count = rows.count()
+    if count <= BLOCK:
+        return np.empty(0, np.uint64)
+    asked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, COMMON_TEXTS / count) * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in pieces(batches):
+            found = [shingles(text, hashes, n) for text in batch.column(1).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    counts = asked.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON_IN)
+    most = counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow()
+    return np.sort(most.column(0).to_numpy().view(np.uint64))
+
+
+def first_keys(found: np.ndarray, count: int, late: np.ndarray) -> np.ndarray:
+    """The first `count` of a set (ascending), those in `late` (ascending) after all others."""
+
+    def parted(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = late[np.minimum(np.searchsorted(late, some), len(late) - 1)] == some
+        return some[~held], some[held]
+
+    if not len(late) or not count:
+        return found[:count]
+    # Mostly a few more than asked for hold enough of them.
+    early, _ = parted(found[: 2 * count])
+    return early[:count] if len(early) >= count else np.concatenate(parted(found))[:count]
+
+
 def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    late = docs.sparkSession.sparkContext.broadcast(common(docs, n))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, squeeze = Hashes(), zstandard.ZstdCompressor(level=1).compress
         for batch in pieces(batches):
@@ -111,14 +150,14 @@ def features(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
                 found = shingles(text, hashes, n)
                 size = len(found)
                 prefix = size - (percent * size + 99) // 100 + 1 if size else 0
-                key = found[:prefix].view(np.int64)
                 sizes.append(size)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 counts = np.bincount((found & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
                 points.append(packed(counts.reshape(-1, GROUPS).sum(0)))
                 fine.append(squeeze(counts.astype("<u4").tobytes()))
-                anchors.append(key[:ANCHORS])
-                keys.append(key)
+                # Near copies have keys of their own first; the least-hashed of all shingles are those they have in common.
+                anchors.append(found[: min(prefix, ANCHORS)].view(np.int64))
+                keys.append(first_keys(found, prefix, late.value).view(np.int64))
             lists = lambda rows: pa.array(rows, pa.list_(pa.int64()))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), lists(anchors), lists(keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "point", "fine", "anchors", "keys"])
@@ -288,7 +327,14 @@ def gathered(placed: DataFrame) -> DataFrame:
     spans = placed.select(F.explode("keys").alias("key"), "rep", "comp").groupBy("key")
     spans = spans.agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("head"), F.count("*").alias("rows"))
     mixed_keys = stored(spans.where("low <> high").select("key", "head", "rows"))
-    out = stored(joined(placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys, ["key"], "rows").select(F.col("head").alias("key"), "rep").distinct())
+    # As joined(), but rows are told apart by the list of the hot keys, HOT at most: nearly all are cold, and go through one join.
+    total = mixed_keys.agg(F.sum("rows")).first()[0] or 0
+    hot = [r.key for r in mixed_keys.where(F.col("rows") * HOT >= total).select("key").collect()]
+    rows, known = placed.select(F.explode("keys").alias("key"), "rep"), mixed_keys.drop("rows")
+    met = rows.where(~F.col("key").isin(hot)).join(known, "key")
+    if hot:
+        met = met.unionByName(rows.where(F.col("key").isin(hot)).join(F.broadcast(known.where(F.col("key").isin(hot))), "key"))
+    out = stored(met.select(F.col("head").alias("key"), "rep").distinct())
     drop(mixed_keys)
     return out
 

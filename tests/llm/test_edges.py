@@ -1,6 +1,7 @@
 """Every operator and stage on empty tables, nulls, repeated rows, very long texts and columns with clashing names."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -206,3 +207,30 @@ def test_bounds_in_cells(spark, monkeypatch, block):
     every = [(a, b) for a in range(40) for b in range(a)]
     found = {tuple(r) for r in jaccard.bounded(spark.createDataFrame(every, "a long, b long"), vectors, 80).collect()}
     assert found == {(a, b) for a, b in every if 180 * int(np.minimum(counts[a], counts[b]).sum()) >= 80 * int(counts[a].sum() + counts[b].sum())} and 0 < len(found) < len(every)
+
+
+def test_common_shingles_gather_no_large_groups(spark, monkeypatch):
+    """A line that all texts share brings no two of them together; near copies are still found, also those of texts that are common shingles alone."""
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    draw = random.Random(1)
+    line = "this very line stands in all of the texts there are"
+    rows = [(k, line + "".join(f" w{draw.randrange(10**9)}" for _ in range(30))) for k in range(300)]
+    rows += [(1000 + k, f"{rows[k][1]} x") for k in range(0, 300, 10)] + [(2000, line), (2001, f"{line}\n")]
+    sizes, compare = [], jaccard.candidates
+
+    def watched(grouped, percent):
+        sizes.append(max((r["count"] for r in grouped.groupBy("key").count().collect()), default=0))
+        return compare(grouped, percent)
+
+    monkeypatch.setattr(jaccard, "candidates", watched)
+    found = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: 2000 if k == 2001 else k % 1000 if k < 2000 else k for k, _ in rows}
+    assert len(sizes) == 1 and sizes[0] <= 4
+
+
+def test_first_keys():
+    rng = np.random.default_rng(2)
+    for size, many, count in ((0, 5, 0), (40, 0, 7), (40, 5, 7), (40, 200, 12), (9, 300, 9)):
+        found, late = (np.unique(rng.integers(0, 300, k).astype(np.uint64)) for k in (size, many))
+        wanted = sorted(found.tolist(), key=lambda x: (x in set(late.tolist()), x))[:count]  # noqa: B023
+        assert jaccard.first_keys(found, count, late).tolist() == wanted
